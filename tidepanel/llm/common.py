@@ -88,12 +88,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ and the number of words of each row; no word spans two rows."""
+def word_bounds(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the number of words of each row; no word spans two rows. Words are runs of bytes
+    that `inside` marks, [^\\x20\\x09-\\x0D]+ by default."""
     n = len(data)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offs) - 1, np.int64)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if inside is None:
+        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     before = np.empty(n, bool)

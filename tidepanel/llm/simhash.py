@@ -227,21 +227,37 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def near_classes(rows: DataFrame, k: int = 3, seed: int = 42, budget: int = 2) -> tuple[DataFrame, DataFrame]:
+    """rows (with text) without their text but with fp, and fp, root: a name for the component of each fingerprint."""
+    marked = common.materialize(fingerprints(rows, k, seed), "fingerprints")
+    distinct = common.materialize(marked.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(near_links(distinct, budget))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return marked, common.materialize(named, "roots")
+
+
 def near_components(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    marked = common.materialize(fingerprints(rows, k, seed), "fingerprints")
-    least = common.materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(near_links(least.select("fp"), budget))
-    named = common.materialize(
-        least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")),
-        "roots",
-    )
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = common.materialize(named.select("fp", "root").join(ids, "root").select("fp", "component_id"), "classes")
+    marked, named = near_classes(rows, k, seed, budget)
+    least = common.materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
+    with_root = common.materialize(least.join(named, "fp"), "least-by-root")
+    ids = common.materialize(with_root.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    classes = common.materialize(with_root.select("fp", "root").join(ids, "root").select("fp", "component_id"), "classes")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (null last), the smallest text key among ties."""
+    keyed = common.text_key(docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    marked, named = near_classes(keyed.select("_id", "_k1", "_k2", F.col("text").cast("string").alias("text")), k, seed, budget)
+    first = marked.groupBy("fp").agg(F.min(F.struct("_id", "_k1", "_k2")).alias("first"))
+    first = common.materialize(first, "first-of-fingerprint").join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = common.materialize(first.select("first.*"), "kept")
+    on = ["_id", "_k1", "_k2"]
+    return keyed.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
