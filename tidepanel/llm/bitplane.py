@@ -20,9 +20,11 @@ from __future__ import annotations
 import io
 import itertools
 import json
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ from . import common
 MAGIC = b"TPBP0001"
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 LONGEST_CACHED = 64
 
 
@@ -141,13 +143,17 @@ class ShardReader:
             left = whole[n:]
 
 
-_ENCODERS: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_ENCODERS: dict[str, tuple] = {}
+#: An ASCII mark after an ASCII letter or digit: the splitting pattern parts the two there, whatever they are. An
+#: apostrophe isn't among the marks, as it can begin a contraction.
+_MARK = re.compile(rb"(?<=[0-9a-z])[!-&(-/:-@\[-`{-~]")
 
 
 def library_encoder(path: str):
     """texts -> ids as little-endian unsigned 32-bit bytes, by the tokenizers library. The normaliser of the file maps white
-    space to a blank that the splitter drops, so ASCII white space cuts a text into words that are encoded apart; each
-    worker keeps the ids of words it has met. ASCII is lower-cased first unless that could make a special token."""
+    space to a blank that the splitter drops, so ASCII white space cuts a text into words that are encoded apart, and a
+    blank may go before a mark that the splitter parts anyway; each worker keeps the ids of words that it has met. ASCII is
+    lower-cased first. Texts that could hold a special token are cut at white space alone."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -161,20 +167,23 @@ def library_encoder(path: str):
     tokenizer, known = _ENCODERS[path]
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [(t if b"<|" in t else _MARK.sub(rb" \g<0>", t.lower())).split() for t in texts]
         if len(known) > CACHED_WORDS:
             known.clear()
-        new = list(set(itertools.chain.from_iterable(split)).difference(known))
-        own = dict(known) if len(new) > CACHED_WORDS else known
+        found = [list(map(known.get, words)) for words in split]
+        gaps = [[i for i, ids in enumerate(got) if ids is None] if None in got else () for got in found]
+        new = list({words[i] for words, at in zip(split, gaps, strict=True) for i in at})
         for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                own[word] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(own.__getitem__, words)) for words in split]
+            some = new[i : i + 4096]
+            for word, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                known[word] = array("I", e.ids).tobytes()
+        for words, got, at in zip(split, found, gaps, strict=True):
+            for i in at:
+                got[i] = known[words[i]]
         for word in new:
             if len(word) > LONGEST_CACHED:
-                own.pop(word, None)
-        return out
+                del known[word]
+        return [b"".join(got) for got in found]
 
     return encode
 
