@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that one numpy step works on; a longer single text is worked on alone.
 SLICE_BYTES = 1 << 21
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +34,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written once in the shared folder and read back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # its shuffle files go when the write is done, not when the driver collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

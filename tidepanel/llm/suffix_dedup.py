@@ -60,15 +60,17 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
         extra = reach + 1 - width
         least = np.minimum(least[: len(least) - extra], least[extra:]) if extra else least
         owner = (least & U(0xFFFFFF)).astype(np.int64)
-        row = np.searchsorted(offs, np.arange(p, q), "right") - 1 if len(offs) > 2 else np.zeros(q - p, np.int64)
-        start = np.flatnonzero(np.arange(p, q) + length <= offs[row + 1])
+        whole = np.ones(q - p, bool)
+        for end in offs[np.searchsorted(offs, p, "right") : np.searchsorted(offs, q + length, "left")].tolist():
+            whole[max(0, end - length + 1 - p) : max(0, end - p)] = False  # these would cross the end of a row
+        start = np.flatnonzero(whole)
         if not len(start):
             continue
         own = owner[start]
         first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)]))
         last = np.concatenate([first[1:] - 1, [len(start) - 1]])
         at = own[first]
-        r = row[start[first]]
+        r = np.searchsorted(offs, start[first] + p, "right") - 1
         base = offs[r]
         out.append((r, common.mix64(hashed[at]), at + p - base, start[first] + p - base, start[last] + p - base))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, U), *[np.empty(0, np.int64)] * 3)
@@ -179,6 +181,7 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 64, most: in
     repeated = common.materialize(keys.where("a <> b").select("key", (F.col("n") > most).alias("hot")), "repeated-keys")
     texts = common.distinct_texts(docs)
     places = _anchor_rows(texts, length, gram).join(repeated, "key").groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "place", "hot")).alias("places"))
+    places = common.materialize(places, "places")
     with_text = texts.select("k1", "k2", "text").join(places, ["k1", "k2"])
 
     def contexts(batches, with_bytes):
