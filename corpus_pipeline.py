@@ -36,13 +36,10 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256 of each document."""
+    """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, ids of each document."""
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    decoded = bpe.decode_ids(coded, path)
-    return decoded.select("doc_id", "lang", "source", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.round_trip_digests(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Words and pieces whose ids a worker keeps; beyond it the store starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 LONGEST_CACHED = 64
 
 
@@ -201,31 +201,30 @@ def decode_ids(rows: DataFrame, vocab_path: str, ids: str = "ids", text: str = "
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())]))
 
 
-def round_trip_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 of every row: encode, decode and digest in one pass, so that neither ids
-    nor decoded texts leave the worker."""
+def round_trip_digests(docs: DataFrame, vocab_path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """docs with n_tokens, ids_sha256, decoded_sha256, and ids if asked for, instead of the text: encode, decode and digest
+    in one pass, so that decoded texts don't leave the worker."""
     common.ensure_importable(docs.sparkSession)
-    rows = docs.select(id_col, text)
-    kind = rows.schema[id_col].dataType.simpleString()
+    kept = [f for f in docs.schema.fields if f.name not in (text, "n_tokens", "ids_sha256", "decoded_sha256", "ids")]
+    rows = docs.select(*(f.name for f in kept), text)
+    new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *[T.StructField("ids", T.BinaryType())] * with_ids]
 
     def run(batches):
         c = coder(vocab_path)
         for part, data, offs in common.slices(batches, text):
             coded = [c.encode(t) for t in _texts(data, offs)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array([len(x) // 4 for x in coded], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()),
-                    pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in coded], pa.string()),
-                ],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [
+                pa.array([len(x) // 4 for x in coded], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()),
+                pa.array([hashlib.sha256(c.decode(x).encode()).hexdigest() for x in coded], pa.string()),
+                *[pa.array(coded, pa.binary())] * with_ids,
+            ]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *columns], names=[*(f.name for f in kept), *(f.name for f in new)])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, T.StructType([*kept, *new]))
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return round_trip_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return round_trip_digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy step works on; a longer single text is worked on alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -44,7 +45,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package when the repository runs from its folder and isn't installed."""
+    """Let Python workers import this package when the repository runs from its folder and isn't installed; and, unless the
+    session has a size of its own, send them Arrow batches of few enough rows for long texts."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -30,6 +30,9 @@ from . import common
 FEATURES = 1 << 18
 STEP = 24
 LEAST_WORDS = 6
+#: Words of more than this share of the documents are common; it only sets how tight the bound before projection is.
+COMMON = 0.05
+CLASS_BITS = 22
 U = np.uint64
 
 
@@ -97,10 +100,12 @@ class Index:
     words: list[np.ndarray]  # word hashes of each passage
     answers: list[np.ndarray]
     idf2: np.ndarray  # squared idf by feature
-    vocabulary: np.ndarray  # features of the benchmark, ascending
+    vocabulary: np.ndarray  # word hashes of the benchmark, ascending
     axes: np.ndarray  # vocabulary x rank
     latent: np.ndarray  # passages x rank, projected and divided by the passage's full length
     kept: np.ndarray  # share of each passage's length that the projection keeps
+    classes: np.ndarray  # by the low bits of a word's hash: 0 not of the vocabulary, 1 a common word, 2 another
+    slopes: tuple[float, float]  # most that a unit of a document passage's common and other words adds to a cosine
 
 
 def passages_of(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -120,8 +125,8 @@ def passages_of(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _weights(words: np.ndarray, idf2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    f, tf = np.unique(features_of(words), return_counts=True)
-    return f, np.sqrt(tf * idf2[f])
+    w, tf = np.unique(words, return_counts=True)
+    return w, np.sqrt(tf * idf2[features_of(w)])
 
 
 def build_index(spark, items: list[tuple], df: np.ndarray, n_docs: int, rank: int, seed: int = 3, tasks: int = 4) -> Index | None:
@@ -158,7 +163,14 @@ def build_index(spark, items: list[tuple], df: np.ndarray, n_docs: int, rank: in
     axes = q @ turn[:, np.argsort(-values)]
     latent = np.stack([(x / max(n, 1e-9)) @ axes[np.searchsorted(vocabulary, f)] for (f, x), n in zip(weighted, length, strict=True)])
     kept = np.sqrt((latent**2).sum(1))
-    return Index([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], idf2, vocabulary, axes.astype(np.float32), latent.astype(np.float32), kept)
+    common_word = df[features_of(vocabulary)] > COMMON * n_docs
+    back = latent @ axes.T  # passages in the vocabulary's space again
+    slopes = tuple(float((np.sqrt((back[:, part] ** 2).sum(1)) / np.maximum(kept**2, 1e-9)).max()) for part in (common_word, ~common_word))
+    classes = np.zeros(1 << CLASS_BITS, np.uint8)
+    slot = (vocabulary & U((1 << CLASS_BITS) - 1)).astype(np.int64)
+    classes[slot[common_word]] = 1
+    classes[slot[~common_word]] = 2
+    return Index([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], idf2, vocabulary, axes.astype(np.float32), latent.astype(np.float32), kept, classes, slopes)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -181,10 +193,8 @@ def search(index: Index, data: np.ndarray, offs: np.ndarray, least_cosine: float
     h, _, counts = words_of(data, offs)
     if not len(h):
         return []
-    f = features_of(h)
-    mass = index.idf2[f]
-    known = np.zeros(FEATURES, bool)
-    known[index.vocabulary] = True
+    mass = index.idf2[features_of(h)]
+    kind = index.classes[(h & U((1 << CLASS_BITS) - 1)).astype(np.int64)]
     halves = -(-counts // STEP)
     half_base = np.cumsum(halves) - halves
     inner = common.ragged(counts) // STEP
@@ -192,16 +202,15 @@ def search(index: Index, data: np.ndarray, offs: np.ndarray, least_cosine: float
     begin = np.flatnonzero(np.concatenate([[True], half_of[1:] != half_of[:-1]]))  # first word of each half
     size = np.diff(np.append(begin, len(h)))
     half_mass = np.add.reduceat(mass, begin)
-    half_known = np.add.reduceat(np.where(known[f], mass, 0), begin)
+    half_known = [np.add.reduceat(np.where(kind == k, mass, 0), begin) for k in (1, 2)]
     row_of_half = np.repeat(np.arange(len(counts)), halves)
     second = np.zeros(len(begin), bool)  # halves whose follower belongs to the same row
     second[:-1] = row_of_half[1:] == row_of_half[:-1]
     is_passage = second.copy()
     is_passage[half_base[halves == 1]] = True
     whole = half_mass + np.where(second, np.append(half_mass[1:], 0), 0)
-    whole_known = half_known + np.where(second, np.append(half_known[1:], 0), 0)
-    bound = (least_cosine * index.kept.min()) ** 2
-    chosen = np.flatnonzero(is_passage & (whole_known >= bound * whole))
+    usual, other = (np.sqrt(x + np.where(second, np.append(x[1:], 0), 0)) for x in half_known)
+    chosen = np.flatnonzero(is_passage & (index.slopes[0] * usual + index.slopes[1] * other >= least_cosine * np.sqrt(whole) * 0.999))
     row_end = np.cumsum(counts)
     out: dict[tuple[int, object], tuple] = {}
     for c in range(0, len(chosen), 1024):
@@ -209,11 +218,13 @@ def search(index: Index, data: np.ndarray, offs: np.ndarray, least_cosine: float
         n = size[part] + np.where(second[part], np.append(size[1:], 0)[part], 0)
         token = np.repeat(begin[part], n) + common.ragged(n)
         which = np.repeat(np.arange(len(part)), n)
-        inside = known[f[token]]
-        pair, tf = np.unique(which[inside] * FEATURES + f[token][inside], return_counts=True)
-        owner, feature = pair // FEATURES, pair % FEATURES
-        value = np.sqrt(tf * index.idf2[feature]).astype(np.float32)
-        projected = common.row_sums(value[:, None] * index.axes[np.searchsorted(index.vocabulary, feature)], np.bincount(owner, minlength=len(part)))
+        word = h[token]
+        place = np.minimum(np.searchsorted(index.vocabulary, word), len(index.vocabulary) - 1)
+        inside = index.vocabulary[place] == word
+        pair, tf = np.unique(which[inside] * len(index.vocabulary) + place[inside], return_counts=True)
+        owner, at = pair // len(index.vocabulary), pair % len(index.vocabulary)
+        value = np.sqrt(tf * index.idf2[features_of(index.vocabulary[at])]).astype(np.float32)
+        projected = common.row_sums(value[:, None] * index.axes[at], np.bincount(owner, minlength=len(part)))
         cosine = projected @ index.latent.T / np.sqrt(np.maximum(whole[part], 1e-9))[:, None]
         for p, q in zip(*np.nonzero(cosine >= least_cosine * index.kept**2), strict=True):
             half = part[p]
