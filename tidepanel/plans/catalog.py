@@ -1,10 +1,506 @@
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+"""Queries over the test tables, each an operator of the library at work, and their SQL where SQL can say them."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..operators import graph, panel, quality, stats
+from ..streaming import ingest
 
-def oracle_sql():
-    return {}
+KEYWORDS = {"Legal": ("license", "released under"), "Insult": ("idiot", "pathetic"), "Iberian": ("que", "ñ", "de la"), "German": ("und", "der")}
+MACRO = ("that", "avec", "con")
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+def _rounded(df: DataFrame, *names: str, n: int = 6) -> DataFrame:
+    return df.withColumns({c: _r(F.col(c).cast("double"), n) for c in names})
+
+
+def _scored(s, d):
+    """Events as articles: a score from the value, a weight from the properties, null where the value is small."""
+    e = _t(s, d, "events")
+    k = X.col(F.get_json_object("props", "$.k")).try_cast("int")
+    return e.select("event_id", "user_id", F.to_date("ts").alias("trade_date"), F.col("event_type").alias("sector_label"), X.clip_score(F.when(F.col("value") >= 5, (F.col("value") - 50) / 53.3)).alias("sentiment_score"), (F.lit(1.0) / (1 + F.coalesce(k, F.lit(0)) % 3)).alias("sector_weight"), F.col("user_id").cast("string").alias("article_id"))
+
+
+_SCORED = "SELECT event_id, user_id, CAST(ts AS DATE) trade_date, event_type sector_label, CASE WHEN value >= 5 THEN greatest(-1.0, least(1.0, (value - 50) / 53.3::DOUBLE)) END::DOUBLE sentiment_score, 1.0::DOUBLE / (1 + coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT), 0) % 3) sector_weight, CAST(user_id AS VARCHAR) article_id FROM events"
+_DAILY = f"""SELECT trade_date, sector_label, count(DISTINCT article_id)::BIGINT article_count, count(*)::BIGINT row_count, round(sum(sector_weight), 6) weighted_article_count,
+ round(avg(sentiment_score), 6) sentiment_mean, round(sum(sentiment_score), 6) sentiment_sum, round(sum(sentiment_score * sector_weight), 6) weighted_sentiment_sum,
+ round(sum(sentiment_score * sector_weight) / nullif(sum(CASE WHEN sentiment_score IS NOT NULL THEN sector_weight END), 0), 6) sentiment_weighted_mean,
+ count(*) FILTER (sentiment_score > 0.05)::BIGINT positive_count, count(*) FILTER (abs(sentiment_score) <= 0.05)::BIGINT neutral_count, count(*) FILTER (sentiment_score < -0.05)::BIGINT negative_count,
+ round(coalesce(sum(sector_weight) FILTER (sentiment_score > 0.05), 0), 6) positive_weighted_count, round(coalesce(sum(sector_weight) FILTER (abs(sentiment_score) <= 0.05), 0), 6) neutral_weighted_count, round(coalesce(sum(sector_weight) FILTER (sentiment_score < -0.05), 0), 6) negative_weighted_count
+ FROM ({_SCORED}) GROUP BY 1, 2"""
+_DOUBLES = ["weighted_article_count", "sentiment_mean", "sentiment_sum", "weighted_sentiment_sum", "sentiment_weighted_mean", "positive_weighted_count", "neutral_weighted_count", "negative_weighted_count"]
+
+
+def daily_entity_sentiment(s, d):
+    return _rounded(panel.daily_sentiment(_scored(s, d)), *_DOUBLES)
+
+
+def distinct_article_count(s, d):
+    return _scored(s, d).groupBy("trade_date").agg(F.countDistinct("article_id").alias("articles"))
+
+
+def _weekdays(days: DataFrame) -> DataFrame:
+    every = days.select(F.explode(F.sequence(F.min("d"), F.max("d"))).alias("trade_date"))
+    return every.where(F.weekday("trade_date") < 5)
+
+
+def session_bucket(s, d):
+    e = _t(s, d, "events").select("event_id", F.col("ts").alias("published_at_vn"))
+    days = _weekdays(e.select(F.to_date("published_at_vn").alias("d")))
+    return panel.map_sessions(e, days).select("event_id", "session_bucket", "trade_date", "mapped_reason", "is_mapped")
+
+
+_WEEKDAYS = "SELECT d::DATE d FROM (SELECT unnest(generate_series((SELECT min({c})::DATE FROM {t}), (SELECT max({c})::DATE FROM {t}), INTERVAL 1 DAY)) d) WHERE isodow(d) < 6"
+_SESSION = f"""WITH c AS ({_WEEKDAYS.format(c="ts", t="events")}), u AS (SELECT DISTINCT ts::DATE d FROM events), m AS (SELECT u.d, bool_or(c.d = u.d) is_t, min(c.d) FILTER (c.d >= u.d) ge, min(c.d) FILTER (c.d > u.d) gt FROM u CROSS JOIN c GROUP BY 1),
+ x AS (SELECT event_id, strftime(ts, '%H:%M:%S') k, m.* FROM events JOIN m ON ts::DATE = m.d), y AS (SELECT *, CASE WHEN NOT is_t THEN ge WHEN k < '14:45:00' THEN d ELSE gt END td FROM x)
+ SELECT event_id, CASE WHEN NOT is_t THEN 'NEXT_MORNING' WHEN k < '09:00:00' THEN 'PRE_MARKET' WHEN k < '11:30:00' THEN 'MORNING' WHEN k < '14:45:00' THEN 'AFTERNOON' ELSE 'NEXT_MORNING' END session_bucket, td trade_date,
+ CASE WHEN td IS NULL THEN 'no_next_trading_day_found' WHEN NOT is_t THEN 'non_trading_day_to_next_morning' WHEN k < '09:00:00' THEN 'before_market_open' WHEN k < '11:30:00' THEN 'morning_session' WHEN k < '14:45:00' THEN 'afternoon_session' ELSE 'after_close_to_next_morning' END mapped_reason, td IS NOT NULL is_mapped FROM y"""
+
+
+def _asof(which: str):
+    def query(s, d):
+        o = _t(s, d, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+        cal = panel.calendar_map(_weekdays(o), o.withColumnRenamed("d", "date"))
+        return o.join(F.broadcast(cal), F.col("d") == F.col("date"), "left").select("d", F.col(which).alias("trading_day"))
+
+    return query
+
+
+def _asof_sql(op: str) -> str:
+    return f"WITH c AS ({_WEEKDAYS.format(c='o_orderdate', t='orders')}), o AS (SELECT DISTINCT o_orderdate::DATE d FROM orders) SELECT o.d, (SELECT min(c.d) FROM c WHERE c.d {op} o.d) trading_day FROM o"
+
+
+def _prices(s, d):
+    li = _t(s, d, "lineitem").join(_t(s, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return li.groupBy(F.to_date("l_shipdate").alias("trade_date"), F.col("p_brand").alias("ticker")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
+
+
+_PRICES = "SELECT l_shipdate::DATE trade_date, p_brand ticker, avg(l_extendedprice / l_quantity) AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
+_RETURNS = f"SELECT *, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY trade_date), 0) - 1 ret FROM ({_PRICES})"
+
+
+def ticker_returns(s, d):
+    return panel.simple_returns(_prices(s, d)).select("trade_date", "ticker", _r("close").alias("close"), _r("ret").alias("ret"))
+
+
+def _members(s, d):
+    return _t(s, d, "part").select(F.col("p_brand").alias("ticker"), F.concat(F.lit("G"), F.substring("p_brand", 7, 1)).alias("sector")).distinct()
+
+
+def _group_returns(s, d):
+    return panel.group_returns(panel.simple_returns(_prices(s, d)), _members(s, d))
+
+
+_GROUPS = f"""WITH m AS (SELECT DISTINCT p_brand ticker, 'G' || substr(p_brand, 7, 1) sector FROM part), z AS (SELECT sector, count(*) n FROM m GROUP BY 1), r AS ({_RETURNS}), k AS (SELECT trade_date, sector, avg(ret) a, count(ret) c FROM r JOIN m USING (ticker) GROUP BY 1, 2),
+ g AS (SELECT t.trade_date, z.sector, z.n FROM (SELECT trade_date FROM k GROUP BY 1 HAVING sum(c) > 0) t CROSS JOIN z) SELECT g.trade_date, g.sector, a sector_return, coalesce(c, 0)::BIGINT ticker_count, (n - coalesce(c, 0))::BIGINT missing_count FROM g LEFT JOIN k USING (trade_date, sector)"""
+
+
+def sector_returns(s, d):
+    return _rounded(_group_returns(s, d), "sector_return")
+
+
+_G = ["G1", "G2", "G3", "G4", "G5"]
+
+
+def sector_returns_wide(s, d):
+    return _rounded(panel.widen(_group_returns(s, d), "trade_date", "sector", "sector_return", _G, "ret_"), *[f"ret_{g}" for g in _G])
+
+
+def _segment_daily(s, d):
+    """Orders as daily sentiment of five groups: a series per segment, scaled by a number that leaves no ties to round."""
+    o = _t(s, d, "orders").join(_t(s, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.groupBy(F.to_date("o_orderdate").alias("trade_date"), F.col("c_mktsegment").alias("segment")).agg(F.avg(F.col("o_totalprice") / 7777.7).alias("v"), F.count(F.lit(1)).alias("n"))
+
+
+_SEGMENTS = "SELECT o_orderdate::DATE trade_date, c_mktsegment segment, avg(o_totalprice / 7777.7::DOUBLE) v, count(*)::BIGINT n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
+_SEG_TO_G = {"AUTOMOBILE": "G1", "BUILDING": "G2", "FURNITURE": "G3", "HOUSEHOLD": "G4", "MACHINERY": "G5"}
+
+
+def _sentiment_by_group(s, d):
+    m = F.create_map(*[F.lit(x) for p in _SEG_TO_G.items() for x in p])
+    return _segment_daily(s, d).select("trade_date", m[F.col("segment")].alias("sector"), F.col("v").alias("sentiment_weighted_mean"), F.col("n").alias("article_count"))
+
+
+_SENT_G = f"SELECT trade_date, {'CASE segment ' + ' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _SEG_TO_G.items()) + ' END'} sector, v sentiment_weighted_mean, n article_count FROM ({_SEGMENTS})"
+
+
+def _merged(s, d):
+    return panel.merge_long(_group_returns(s, d), _sentiment_by_group(s, d), ["trade_date", "sector"])
+
+
+_MERGED = f"SELECT * FROM ({_GROUPS}) LEFT JOIN ({_SENT_G}) USING (trade_date, sector)"
+
+
+def merge_long(s, d):
+    return _rounded(_merged(s, d), "sector_return", "sentiment_weighted_mean")
+
+
+def merge_wide(s, d):
+    a = panel.widen(_group_returns(s, d), "trade_date", "sector", "sector_return", _G, "ret_")
+    b = panel.widen(_sentiment_by_group(s, d), "trade_date", "sector", "sentiment_weighted_mean", _G, "sent_")
+    return _rounded(a.join(b, "trade_date", "left"), *[p + g for p in ("ret_", "sent_") for g in _G])
+
+
+def _wide_sql(src: str, v: str, p: str) -> str:
+    return f"SELECT trade_date, {', '.join(f"round(max({v}) FILTER (sector = '{g}'), 6) {p}{g}" for g in _G)} FROM ({src}) GROUP BY 1"
+
+
+def coverage_report(s, d):
+    out = panel.coverage(_merged(s, d), entity="sector")
+    return _rounded(out, "return_missing_ratio", "sentiment_missing_ratio", "both_non_null_ratio", "total_article_count")
+
+
+_COVERAGE = f"""SELECT sector, count(*)::BIGINT n_trading_days, count(sector_return)::BIGINT return_non_null_count, (count(*) - count(sector_return))::BIGINT return_missing_count, round((count(*) - count(sector_return)) / count(*)::DOUBLE, 6) return_missing_ratio,
+ count(sentiment_weighted_mean)::BIGINT sentiment_non_null_count, (count(*) - count(sentiment_weighted_mean))::BIGINT sentiment_missing_count, round((count(*) - count(sentiment_weighted_mean)) / count(*)::DOUBLE, 6) sentiment_missing_ratio,
+ count(*) FILTER (sector_return IS NOT NULL AND sentiment_weighted_mean IS NOT NULL)::BIGINT both_non_null_count, round(count(*) FILTER (sector_return IS NOT NULL AND sentiment_weighted_mean IS NOT NULL) / count(*)::DOUBLE, 6) both_non_null_ratio,
+ count(*) FILTER (article_count > 0)::BIGINT article_days_count, round(sum(article_count)::DOUBLE, 6) total_article_count FROM ({_MERGED}) GROUP BY 1"""
+
+
+def overlap_window(s, d):
+    a, b = (df.agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi")) for df in (_group_returns(s, d), _sentiment_by_group(s, d)))
+    return a.union(b).agg(F.max("lo").alias("overlap_start"), F.min("hi").alias("overlap_end"))
+
+
+def dedup_keep_last(s, d):
+    e = _t(s, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), _r("value").alias("value"))
+    return panel.keep_last(e, ["user_id", "day"], "event_id")
+
+
+def unpivot_panel(s, d):
+    wide = panel.widen(_segment_daily(s, d), "trade_date", "segment", "v", list(_SEG_TO_G))
+    return _rounded(panel.lengthen(wide, "trade_date", list(_SEG_TO_G), "segment", "v"), "v")
+
+
+def _labelled(s, d):
+    docs = _t(s, d, "documents").select("doc_id", X.fold("text").alias("folded"))
+    return docs.select("doc_id", X.sectors_in(F.col("folded"), KEYWORDS).alias("sector_labels"), X.has_keyword(F.col("folded"), MACRO).alias("is_macro")).withColumn("is_sector_mapped", F.size("sector_labels") > 0)
+
+
+def _kw_sql(words) -> str:
+    return "(^|[^\\pL\\pN_])(" + "|".join(X.fold_text(w) for w in words) + ")($|[^\\pL\\pN_])"
+
+
+_FOLDED = "strip_accents(lower(coalesce(text, '')))"
+_LABELS = f"SELECT doc_id, list_filter([{', '.join(f"CASE WHEN regexp_matches({_FOLDED}, '{_kw_sql(w)}') THEN '{k}' END" for k, w in KEYWORDS.items())}], lambda x: x IS NOT NULL) labels, regexp_matches({_FOLDED}, '{_kw_sql(MACRO)}') is_macro FROM documents"
+
+
+def keyword_label(s, d):
+    return _labelled(s, d).select("doc_id", F.array_join("sector_labels", "|").alias("labels"), "is_macro")
+
+
+def explode_weighted(s, d):
+    out = panel.explode_sectors(_labelled(s, d))
+    return out.groupBy("sector_label").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("sector_weight")).alias("weight"))
+
+
+def ticker_parse(s, d):
+    n = _t(s, d, "nation").join(_t(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_nationkey", F.array_join(X.ticker_list(F.concat_ws(", ", "n_name", "r_name")), "|").alias("tickers"))
+
+
+def json_extract(s, d):
+    return _t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+
+
+def parse_dates(s, d):
+    o = _t(s, d, "orders").select("o_orderkey", "o_orderdate")
+    f = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy - HH:mm"))
+    return o.select("o_orderkey", F.to_date(X.parse_datetime(f)).alias("day"))
+
+
+def _segments(s, d):
+    return _segment_daily(s, d)
+
+
+def lead_lag_all(s, d):
+    seg = _segments(s, d)
+    return _rounded(stats.lead_lag(seg, seg, "segment", "trade_date", "v"), "corr")
+
+
+_LEADS = f"""WITH g AS ({_SEGMENTS}), l AS (SELECT segment r, trade_date, k lag, CASE k {' '.join(f'WHEN {k} THEN lead(v, {k}) OVER (PARTITION BY segment, k ORDER BY trade_date)' for k in range(6))} END y FROM g CROSS JOIN range(6) t(k)),
+ p AS (SELECT g.segment s, l.r, l.lag::INT lag, g.v x, l.y FROM g JOIN l USING (trade_date)) SELECT s, r, lag, CASE WHEN count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) >= 30 THEN corr(x, y) END corr, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL)::BIGINT n_obs FROM p GROUP BY 1, 2, 3"""
+
+
+def lead_lag_best(s, d):
+    seg = _segments(s, d)
+    return _rounded(stats.best_lag(stats.lead_lag(seg, seg, "segment", "trade_date", "v")), "corr")
+
+
+def lead_lag_pvalues(s, d):
+    seg = _segments(s, d)
+    best = stats.best_lag(stats.lead_lag(seg, seg, "segment", "trade_date", "v"))
+    return best.withColumn("pvalue", stats.t_pvalue("corr", "n_obs")).withColumn("significant", F.coalesce(F.col("pvalue") < 0.05, F.lit(False)))
+
+
+def _matrix(s, d):
+    return stats.correlation_matrix(_segments(s, d), "segment", "trade_date", "v")
+
+
+_MATRIX = f"WITH g AS ({_SEGMENTS}), f AS (SELECT trade_date FROM g GROUP BY 1 HAVING count(v) = (SELECT count(DISTINCT segment) FROM g)), h AS (SELECT g.* FROM g JOIN f USING (trade_date)) SELECT a.segment a, b.segment b, corr(a.v, b.v) corr FROM h a JOIN h b USING (trade_date) GROUP BY 1, 2"
+_THRESHOLD = f"m AS ({_MATRIX}), t AS (SELECT quantile_cont(abs(corr), 0.75) q FROM m WHERE a < b)"
+
+
+def corr_matrix(s, d):
+    return _rounded(_matrix(s, d), "corr")
+
+
+def corr_threshold_edges(s, d):
+    m = _matrix(s, d)
+    return _rounded(graph.threshold_edges(m, stats.corr_threshold(m)), "corr", "abs_corr")
+
+
+def corr_node_metrics(s, d):
+    m = _matrix(s, d)
+    return _rounded(graph.corr_nodes(m, stats.corr_threshold(m)), "weighted_degree", "avg_abs_corr")
+
+
+def _paired(s, d):
+    return stats.pairs(_segments(s, d), "segment", "trade_date", "v")
+
+
+def granger_f_lag1(s, d):
+    return _rounded(stats.granger_lag1(_paired(s, d)), "f_stat", n=5)
+
+
+_GRANGER = f"""WITH g AS ({_SEGMENTS}), p AS (SELECT a.segment AS source, b.segment AS target, trade_date t, a.v x, b.v y FROM g a JOIN g b USING (trade_date) WHERE a.segment <> b.segment), l AS (SELECT *, lag(y) OVER w y1, lag(x) OVER w x1 FROM p WINDOW w AS (PARTITION BY source, target ORDER BY t)),
+ c AS (SELECT source, target, corr(y, y1) a, corr(y, x1) b, corr(y1, x1) r, count(*) + 1 n FROM l WHERE y1 IS NOT NULL GROUP BY 1, 2), u AS (SELECT *, (a * a + b * b - 2 * a * b * r) / (1 - r * r) f FROM c) SELECT source, target, n::BIGINT n_obs, round((f - a * a) / (1 - f) * (n - 4), 5) f_stat FROM u"""
+
+
+def granger_full(s, d):
+    return stats.multiplicity(stats.granger(_paired(s, d)), tie=["source", "target"])
+
+
+def stationarity(s, d):
+    return stats.stationarity(_segments(s, d), "segment", "trade_date", "v")
+
+
+def _pvalues(s, d):
+    e = _t(s, d, "events")
+    top = e.agg(F.max("value").alias("top"))
+    return e.where("value is not null").crossJoin(F.broadcast(top)).select("event_id", "event_type", (F.col("value") / (F.col("top") + 1)).alias("p_value"))
+
+
+def bh_fdr(s, d):
+    out = stats.multiplicity(_pvalues(s, d), run=["event_type"], tie=["event_id"])
+    return _rounded(out.select("event_id", "p_value_fdr_bh", "p_value_bonferroni", "significant_raw_05", "significant_bonferroni_05"), "p_value_fdr_bh", "p_value_bonferroni")
+
+
+_BH = """WITH p AS (SELECT event_id, event_type, value / ((SELECT max(value) FROM events) + 1) p FROM events WHERE value IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) k, count(*) OVER (PARTITION BY event_type) m FROM p)
+ SELECT event_id, round(least(min(p * m / k) OVER (PARTITION BY event_type ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1.0), 6) p_value_fdr_bh, round(least(p * m, 1.0), 6) p_value_bonferroni, p < 0.05 significant_raw_05, least(p * m, 1.0) <= 0.05 significant_bonferroni_05 FROM r"""
+
+
+def _trade(s, d):
+    """Line items from supplier's to customer's nation."""
+    su = _t(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("sn"))
+    cu = _t(s, d, "customer").select("c_custkey", F.col("c_nationkey").alias("cn"))
+    li = _t(s, d, "lineitem").select("l_orderkey", "l_suppkey")
+    o = _t(s, d, "orders").select("o_orderkey", "o_custkey")
+    flows = li.join(su, li.l_suppkey == su.s_suppkey).join(o, li.l_orderkey == o.o_orderkey).join(cu, o.o_custkey == cu.c_custkey).groupBy("sn", "cn").agg(F.count(F.lit(1)).alias("n"))
+    n = _t(s, d, "nation").select("n_nationkey", "n_name")
+    named = flows.join(n.toDF("sn", "source"), "sn").join(n.toDF("cn", "target"), "cn")
+    return named.select("source", "target", (1.0 / F.col("n")).alias("p_value"), (F.col("n") % 3 == 0).alias("flag"))
+
+
+_TRADE = "SELECT a.n_name AS source, b.n_name AS target, 1.0::DOUBLE / count(*) p_value, count(*) % 3 = 0 flag FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey GROUP BY 1, 2"
+_EDGES = f"SELECT source, target, -log10(greatest(least(p_value, 1.0), 1e-12)) edge_weight FROM ({_TRADE}) WHERE flag"
+
+
+def _edges(s, d):
+    return graph.edge_table(_trade(s, d), "flag", "p_value", "raw")
+
+
+def _nodes(s, d):
+    return _t(s, d, "nation").select(F.col("n_name").alias("node"), F.col("n_nationkey").alias("ord"))
+
+
+def graph_edges(s, d):
+    return _rounded(_edges(s, d).select("source", "target", "edge_weight", "edge_type"), "edge_weight")
+
+
+def degree_metrics(s, d):
+    return _rounded(graph.node_degrees(_edges(s, d), _nodes(s, d)).select("node", "in_degree", "out_degree", "total_degree", "self_loop_count", "weighted_in_degree", "weighted_out_degree"), "weighted_in_degree", "weighted_out_degree")
+
+
+_DEGREES = f"""WITH e AS ({_EDGES}) SELECT n_name node, i.c::BIGINT in_degree, o.c::BIGINT out_degree, (i.c + o.c)::BIGINT total_degree, l.c::BIGINT self_loop_count, round(i.w, 6) weighted_in_degree, round(o.w, 6) weighted_out_degree FROM nation,
+ LATERAL (SELECT count(*) c, coalesce(sum(edge_weight), 0) w FROM e WHERE target = n_name AND source <> target) i, LATERAL (SELECT count(*) c, coalesce(sum(edge_weight), 0) w FROM e WHERE source = n_name AND source <> target) o, LATERAL (SELECT count(*) c FROM e WHERE source = n_name AND source = target) l"""
+
+
+def graph_summary(s, d):
+    return _rounded(graph.network_summary(_edges(s, d), _nodes(s, d), "raw"), "strongest_edge_weight", "density_cross")
+
+
+def topk_edges(s, d):
+    return _rounded(_edges(s, d).select("source", "target", "edge_weight").orderBy(F.desc_nulls_last("edge_weight"), "source", "target").limit(10), "edge_weight")
+
+
+PR_ROUNDS = 4
+
+
+def pagerank_k_iters(s, d):
+    return _rounded(graph.pagerank(_edges(s, d), _nodes(s, d), rounds=PR_ROUNDS), "pagerank")
+
+
+def _pagerank_sql() -> str:
+    parts = [f"e AS (SELECT * FROM ({_EDGES}) WHERE source <> target)", "t AS (SELECT source, sum(edge_weight) w FROM e GROUP BY 1)", "n AS (SELECT n_name node, (SELECT count(*) FROM nation) c FROM nation)", "r0 AS (SELECT node, 1.0::DOUBLE / c r FROM n)"]
+    for i in range(PR_ROUNDS):
+        parts.append(f"f{i} AS (SELECT target, sum(edge_weight / w * r) g FROM e JOIN t USING (source) JOIN r{i} ON source = node GROUP BY 1)")
+        parts.append(f"r{i + 1} AS (SELECT n.node, 0.15::DOUBLE / c + 0.85::DOUBLE * (coalesce(g, 0) + coalesce((SELECT sum(r) FROM r{i} WHERE node NOT IN (SELECT source FROM t)), 0) / c) r FROM n LEFT JOIN f{i} ON n.node = target)")
+    return f"WITH {', '.join(parts)} SELECT node, round(r, 6) pagerank FROM r{PR_ROUNDS}"
+
+
+def pagerank_converged(s, d):
+    return graph.pagerank(_edges(s, d), _nodes(s, d))
+
+
+def hits_betweenness(s, d):
+    return graph.central_scores(_edges(s, d), _nodes(s, d))
+
+
+def _second(s, d):
+    return graph.edge_table(_trade(s, d).withColumn("flag", F.round(1 / F.col("p_value")).cast("int") % 2 == 0), "flag", "p_value", "other")
+
+
+def symmetrize(s, d):
+    return graph.symmetrize(_edges(s, d))
+
+
+def network_similarity(s, d):
+    return _rounded(graph.similarity(_edges(s, d), _second(s, d), _nodes(s, d)), "value")
+
+
+_SIMILARITY = f"""WITH t AS ({_TRADE}), a AS (SELECT source, target FROM t WHERE flag AND source <> target UNION SELECT target, source FROM t WHERE flag AND source <> target), b0 AS (SELECT source, target FROM t WHERE round(1 / p_value)::INT % 2 = 0 AND source <> target), b AS (SELECT * FROM b0 UNION SELECT target, source FROM b0),
+ c AS (SELECT (SELECT count(*) FROM a)::DOUBLE x, (SELECT count(*) FROM b)::DOUBLE y, (SELECT count(*) FROM a JOIN b USING (source, target))::DOUBLE xy, (SELECT count(*) * (count(*) - 1) FROM nation)::DOUBLE m), r AS (SELECT *, (m * xy - x * y) / nullif(sqrt(x * (m - x)) * sqrt(y * (m - y)), 0) q FROM c)
+ SELECT 'first_edges' metric, x AS value FROM r UNION ALL SELECT 'second_edges', y FROM r UNION ALL SELECT 'shared_edges', xy FROM r UNION ALL SELECT 'jaccard', round(xy / nullif(x + y - xy, 0), 6) FROM r UNION ALL SELECT 'frobenius', round(sqrt(x + y - 2 * xy), 6) FROM r UNION ALL SELECT 'pearson', round(q, 6) FROM r UNION ALL SELECT 'spearman', round(q, 6) FROM r"""
+
+
+def qap(s, d):
+    return graph.qap(_edges(s, d), _second(s, d), _nodes(s, d), permutations=200)
+
+
+def missing_profile(s, d):
+    m = panel.widen(_sentiment_by_group(s, d), "trade_date", "sector", "sentiment_weighted_mean", _G, "sent_")
+    return _rounded(panel.missing_profile(m, [f"sent_{g}" for g in _G]), "missing_ratio")
+
+
+def value_counts(s, d):
+    return panel.value_counts(_t(s, d, "events"), "event_type")
+
+
+def describe_by_group(s, d):
+    return _rounded(panel.describe_by(_t(s, d, "events"), "event_type", "value"), "mean", "std", "lo", "q25", "q50", "q75", "hi")
+
+
+def upsert_latest(s, d):
+    e = _t(s, d, "events").select("user_id", "event_id", "event_type")
+    old = panel.keep_last(e.where("event_id % 2 = 0"), ["user_id"], "event_id")
+    new = panel.keep_last(e.where("event_id % 2 = 1"), ["user_id"], "event_id")
+    return panel.upsert(old, new, ["user_id"])
+
+
+def anti_new_urls(s, d):
+    p = _t(s, d, "pages").select("page_id", "url")
+    seen = p.where("page_id % 3 = 0").select(F.sha2("url", 256).alias("url_hash"))
+    return ingest.fresh_urls(p.withColumn("published_at", F.lit(None).cast("timestamp")), seen).select("url_hash").distinct()
+
+
+def sha_dedup(s, d):
+    return _t(s, d, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+def html_extract(s, d):
+    return _t(s, d, "pages").select("page_id", X.extract_article("html").alias("text"))
+
+
+def clean_text(s, d):
+    return _t(s, d, "documents").select("doc_id", X.clean_text("text").alias("text"))
+
+
+def json_object(s, d):
+    c = _t(s, d, "conversations")
+    return c.select("conv_id", "turn", X.extract_json(F.concat(F.lit("```json "), F.to_json(F.struct("role", "text")), F.lit(" ``` tail }"))).alias("obj"))
+
+
+def article_labels(s, d):
+    docs = _t(s, d, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.col("text").alias("title"), F.lit("Tích cực").alias("summary_impact"), F.element_at(F.array(*[F.lit(x) for x in ("ngân hàng", "lãi suất", "thép", "khác")]), (F.col("doc_id") % 4 + 1).cast("int")).alias("summary_sector"))
+    return panel.label_articles(docs).select("article_id", "sector_label", "sector_mapping_method", "sector_mapping_confidence", "sentiment_label", "sentiment_score", "is_macro")
+
+
+def quality_report(s, d):
+    daily = daily_entity_sentiment(s, d)
+    return quality.daily_checks(daily, entities=("click", "view", "purchase", "signup", "error"))
+
+
+def flagship(s, d):
+    """Events to sessions, daily weighted sentiment, joined to group returns by day order, with coverage by group."""
+    e = _scored(s, d)
+    at = _t(s, d, "events").select("event_id", F.col("ts").alias("published_at_vn"))
+    days = _weekdays(at.select(F.to_date("published_at_vn").alias("d")))
+    mapped = panel.map_sessions(at, days).select("event_id", F.col("trade_date").alias("day"))
+    daily = panel.daily_sentiment(e.join(mapped, "event_id").drop("trade_date").withColumnRenamed("day", "trade_date"))
+    returns = panel.simple_returns(daily.select(F.col("sector_label").alias("ticker"), "trade_date", F.col("weighted_article_count").alias("close")))
+    joined = panel.merge_long(returns.select("trade_date", F.col("ticker").alias("sector_label"), F.col("ret").alias("sector_return")), daily, ["trade_date", "sector_label"])
+    return panel.coverage(joined)
+
+
+def queries() -> dict:
+    named = (
+        daily_entity_sentiment, distinct_article_count, session_bucket, ticker_returns, sector_returns, sector_returns_wide, merge_long, merge_wide, coverage_report, overlap_window, dedup_keep_last, unpivot_panel, keyword_label, explode_weighted,
+        ticker_parse, json_extract, parse_dates, lead_lag_all, lead_lag_best, lead_lag_pvalues, corr_matrix, corr_threshold_edges, corr_node_metrics, granger_f_lag1, granger_full, stationarity, bh_fdr, graph_edges, degree_metrics, graph_summary, topk_edges,
+        pagerank_k_iters, pagerank_converged, hits_betweenness, symmetrize, network_similarity, qap, missing_profile, value_counts, describe_by_group, upsert_latest, anti_new_urls, sha_dedup, html_extract, clean_text, json_object, article_labels, quality_report, flagship,
+    )
+    return {f.__name__: f for f in named} | {"asof_next_day_inclusive": _asof("on_or_after"), "asof_next_day_strict": _asof("after")}
+
+
+def oracle_sql() -> dict[str, str]:
+    seg = list(_SEG_TO_G)
+    return {
+        "daily_entity_sentiment": _DAILY,
+        "distinct_article_count": f"SELECT trade_date, count(DISTINCT article_id)::BIGINT articles FROM ({_SCORED}) GROUP BY 1",
+        "session_bucket": _SESSION,
+        "asof_next_day_inclusive": _asof_sql(">="),
+        "asof_next_day_strict": _asof_sql(">"),
+        "ticker_returns": f"SELECT trade_date, ticker, round(close, 6) AS close, round(ret, 6) ret FROM ({_RETURNS})",
+        "sector_returns": f"SELECT trade_date, sector, round(sector_return, 6) sector_return, ticker_count, missing_count FROM ({_GROUPS})",
+        "sector_returns_wide": _wide_sql(_GROUPS, "sector_return", "ret_"),
+        "merge_long": f"SELECT trade_date, sector, round(sector_return, 6) sector_return, ticker_count, missing_count, round(sentiment_weighted_mean, 6) sentiment_weighted_mean, article_count FROM ({_MERGED})",
+        "merge_wide": f"SELECT * FROM ({_wide_sql(_GROUPS, 'sector_return', 'ret_')}) LEFT JOIN ({_wide_sql(_SENT_G, 'sentiment_weighted_mean', 'sent_')}) USING (trade_date)",
+        "coverage_report": _COVERAGE,
+        "overlap_window": f"SELECT greatest(a.lo, b.lo) overlap_start, least(a.hi, b.hi) overlap_end FROM (SELECT min(trade_date) lo, max(trade_date) hi FROM ({_GROUPS})) a, (SELECT min(trade_date) lo, max(trade_date) hi FROM ({_SENT_G})) b",
+        "dedup_keep_last": "SELECT event_id, user_id, ts::DATE AS day, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id DESC) = 1",
+        "unpivot_panel": f"WITH g AS ({_SEGMENTS}) SELECT t.trade_date, s.segment, round(g.v, 6) v FROM (SELECT DISTINCT trade_date FROM g) t CROSS JOIN (VALUES {', '.join(f"('{x}')" for x in seg)}) s(segment) LEFT JOIN g USING (trade_date, segment)",
+        "keyword_label": f"SELECT doc_id, array_to_string(labels, '|') labels, is_macro FROM ({_LABELS})",
+        "explode_weighted": f"SELECT sector_label, count(*)::BIGINT n, round(sum(w), 6) weight FROM (SELECT unnest(labels) sector_label, 1.0::DOUBLE / len(labels) w FROM ({_LABELS})) GROUP BY 1",
+        "ticker_parse": "SELECT n_nationkey, array_to_string(list_distinct_ordered, '|') tickers FROM (SELECT n_nationkey, list_filter(x, lambda v, i: list_position(x, v) = i) list_distinct_ordered FROM (SELECT n_nationkey, regexp_extract_all(upper(n_name || ', ' || r_name), '\\b([A-Z]{2,5})\\b') x FROM nation JOIN region ON n_regionkey = r_regionkey))",
+        "json_extract": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) k FROM events",
+        "parse_dates": "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders",
+        "lead_lag_all": f"SELECT s, r, lag, round(corr, 6) corr, n_obs FROM ({_LEADS})",
+        "lead_lag_best": f"SELECT s, r, lag best_lag, round(corr, 6) corr, n_obs FROM ({_LEADS}) QUALIFY row_number() OVER (PARTITION BY s, r ORDER BY (corr IS NULL), abs(corr) DESC, lag) = 1",
+        "corr_matrix": f"SELECT a, b, round(corr, 6) corr FROM ({_MATRIX})",
+        "corr_threshold_edges": f"WITH {_THRESHOLD} SELECT a AS source, b AS target, round(corr, 6) corr, round(abs(corr), 6) abs_corr FROM m, t WHERE a < b AND abs(corr) > q",
+        "corr_node_metrics": f"WITH {_THRESHOLD} SELECT a node, count(*) FILTER (abs(corr) > q)::BIGINT degree, round(coalesce(sum(abs(corr)) FILTER (abs(corr) > q), 0), 6) weighted_degree, round(avg(abs(corr)), 6) avg_abs_corr FROM m, t WHERE a <> b GROUP BY 1",
+        "granger_f_lag1": _GRANGER,
+        "bh_fdr": _BH,
+        "graph_edges": f"SELECT source, target, round(edge_weight, 6) edge_weight, CASE WHEN source = target THEN 'self' ELSE 'cross' END edge_type FROM ({_EDGES})",
+        "degree_metrics": _DEGREES,
+        "topk_edges": f"SELECT source, target, round(edge_weight, 6) edge_weight FROM ({_EDGES}) ORDER BY edge_weight DESC, source, target LIMIT 10",
+        "pagerank_k_iters": _pagerank_sql(),
+        "symmetrize": f"WITH e AS ({_EDGES}) SELECT source, target FROM e WHERE source <> target UNION SELECT target, source FROM e WHERE source <> target",
+        "network_similarity": _SIMILARITY,
+        "missing_profile": f"WITH w AS ({_wide_sql(_SENT_G, 'sentiment_weighted_mean', 'sent_')}) " + " UNION ALL ".join(f"SELECT 'sent_{g}' AS \"column\", round(avg((sent_{g} IS NULL)::INT), 6) missing_ratio FROM w" for g in _G),
+        "value_counts": "SELECT event_type, count(*)::BIGINT n FROM events GROUP BY 1",
+        "describe_by_group": "SELECT event_type, count(value)::BIGINT n, round(avg(value), 6) mean, round(stddev_samp(value), 6) std, round(min(value), 6) lo, round(quantile_cont(value, 0.25), 6) q25, round(quantile_cont(value, 0.5), 6) q50, round(quantile_cont(value, 0.75), 6) q75, round(max(value), 6) hi FROM events GROUP BY 1",
+        "upsert_latest": "WITH n AS (SELECT * FROM events WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1), o AS (SELECT * FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) SELECT user_id, event_id, event_type FROM n UNION ALL SELECT user_id, event_id, event_type FROM o WHERE user_id NOT IN (SELECT user_id FROM n)",
+        "anti_new_urls": "SELECT DISTINCT sha256(url) url_hash FROM pages WHERE sha256(url) NOT IN (SELECT sha256(url) FROM pages WHERE page_id % 3 = 0)",
+        "sha_dedup": "SELECT sha256(coalesce(text, '')) digest, min(doc_id)::BIGINT doc_id, count(*)::BIGINT copies FROM documents GROUP BY 1",
+    }
