@@ -5,8 +5,8 @@ judged by the longest common subsequence of words and by whether the answer, the
 
 Words are runs of ASCII letters and digits and of bytes from 128 on, lower-cased. A passage is `2 * STEP` words;
 passages start every `STEP` words. A term weighs sqrt(tf) * idf, so that a passage's squared length is the sum over its
-words of idf squared. A passage whose words of the benchmark's vocabulary can't reach the least cosine with any item is
-passed over before projection: that bound is exact. Benchmark items are worked on in blocks of `block_items`, so what is
+words of idf squared. A passage is passed over before projection if the most that each of its words can add to a cosine
+with any benchmark passage doesn't sum to the least cosine: that bound is exact. Benchmark items are worked on in blocks of `block_items`, so what is
 sent to the workers has a fixed size: document frequencies of FEATURES hashed words and a block's passages.
 
 Null and empty texts on either side match nothing; repeated rows are judged alike; with an empty benchmark or corpus there
@@ -30,9 +30,7 @@ from . import common
 FEATURES = 1 << 18
 STEP = 24
 LEAST_WORDS = 6
-#: Words of more than this share of the documents are common; it only sets how tight the bound before projection is.
-COMMON = 0.05
-CLASS_BITS = 22
+REACH_BITS = 20
 U = np.uint64
 
 
@@ -104,8 +102,7 @@ class Index:
     axes: np.ndarray  # vocabulary x rank
     latent: np.ndarray  # passages x rank, projected and divided by the passage's full length
     kept: np.ndarray  # share of each passage's length that the projection keeps
-    classes: np.ndarray  # by the low bits of a word's hash: 0 not of the vocabulary, 1 a common word, 2 another
-    slopes: tuple[float, float]  # most that a unit of a document passage's common and other words adds to a cosine
+    reach: np.ndarray  # by the low bits of a word's hash, the most that one occurrence adds to a scaled product with any passage
 
 
 def passages_of(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -163,14 +160,10 @@ def build_index(spark, items: list[tuple], df: np.ndarray, n_docs: int, rank: in
     axes = q @ turn[:, np.argsort(-values)]
     latent = np.stack([(x / max(n, 1e-9)) @ axes[np.searchsorted(vocabulary, f)] for (f, x), n in zip(weighted, length, strict=True)])
     kept = np.sqrt((latent**2).sum(1))
-    common_word = df[features_of(vocabulary)] > COMMON * n_docs
-    back = latent @ axes.T  # passages in the vocabulary's space again
-    slopes = tuple(float((np.sqrt((back[:, part] ** 2).sum(1)) / np.maximum(kept**2, 1e-9)).max()) for part in (common_word, ~common_word))
-    classes = np.zeros(1 << CLASS_BITS, np.uint8)
-    slot = (vocabulary & U((1 << CLASS_BITS) - 1)).astype(np.int64)
-    classes[slot[common_word]] = 1
-    classes[slot[~common_word]] = 2
-    return Index([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], idf2, vocabulary, axes.astype(np.float32), latent.astype(np.float32), kept, classes, slopes)
+    back = np.abs(latent @ axes.T) / np.maximum(kept**2, 1e-9)[:, None]  # passages in the vocabulary's space again
+    reach = np.zeros(1 << REACH_BITS, np.float32)
+    np.maximum.at(reach, (vocabulary & U((1 << REACH_BITS) - 1)).astype(np.int64), (back.max(0) * np.sqrt(idf2[features_of(vocabulary)]) * 1.001).astype(np.float32))
+    return Index([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], idf2, vocabulary, axes.astype(np.float32), latent.astype(np.float32), kept, reach)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -194,7 +187,7 @@ def search(index: Index, data: np.ndarray, offs: np.ndarray, least_cosine: float
     if not len(h):
         return []
     mass = index.idf2[features_of(h)]
-    kind = index.classes[(h & U((1 << CLASS_BITS) - 1)).astype(np.int64)]
+    reach = index.reach[(h & U((1 << REACH_BITS) - 1)).astype(np.int64)]
     halves = -(-counts // STEP)
     half_base = np.cumsum(halves) - halves
     inner = common.ragged(counts) // STEP
@@ -202,15 +195,15 @@ def search(index: Index, data: np.ndarray, offs: np.ndarray, least_cosine: float
     begin = np.flatnonzero(np.concatenate([[True], half_of[1:] != half_of[:-1]]))  # first word of each half
     size = np.diff(np.append(begin, len(h)))
     half_mass = np.add.reduceat(mass, begin)
-    half_known = [np.add.reduceat(np.where(kind == k, mass, 0), begin) for k in (1, 2)]
+    half_reach = np.add.reduceat(reach, begin)
     row_of_half = np.repeat(np.arange(len(counts)), halves)
     second = np.zeros(len(begin), bool)  # halves whose follower belongs to the same row
     second[:-1] = row_of_half[1:] == row_of_half[:-1]
     is_passage = second.copy()
     is_passage[half_base[halves == 1]] = True
     whole = half_mass + np.where(second, np.append(half_mass[1:], 0), 0)
-    usual, other = (np.sqrt(x + np.where(second, np.append(x[1:], 0), 0)) for x in half_known)
-    chosen = np.flatnonzero(is_passage & (index.slopes[0] * usual + index.slopes[1] * other >= least_cosine * np.sqrt(whole) * 0.999))
+    most = half_reach + np.where(second, np.append(half_reach[1:], 0), 0)
+    chosen = np.flatnonzero(is_passage & (most >= least_cosine * np.sqrt(whole)))
     row_end = np.cumsum(counts)
     out: dict[tuple[int, object], tuple] = {}
     for c in range(0, len(chosen), 1024):
