@@ -83,10 +83,10 @@ def _asof_sql(op: str) -> str:
 
 def _prices(s, d):
     li = _t(s, d, "lineitem").join(_t(s, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return li.groupBy(F.to_date("l_shipdate").alias("trade_date"), F.col("p_brand").alias("ticker")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
+    return li.groupBy(F.to_date("l_shipdate").alias("trade_date"), F.col("p_brand").alias("ticker")).agg(F.avg(F.col("l_extendedprice") / (F.col("l_quantity") * 7.77)).alias("close"))
 
 
-_PRICES = "SELECT l_shipdate::DATE trade_date, p_brand ticker, avg(l_extendedprice / l_quantity) AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
+_PRICES = "SELECT l_shipdate::DATE trade_date, p_brand ticker, avg(l_extendedprice / (l_quantity * 7.77::DOUBLE)) AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2"
 _RETURNS = f"SELECT *, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY trade_date), 0) - 1 ret FROM ({_PRICES})"
 
 
