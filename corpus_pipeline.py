@@ -16,8 +16,9 @@ from tidepanel.llm import bpe, common, decontaminate, language, pii, simhash
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; those without a letter, or null, go."""
     model = language.fit(language.learning(docs).where("not held_out"))
-    named = language.identify(docs, model)
-    return named.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    apart = [f"_own_{c}" if c in ("lang_pred", "score", "ambiguous") else c for c in docs.columns]  # columns of these names stay
+    named = language.identify(docs.toDF(*apart), model)
+    return named.where(F.col("lang_pred") != language.UNKNOWN).select(*apart).toDF(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

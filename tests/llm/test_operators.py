@@ -186,7 +186,7 @@ def test_language(spark, empty):
 
 
 def test_personal_data(spark, docs, empty):
-    text = "é a.b@c.de, 1.2.3.4 or 1.2.3.999! +1 (743) 555-3824 4539 1488 0343 6467 and 4539 1488 0343 6468\ncall (743) 555-3824 now"
+    text = "é a.b@c.de, 1.2.3.4 or 1.2.3.999! +1 (743) 555-3824 or 4539 1488 0343 6467 and 4539 1488 0343 6468\ncall (743) 555-3824 now"
     d = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.find_personal_data(d).collect()}
     base = pii.joined(pii.base_spans(text))

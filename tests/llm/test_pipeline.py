@@ -27,7 +27,19 @@ def test_pipeline(spark):
         if not text or first[text] != i or leaked:
             assert i not in got
         elif i in got:
-            spans, at, out = pii.base_spans(text), 0, []
-            if not spans:
+            if not pii.base_spans(text):
                 assert got[i].n_tokens == len(t.encode(text, add_special_tokens=False).ids)
     assert len(got) > 0.75 * len(first)
+
+
+def test_columns_that_clash(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words here to keep", "en", "s", 23, 0.5, "x"), (2, None, "en", "s", 0, 0.1, "y"), (3, "some words here to keep", "en", "s", 23, 0.7, "z")], "doc_id long, text string, lang string, source string, n_chars long, score double, k1 string")
+    kept = corpus_pipeline.language_stage(spark, docs, SF)
+    assert [(r.doc_id, r.score) for r in kept.orderBy("doc_id").collect()] == [(1, 0.5), (3, 0.7)] and kept.columns == docs.columns
+    for stage in (corpus_pipeline.near_dedup_stage, corpus_pipeline.decontamination_stage, corpus_pipeline.pii_stage):
+        kept = stage(spark, kept, SF)
+        assert [(r.doc_id, r.k1) for r in kept.collect()] == [(1, "x")] and kept.columns == docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("doc_id > 9"), SF).count() == 0, name

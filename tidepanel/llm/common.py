@@ -55,10 +55,10 @@ def ensure_importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def text_key(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds k1 and k2, 128 bits that stand for the text; null counts as empty."""
+def text_key(df: DataFrame, text: str = "text", names: tuple[str, str] = ("k1", "k2")) -> DataFrame:
+    """Adds two columns, 128 bits that stand for the text; null counts as empty."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.withColumns({"k1": F.xxhash64(whole), "k2": F.xxhash64(F.lit(1), whole)})
+    return df.withColumns({names[0]: F.xxhash64(whole), names[1]: F.xxhash64(F.lit(1), whole)})
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

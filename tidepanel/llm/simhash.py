@@ -249,7 +249,7 @@ def near_components(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 2
 
 def keep_one(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (null last), the smallest text key among ties."""
-    keyed = common.text_key(docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    keyed = common.text_key(docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))), names=("_k1", "_k2"))
     marked, named = near_classes(keyed.select("_id", "_k1", "_k2", F.col("text").cast("string").alias("text")), k, seed, budget)
     first = marked.groupBy("fp").agg(F.min(F.struct("_id", "_k1", "_k2")).alias("first"))
     first = common.materialize(first, "first-of-fingerprint").join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
