@@ -18,9 +18,7 @@ documents, ordered by their ids; an empty table makes no shard.
 from __future__ import annotations
 
 import io
-import itertools
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -38,9 +36,15 @@ from . import common
 
 MAGIC = b"TPBP0001"
 BLOCK_IDS = 1 << 16
-#: Words whose ids a worker keeps; beyond it the store starts anew.
+#: Words whose ids a worker keeps.
 CACHED_WORDS = 800_000
 LONGEST_CACHED = 64
+#: A control character that is a piece by itself between blanks. New words go to the library joined by it, and its id parts
+#: theirs; a word that holds it goes alone.
+STOP = b"\x01"
+BETWEEN = b" \x01 "
+#: Bytes of text whose words are numbered together.
+ENCODED_BYTES = 4 << 20
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -143,49 +147,96 @@ class ShardReader:
             left = whole[n:]
 
 
-_ENCODERS: dict[str, tuple] = {}
-#: An ASCII mark after an ASCII letter or digit: the splitting pattern parts the two there, whatever they are. An
-#: apostrophe isn't among the marks, as it can begin a contraction.
-_MARK = re.compile(rb"(?<=[0-9a-z])[!-&(-/:-@\[-`{-~]")
-
-
-def library_encoder(path: str):
-    """texts -> ids as little-endian unsigned 32-bit bytes, by the tokenizers library. The normaliser of the file maps white
-    space to a blank that the splitter drops, so ASCII white space cuts a text into words that are encoded apart, and a
-    blank may go before a mark that the splitter parts anyway; each worker keeps the ids of words that it has met. ASCII is
-    lower-cased first. Texts that could hold a special token are cut at white space alone."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
+_ENCODERS: dict[str, "LibraryEncoder"] = {}
+#: White space, and letters or digits and marks of ASCII by byte. The splitting pattern parts a mark from a letter or digit
+#: before it, whatever they are. An apostrophe isn't among the marks, as it can begin a contraction.
+_BLANK, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
+for _table, _ranges in ((_BLANK, ((9, 13), (32, 32))), (_LETTER, ((48, 57), (97, 122))), (_MARK, ((33, 38), (40, 47), (58, 64), (91, 96), (123, 126)))):
+    for _low, _high in _ranges:
+        _table[_low : _high + 1] = True
+
+
+class LibraryEncoder:
+    """Ids by the tokenizers library. The normaliser of the file maps white space to a blank that the splitter drops, so ASCII
+    white space cuts a text into words that are encoded apart, and so does the place before a mark that the splitter parts
+    anyway. The words of a slice of texts are numbered by Arrow, so that only its distinct words are looked up; a worker
+    keeps the ids of words that it has met, and of a full store the words met since it was half full. ASCII is lower-cased
+    first. Texts that could hold a special token are cut at white space alone."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        (self.stop,) = self.tokenizer.encode(BETWEEN.decode(), add_special_tokens=False).ids
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def cut(self, data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The words of the texts and the number of words of each."""
+        rows, low = np.zeros(len(offs) - 1, bool), common.lower_ascii(data)
+        at = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        if len(at):  # "<|"
+            rows[np.searchsorted(offs, at, "right") - 1] = True
+            special = np.repeat(rows, np.diff(offs))
+            low[special] = data[special]
+        inside = ~_BLANK[low]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1] | (_MARK[low[1:]] & _LETTER[low[:-1]] & (~special[1:] if len(at) else True))
+        edges = offs[:-1][np.diff(offs) > 0]
+        first[edges] = inside[edges]
+        starts = np.flatnonzero(first)
+        held = low[inside]
+        bounds = np.append((np.cumsum(inside, dtype=np.int32) - np.int32(1))[starts], np.int32(len(held)))
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(held)])
+        return words, np.diff(np.searchsorted(starts, offs))
+
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, little-endian unsigned 32-bit."""
+        if len(self.known) > CACHED_WORDS // 2:
+            self.known, self.older = {}, self.known
+        got = list(map(self.known.get, words))
+        gaps = [i for i, ids in enumerate(got) if ids is None] if None in got else []
+        new = []
+        for i in gaps:
+            word = words[i]
+            if (ids := self.older.get(word)) is None:
+                new.append(i)
+            else:
+                got[i] = self.known[word] = ids
+        alone = {i for i in new if STOP in words[i]}
+        joined = [i for i in new if i not in alone] if alone else new
+        runs = [joined[k : k + 1024] for k in range(0, len(joined), 1024)] + [[i] for i in sorted(alone)]
+        for some, e in zip(runs, self.tokenizer.encode_batch_fast([BETWEEN.join([words[i] for i in some]).decode() for some in runs], add_special_tokens=False), strict=True):
+            raw = (ids := np.array(e.ids, "<u4")).tobytes()
+            stops = (np.flatnonzero(ids == self.stop) * 4).tolist() if len(some) > 1 else []
+            for i, a, b in zip(some, [0, *(x + 4 for x in stops)], [*stops, len(raw)], strict=True):
+                got[i] = raw[a:b]
+                if len(words[i]) <= LONGEST_CACHED:
+                    self.known[words[i]] = got[i]
+        return got
+
+    def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end_id after each, and the number of ids of each text."""
+        words, counts = self.cut(data, offs)
+        coded = words.dictionary_encode()
+        ids = [*self.look_up(coded.dictionary.to_pylist()), array("I", [end_id]).tobytes()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        order = np.insert(coded.indices.to_numpy(), np.cumsum(counts), len(ids) - 1)  # the end is one more word of each text
+        lengths = sizes[order]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        places = np.repeat((np.cumsum(sizes) - sizes)[order] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        return flat[places], common.row_sums(lengths, counts + 1)
+
+
+def library_encoder(path: str) -> LibraryEncoder:
     if path not in _ENCODERS:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _ENCODERS[path] = (tokenizer, {})
-    tokenizer, known = _ENCODERS[path]
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else _MARK.sub(rb" \g<0>", t.lower())).split() for t in texts]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        found = [list(map(known.get, words)) for words in split]
-        gaps = [[i for i, ids in enumerate(got) if ids is None] if None in got else () for got in found]
-        new = list({words[i] for words, at in zip(split, gaps, strict=True) for i in at})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for word, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[word] = array("I", e.ids).tobytes()
-        for words, got, at in zip(split, found, gaps, strict=True):
-            for i in at:
-                got[i] = known[words[i]]
-        for word in new:
-            if len(word) > LONGEST_CACHED:
-                del known[word]
-        return [b"".join(got) for got in found]
-
-    return encode
+        _ENCODERS[path] = LibraryEncoder(path)
+    return _ENCODERS[path]
 
 
 def _shard_bounds(docs: DataFrame, shards: int) -> list[int]:
@@ -214,16 +265,14 @@ def write_token_shards(docs: DataFrame, path: str, vocab_path: str, end_id: int
     bounds = _shard_bounds(docs, shards)
 
     def encode(batches):
-        run = library_encoder(vocab_path)
-        tail = np.array([end_id], "<u4").tobytes()
-        for rows, data, offs in common.slices(batches):
-            raw = data.tobytes()
-            ids = [np.frombuffer(x + tail, "<u4") for x in run([raw[a:b] for a, b in itertools.pairwise(offs.tolist())])]
-            if max(int(x.max()) for x in ids) < 1 << 16:  # two bytes an id through the shuffle where they suffice
-                packed, wide = [x.astype("<u2").tobytes() for x in ids], 2
-            else:
-                packed, wide = [x.tobytes() for x in ids], 4
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([wide] * len(ids), pa.int32()), pa.array(packed, pa.binary()), rows.column(2)], names=["doc_id", "width", "ids", "shard"])
+        coder = library_encoder(vocab_path)
+        for rows, data, offs in common.slices(batches, limit=ENCODED_BYTES):
+            ids, counts = coder.encode(data, offs, end_id)
+            width = 2 if ids.max() < 1 << 16 else 4  # two bytes an id through the shuffle where they suffice
+            bounds = np.zeros(len(counts) + 1, np.int64)
+            np.cumsum(counts * width, out=bounds[1:])
+            packed = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype(f"<u{width}"))])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([width] * len(counts), pa.int32()), packed.cast(pa.binary()), rows.column(2)], names=["doc_id", "width", "ids", "shard"])
 
     def write(batches):
         fs, base = pafs.FileSystem.from_uri(path)
