@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, common, decontaminate, language, pii, simhash
+from tidepanel.llm import bpe, common, decontaminate, language, near_text, pii, simhash
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates, that with the smallest doc_id: first of SimHash's groups, then of the
+    texts left that have 0.8 of their five-word shingles in common."""
+    return near_text.keep_one(common.materialize(simhash.keep_one(docs), "simhash-kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
