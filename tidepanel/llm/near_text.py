@@ -1,10 +1,11 @@
 """Near-duplicate texts by likeness of their word shingles, for the pipeline: SimHash at two bits takes texts that are all but
 equal, while texts with 0.8 of their five-word shingles in common lie four to seventeen bits apart, too far for a trie join
-on a large corpus. Here bands of one-permutation MinHash bins name the candidates and all bins of both judge them.
+on a large corpus. Here bands of one-permutation MinHash bins name the candidates; the shingle sets themselves judge every
+candidate pair but those whose bins are many standard errors short of 0.8.
 
-A key that one text alone has is dropped by a combined aggregate. Within a key's texts every pair not yet joined is compared,
-and a key of n texts returns fewer than n links. Texts without words (null counts as empty) link to nothing here; equal
-texts and repeated rows link like any others; an empty table gives no link.
+A key that one text alone has is dropped by a combined aggregate. A pair is compared in the first band it shares, if its texts
+aren't joined there yet, and a key of n texts returns fewer than n links. Texts without words (null counts as empty) link to
+nothing here; equal texts and repeated rows link like any others; an empty table gives no link.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from . import common, minhash, simhash
 
 BINS = 512
 BANDS, BAND_BINS = 25, 5
-#: Share of equal bins that counts as a likeness of 0.8: less by nearly a standard error of the estimate (0.018), so that few
-#: pairs at 0.8 and hardly one at 0.83 are missed.
-LEAST_EQUAL = 0.785
+#: Standard errors that a pair's share of equal bins may lie below 0.8 and still have its shingle sets compared.
+ERRORS = 5
 U = np.uint64
 
 
 def sketches(rows: DataFrame, k: int = 5) -> DataFrame:
-    """rows (with text) without the text, with keys (a hash of each band) and sketch (8 bits of each bin)."""
+    """rows (with text) without the text, with keys (a hash of each band), bands (the same in one value) and
+    sketch (8 bits of each bin)."""
     common.ensure_importable(rows.sparkSession)
     kept = [c for c in rows.columns if c != "text"]
 
@@ -44,43 +45,71 @@ def sketches(rows: DataFrame, k: int = 5) -> DataFrame:
                 band = common.mix64(band ^ sig[:, i : BANDS * BAND_BINS : BAND_BINS])
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, BANDS, dtype=np.int32)), pa.array(band.view(np.int64).reshape(-1)))
             packed = pa.array([x.tobytes() for x in (sig & U(0xFF)).astype(np.uint8)], pa.binary())
+            bands = pa.array([x.tobytes() for x in band], pa.binary())
             chosen = part.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*(chosen.column(chosen.schema.get_field_index(c)) for c in kept), keys, packed], names=[*kept, "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(chosen.column(chosen.schema.get_field_index(c)) for c in kept), keys, bands, packed], names=[*kept, "keys", "bands", "sketch"])
 
-    return rows.mapInArrow(run, rows.select(*kept).schema.add("keys", T.ArrayType(T.LongType())).add("sketch", "binary"))
+    return rows.mapInArrow(run, rows.select(*kept).schema.add("keys", T.ArrayType(T.LongType())).add("bands", "binary").add("sketch", "binary"))
 
 
-def joined_roots(sketch: np.ndarray, least: float = LEAST_EQUAL) -> np.ndarray:
-    """Smallest index that each row reaches over pairs of rows with enough equal bins. Only rows not joined are compared."""
+def shingle_sets(rows: DataFrame, k: int = 5) -> DataFrame:
+    """node and shingles (ascending 64-bit hashes of the text's different shingles) of rows with node and text."""
+    common.ensure_importable(rows.sparkSession)
+
+    def run(batches):
+        for part, data, offs in common.slices(batches):
+            hashes, counts = minhash.shingle_hashes(data, offs, k)
+            ends = np.cumsum(counts)
+            sets = pa.array([np.unique(hashes[a:b]).tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), sets], names=["node", "shingles"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether 0.8 of the shingles of two sets, both ascending, are common."""
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * same >= 4 * (len(a) + len(b) - same)
+
+
+def joined_roots(key: int, bands: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Smallest index that each row of a key reaches over pairs of alike rows. Only rows not joined, whose first common
+    band is the key, are compared. Fewer shingles than bins fill fewer bins, so the standard error follows them."""
     root = np.arange(len(sketch))
+    size = np.array([len(x) for x in sets])
+    filled = BINS * -np.expm1(-size / BINS)
     for i in range(len(sketch) - 1):
-        other = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        other = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (5 * np.minimum(size[i + 1 :], size[i]) >= 4 * np.maximum(size[i + 1 :], size[i])))
         for part in np.array_split(other, -(-len(other) // 4096)) if len(other) else ():
-            near = part[(sketch[part] == sketch[i]).mean(1) >= least]
-            if len(near):
-                met = np.unique(np.append(root[near], root[i]))
-                root[np.isin(root, met)] = met[0]
+            part = part[bands[i, (bands[part] == bands[i]).argmax(1)] == key]
+            least = 0.8 - ERRORS * np.sqrt(0.16 / np.minimum(filled[part], filled[i]))
+            for j in part[(sketch[part] == sketch[i]).mean(1) >= least].tolist():
+                if root[j] != root[i] and alike(sets[i], sets[j]):
+                    met = min(root[i], root[j]), max(root[i], root[j])
+                    root[root == met[1]] = met[0]
     return root
 
 
-def near_links(sketched: DataFrame) -> DataFrame:
-    """src, dst (src larger): links that join all nodes whose texts are alike, from node, keys and sketch."""
+def near_links(sketched: DataFrame, texts: DataFrame) -> DataFrame:
+    """src, dst (src larger): links that join all nodes whose texts are alike, from node, keys, bands and sketch, and node
+    and text."""
     keyed = sketched.select("node", F.explode(F.array_distinct("keys")).alias("key"))
     shared = common.materialize(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"), "shared-bands")
     met = common.materialize(keyed.join(shared, "key"), "band-members")
+    sets = common.materialize(shingle_sets(texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])), "shingle-sets")
     n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.join(sketched.select("node", "sketch"), "node").select("key", "node", "sketch").repartition(n, "key").sortWithinPartitions("key", "node")
+    dealt = met.join(sketched.select("node", "bands", "sketch").join(sets, "node"), "node").select("key", "node", "bands", "sketch", "shingles").repartition(n, "key").sortWithinPartitions("key", "node")
 
-    def solve(node: list[int], sketch: list[bytes]) -> list[tuple[int, int]]:
-        root = joined_roots(np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1))
+    def solve(key: int, node: list[int], bands: list[bytes], sketch: list[bytes], shingles: list[bytes]) -> list[tuple[int, int]]:
+        wide = [np.frombuffer(b"".join(x), t).reshape(len(node), -1) for x, t in ((bands, np.int64), (sketch, np.uint8))]
+        root = joined_roots(key, *wide, [np.frombuffer(x, U) for x in shingles])
         return [(node[i], node[r]) for i, r in enumerate(root.tolist()) if node[i] != node[r]]
 
     def run(batches):
-        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
         found = []
-        for _, group in itertools.groupby(rows, lambda r: r[0]):
-            _, node, sketch = zip(*group, strict=True)
-            found += solve(node, sketch)
+        for key, group in itertools.groupby(rows, lambda r: r[0]):
+            found += solve(key, *list(zip(*group, strict=True))[1:])
             if len(found) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["src", "dst"])
                 found = []
@@ -96,7 +125,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.withColumns({"_node": F.xxhash64("doc_id", whole), "_place": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))})
     sketched = common.materialize(sketches(named.select(F.col("_node").alias("node"), F.col("_place").alias("place"), whole.alias("text"))), "sketches")
-    linked = common.materialize(simhash.components(near_links(sketched.dropDuplicates(["node"]))), "near-text-roots")
+    linked = common.materialize(simhash.components(near_links(sketched.dropDuplicates(["node"]), named.select(F.col("_node").alias("node"), whole.alias("text")))), "near-text-roots")
     members = linked.union(linked.select("root", "root").distinct())
     placed = common.materialize(members.join(sketched.select("node", "place").distinct(), "node"), "near-text-members")
     first = placed.groupBy("root").agg(F.min(F.struct("place", "node")).alias("first")).select("root", F.col("first.node").alias("stays"))
