@@ -385,7 +385,7 @@ _SIMILARITY = f"""WITH t AS ({_TRADE}), a AS (SELECT source, target FROM t WHERE
 
 
 def qap(s, d):
-    return graph.qap(_edges(s, d), _second(s, d), _nodes(s, d), permutations=200)
+    return graph.qap(_edges(s, d), _second(s, d), _nodes(s, d))
 
 
 def missing_profile(s, d):
