@@ -3,7 +3,8 @@ adds spans that the patterns don't cover, decoded by Viterbi over many sequences
 
 Words are [^\\x20\\x09-\\x0D]+. A word's shape is a number made of how many digits it has, whether it has letters, a capital
 first, `@`, full stops, hyphens, a plus, brackets or other marks. Shapes of a word and of its two neighbours are the
-features. A sequence is a line; a longer line is cut after `MOST_WORDS` words. The field is trained on a small labelled
+features. A sequence is a line. A line of more than `MOST_WORDS` words is decoded in pieces that start at words whose label is
+`other` whatever the labels around them, so that the pieces' best labels are those of the whole line. The field is trained on a small labelled
 table of (words, labels), by default one made from rules.
 
 Found spans are trimmed of surrounding marks, must hold what their kind needs (digits, dots, an @, a
@@ -178,6 +179,31 @@ class ShapeField:
         e += np.where(last[:, None], 0, self.table[2][after])
         return e
 
+    def surely_other(self, e: np.ndarray) -> np.ndarray:
+        """Words that no best path labels but `other`: it gains more than any neighbours' labels could make up for."""
+        into, out_of = (self.steps - self.steps[:, [OTHER]]).max(0), (self.steps - self.steps[[OTHER]]).max(1)
+        swing = (np.maximum(into, 0) + np.maximum(out_of, 0) + 1e-3)[:OTHER]
+        return (e[:, [OTHER]] - e[:, :OTHER] > swing).all(1)
+
+    def line_labels(self, e: np.ndarray, line_starts: np.ndarray) -> np.ndarray:
+        """Best labels of the lines that start at the words `line_starts`. A piece that starts inside a line has `other` as
+        its first label, and the step to it is counted at the end of the piece before."""
+        if not len(e):
+            return np.zeros(0, np.int8)
+        sizes = np.diff(np.append(line_starts, len(e)))
+        block = common.ragged(sizes) // MOST_WORDS
+        sure = np.flatnonzero((block > 0) & self.surely_other(e))
+        line = np.repeat(np.arange(len(sizes)), sizes)
+        fresh = np.ones(len(sure), bool)
+        fresh[1:] = (line[sure][1:] != line[sure][:-1]) | (block[sure][1:] != block[sure][:-1])
+        cuts = sure[fresh]
+        if len(cuts):
+            e = e.copy()
+            e[cuts, :OTHER] = -1e9
+            e[cuts - 1] += self.steps[:, OTHER]
+        pieces = np.sort(np.concatenate([line_starts, cuts]))
+        return self.viterbi(e, np.diff(np.append(pieces, len(e))))
+
     def viterbi(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Best labels of consecutive sequences of the given sizes. Step t is taken for all sequences longer than t at
         once, sequences ordered by size."""
@@ -280,15 +306,11 @@ def find(field: ShapeField, data: np.ndarray, offs: np.ndarray) -> list[tuple[st
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
     begin = np.flatnonzero(fresh)
-    at = np.arange(len(starts)) - np.repeat(begin, np.diff(np.append(begin, len(starts))))
-    first = at % MOST_WORDS == 0
-    last = np.append(first[1:], True)
-    seq = np.flatnonzero(first)
-    sizes = np.diff(np.append(seq, len(starts)))
-    labels = field.viterbi(field.emissions(shapes(data, starts, ends), first, last), sizes) if len(starts) else np.empty(0, np.int8)
+    last = np.append(fresh[1:], True) if len(starts) else fresh
+    labels = field.line_labels(field.emissions(shapes(data, starts, ends), fresh, last), begin) if len(starts) else np.empty(0, np.int8)
     runs: dict[int, list[tuple[int, int, int]]] = {}
     hit = labels != OTHER
-    opening = np.flatnonzero(hit & (first | np.append(True, labels[1:] != labels[:-1])[: len(labels)])) if len(labels) else ()
+    opening = np.flatnonzero(hit & (fresh | np.append(True, labels[1:] != labels[:-1])[: len(labels)])) if len(labels) else ()
     closing = np.flatnonzero(hit & (last | np.append(labels[1:] != labels[:-1], True)[: len(labels)])) if len(labels) else ()
     for i, j in zip(opening, closing, strict=True):
         runs.setdefault(int(row[i]), []).append((int(starts[i]), int(labels[i]), int(ends[j])))
