@@ -1,9 +1,12 @@
 """Operator 2: substring deduplication by content-defined chunks. A gear hash rolls over the bytes; a chunk ends where masked
-bits of it are zero, so that an insertion moves the ends near it and no others. Chunks are compared by a 128-bit digest.
+bits of it are zero, or where it is least if no such end comes in time, so that an insertion moves the ends near it and no
+others. Chunks are compared by a 128-bit digest.
 
-A chunk occurrence repeats if the digest occurs in a document of smaller doc_id, or earlier in the same document. Runs of
-neighbouring repeated chunks of at least `least_run` bytes are removed; shorter ones are chance and stay. The first
-occurrence, that of the smallest doc_id, is kept, so that a passage survives once.
+A chunk occurrence repeats if the digest occurs in a document of smaller doc_id, or earlier in the same document. A run of
+neighbouring repeated chunks is extended byte by byte as far as the bytes beside its first and last chunk of each keeper equal
+those of the keeper, `REACH` bytes at most. What then is at least `least_run` bytes long is removed; shorter repeats are
+chance and stay. The first occurrence, that of the smallest doc_id, is kept, so that a passage survives once: every removed
+byte has an equal one earlier in the order of doc_id and place.
 
 Ends lie only between code points, so that what is kept is whole UTF-8. Null counts as empty; empty texts have no chunk;
 a row whose text equals that of a row of smaller doc_id is removed whole, as are rows that repeat a (doc_id, text), all but
@@ -24,6 +27,8 @@ U = np.uint64
 LAST_ID = (1 << 63) - 1
 #: Bytes that a gear hash depends on: no end lies nearer to the start of a row, where the hash holds bytes of another row.
 WINDOW = 32
+#: Bytes beside a chunk that are compared with the keeper's: twice as many as the longest chunk may have.
+REACH = 256
 
 
 def gear_table(seed: int = 7) -> np.ndarray:
@@ -41,8 +46,12 @@ def gear_hashes(data: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(data: np.ndarray, offs: np.ndarray, bits: int, least: int, most: int, table: np.ndarray) -> list[list[int]]:
-    """Ends of the chunks of each row. A chunk has at least `least` bytes, but for the last of a row, and about `most` at most."""
-    hits = np.flatnonzero((gear_hashes(data, table) >> np.uint32(32 - bits)) == 0) + 1
+    """Ends of the chunks of each row. A chunk has at least `least` bytes, but for the last of a row, and about `most` at most;
+    one that would have more ends where the hash is least, which depends on the bytes and hardly on where the chunk starts."""
+    hashes = gear_hashes(data, table)
+    inner = np.ones(len(data), bool)  # bytes after which a code point goes on
+    inner[:-1] = (data[1:] & 0xC0) == 0x80
+    hits = np.flatnonzero((hashes >> np.uint32(32 - bits)) == 0) + 1
     hits = hits[hits < len(data)]
     hits = hits[(data[hits] & 0xC0) != 0x80].tolist()
     out, k, n_hits = [], 0, len(hits)
@@ -53,9 +62,11 @@ def chunk_ends(data: np.ndarray, offs: np.ndarray, bits: int, least: int, most:
         while at < b:
             while k < n_hits and (hits[k] < at + least or hits[k] < a + WINDOW):
                 k += 1
-            cut = hits[k] if k < n_hits else b
+            cut = min(hits[k] if k < n_hits else b, b)
             if cut > at + most:
-                cut = at + most
+                lo = max(at + least, a + WINDOW) - 1
+                held = np.where(inner[lo : at + most], 1 << 32, hashes[lo : at + most].astype(np.int64))
+                cut = lo + int(held.argmin()) + 1 if len(held) and held.min() < 1 << 32 else at + most
                 while cut < b and data[cut] & 0xC0 == 0x80:
                     cut += 1
             at = min(cut, b)
@@ -91,48 +102,127 @@ def _chunk_rows(texts: DataFrame, carried: list[str], bits: int, least: int, mos
     return rows.mapInArrow(run, schema)
 
 
-def removed_chunks(docs: DataFrame, bits: int = 5, least: int = 16, most: int = 256, least_run: int = 120, with_text: bool = False) -> DataFrame:
+def _runs(chunks: list[dict], first_id: int) -> list[list[dict]]:
+    """Runs of neighbouring repeated chunks of a text, first occurrences left out."""
+    runs, seen = [], set()
+    for c in sorted(chunks or (), key=lambda c: c["at"]):
+        digest = c["h1"], c["h2"]
+        if c["keeper"] == first_id and digest not in seen:
+            seen.add(digest)
+        elif runs and runs[-1][-1]["at"] + runs[-1][-1]["size"] == c["at"]:
+            runs[-1].append(c)
+        else:
+            runs.append([c])
+    return runs
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    """h1, h2, left, k1, k2, at of the chunks beside which a run may go on: its first and last of each keeper, those near
+    enough to its end. at is where the bytes to be compared end (left) or start."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k1, k2, first_id, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for r in _runs(chunks, first_id):
+                    lo, hi = r[0]["at"], r[-1]["at"] + r[-1]["size"]
+                    first, last = {c["keeper"]: c for c in reversed(r)}, {c["keeper"]: c for c in r}
+                    out += [(c["h1"], c["h2"], True, k1, k2, c["at"]) for c in first.values() if c["at"] - lo < REACH]
+                    out += [(c["h1"], c["h2"], False, k1, k2, c["at"] + c["size"]) for c in last.values() if hi - c["at"] - c["size"] < REACH]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["h1", "h2", "left", "k1", "k2", "at"])
+
+    return found.select("k1", "k2", "first_id", "found").mapInArrow(run, "h1 long, h2 long, left boolean, k1 long, k2 long, at int")
+
+
+def _besides(texts: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
+    """h1, h2, left, bytes: what stands beside the kept occurrence of each chunk of edges."""
+    wanted = edges.select("h1", "h2", "left").distinct()
+    first = found.select("k1", "k2", "first_id", F.explode("found").alias("c")).where("c.keeper = first_id").groupBy("k1", "k2", "c.h1", "c.h2").agg(F.min(F.struct("c.at", "c.size")).alias("c"))
+    held = first.join(wanted, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("h1", "h2", "left", "c.at", "c.size")).alias("wanted"))
+    rows = texts.select("k1", "k2", "text").join(held, ["k1", "k2"]).select("text", "wanted")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part, out = batch.slice(i, 256), []
+                for text, chunks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    raw = text.encode()
+                    for c in chunks:
+                        a, b = (max(0, c["at"] - REACH), c["at"]) if c["left"] else (c["at"] + c["size"], c["at"] + c["size"] + REACH)
+                        out.append((c["h1"], c["h2"], c["left"], raw[a:b]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["h1", "h2", "left", "bytes"])
+
+    return rows.mapInArrow(run, "h1 long, h2 long, left boolean, bytes binary")
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+
+def extended(raw: bytes, lo: int, hi: int, beside: list[dict]) -> tuple[int, int]:
+    """lo and hi moved apart as far as the bytes beside the run's chunks equal those of their keepers, in whole code points."""
+    a, b = lo, hi
+    for e in beside:
+        if e["left"]:
+            a = min(a, e["at"] - _common(raw[max(0, e["at"] - REACH) : e["at"]][::-1], e["bytes"][::-1]))
+        else:
+            b = max(b, e["at"] + _common(raw[e["at"] : e["at"] + REACH], e["bytes"]))
+    while raw[a] & 0xC0 == 0x80:
+        a += 1
+    while b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def removed_chunks(docs: DataFrame, bits: int = 5, least: int = 16, most: int = 128, least_run: int = 120, with_text: bool = False) -> DataFrame:
     """k1, k2, first_id of each distinct text with n_bytes, n_chunks, n_removed, n_spans, kept_sha256, found_in (the
     doc_ids, ascending, that hold the first occurrence of what was removed), and with with_text the kept text."""
     common.ensure_importable(docs.sparkSession)
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chunks = _chunk_rows(rows, ["doc_id"], bits, least, most)
-    counted = chunks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keeper"))
+    texts = common.materialize(common.distinct_texts(rows).select("k1", "k2", "first_id", "text"), "texts")
+    counted = _chunk_rows(texts, ["first_id"], bits, least, most).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("keeper"))
     several = common.materialize(counted.where("n > 1").select("h1", "h2", "keeper"), "repeated-chunks")
-    texts = common.distinct_texts(rows)
-    found = (
-        _chunk_rows(texts, ["k1", "k2"], bits, least, most)
+    found = common.materialize(
+        _chunk_rows(texts, ["k1", "k2", "first_id"], bits, least, most)
         .join(several, ["h1", "h2"])
         .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("at", "size", "h1", "h2", "keeper")).alias("found"))
+        .agg(F.first("first_id").alias("first_id"), F.collect_list(F.struct("at", "size", "h1", "h2", "keeper")).alias("found")),
+        "found-chunks",
     )
-    joined = texts.select("k1", "k2", "first_id", "text").join(found, ["k1", "k2"], "left")
+    edges = common.materialize(_edges(found), "run-edges")
+    besides = common.materialize(_besides(texts, found, edges), "beside-chunks")
+    beside = edges.join(besides, ["h1", "h2", "left"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("left", "at", "bytes")).alias("beside"))
+    joined = texts.join(found.select("k1", "k2", "found"), ["k1", "k2"], "left").join(beside, ["k1", "k2"], "left").select("k1", "k2", "first_id", "text", "found", "beside")
 
     def cut(batches):
         table = gear_table()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part, out = batch.slice(i, 256), []
-                for first_id, text, chunks in zip(*(part.column(j).to_pylist() for j in (2, 3, 4)), strict=True):
+                for first_id, text, chunks, beside in zip(*(part.column(j).to_pylist() for j in (2, 3, 4, 5)), strict=True):
                     raw = text.encode()
-                    starts, ends, whose, seen = [], [], [], set()
-                    for c in sorted(chunks or (), key=lambda c: c["at"]):
-                        digest = c["h1"], c["h2"]
-                        if c["keeper"] == first_id and digest not in seen:
-                            seen.add(digest)
-                            continue
-                        if starts and ends[-1] == c["at"]:
-                            ends[-1] += c["size"]
-                            whose[-1].add(c["keeper"])
-                        else:
-                            starts.append(c["at"])
-                            ends.append(c["at"] + c["size"])
-                            whose.append({c["keeper"]})
-                    kept = [j for j in range(len(starts)) if ends[j] - starts[j] >= least_run]
-                    s, e = np.array([starts[j] for j in kept], np.int64), np.array([ends[j] for j in kept], np.int64)
+                    runs = _runs(chunks, first_id)
+                    spread = []
+                    for r in runs:
+                        lo, hi = r[0]["at"], r[-1]["at"] + r[-1]["size"]
+                        spread.append(extended(raw, lo, hi, [e for e in beside or () if lo <= e["at"] <= hi and (e["at"] < hi if e["left"] else e["at"] > lo)]))
+                    s, e = spans.merge_spans(np.array([a for a, _ in spread], np.int64), np.array([b for _, b in spread], np.int64))
+                    long = e - s >= least_run
+                    s, e = s[long], e[long]
+                    whose = set()
+                    for r, (a, _) in zip(runs, spread, strict=True):
+                        j = int(np.searchsorted(s, a, "right")) - 1
+                        if j >= 0 and a < e[j]:
+                            whose.update(c["keeper"] for c in r)
                     n_chunks = len(chunk_ends(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), bits, least, most, table)[0])
                     n_bytes, n_removed, n_spans, sha = spans.digest_row(raw, s, e)
-                    out.append((n_bytes, n_chunks, n_removed, n_spans, sha, sorted(set().union(*(whose[j] for j in kept)) - {LAST_ID}), spans.without(raw, s, e).decode() if with_text else None))
+                    out.append((n_bytes, n_chunks, n_removed, n_spans, sha, sorted(whose - {LAST_ID}), spans.without(raw, s, e).decode() if with_text else None))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=["k1", "k2", "first_id", "n_bytes", "n_chunks", "n_removed", "n_spans", "kept_sha256", "found_in", "kept"])
 
@@ -143,7 +233,7 @@ def removed_chunks(docs: DataFrame, bits: int = 5, least: int = 16, most: int =
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
-def chunk_dedup(docs: DataFrame, bits: int = 5, least: int = 16, most: int = 256, least_run: int = 120) -> DataFrame:
+def chunk_dedup(docs: DataFrame, bits: int = 5, least: int = 16, most: int = 128, least_run: int = 120) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_removed, n_spans, kept_sha256, found_in of every row."""
     results = common.materialize(removed_chunks(docs, bits, least, most, least_run), "kept-chunks")
     rows = common.text_key(docs.select("doc_id", "text"))
