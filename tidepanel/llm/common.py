@@ -19,10 +19,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, one of our own if the master is local
+    (tests); on a cluster, where no folder of one machine will do, an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file:///tmp/checkpoints/{context.applicationId}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -44,6 +48,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a key above one in so many of all rows make it heavy: there are fewer such keys than this.
+HEAVY_SHARE = 2000
+
+
+def join_heavy(rows: DataFrame, side: DataFrame, keys: list[str], spread: str, how: str = "inner", count: str = "n") -> DataFrame:
+    """rows joined with side, which has each key once and in `count` about how many rows have it (a written table, as it is
+    read more than once). Fewer than HEAVY_SHARE keys have more than one in HEAVY_SHARE of the rows that side counts: those
+    are broadcast, and their rows are spread by the column `spread` instead of meeting in one task; rows of the other keys
+    meet theirs by shuffle. rows is read once."""
+    if how not in ("inner", "left"):
+        raise ValueError(how)
+    total = side.agg(F.sum(count)).first()[0] or 0
+    least = max(total // HEAVY_SHARE, 1000)
+    columns = [c for c in side.columns if c not in keys]
+    heavy = F.broadcast(side.where(F.col(count) > least).select(*keys, F.struct(*columns).alias("_heavy")))
+    light = side.where(F.col(count) <= least).select(F.lit(0).cast("long").alias("_none"), *[F.col(k).alias(f"_{k}") for k in keys], F.struct(*columns).alias("_light"))
+    met = rows.join(heavy, keys, "left").withColumn("_spread", F.when(F.col("_heavy").isNotNull(), F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    joined = met.join(light, [F.col("_spread") == F.col("_none"), *[F.col(k) == F.col(f"_{k}") for k in keys]], "left")
+    out = joined.select(*rows.columns, F.coalesce("_heavy", "_light").alias("_side"))
+    if how == "inner":
+        out = out.where("_side is not null")
+    return out.select(*rows.columns, "_side.*")
+
+
 def ensure_importable(spark: SparkSession) -> None:
     """Let Python workers import this package when the repository runs from its folder and isn't installed; and, unless the
     session has a size of its own, send them Arrow batches of few enough rows for long texts."""

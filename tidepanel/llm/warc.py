@@ -2,11 +2,16 @@
 segments, the first a `response`, the others `continuation` records. Reading back groups segments by origin identifier,
 orders them by segment number, verifies the total length, and decodes the chunked framing.
 
+Segments are short (1 KiB by default), so that most pages are cut and reassembled.
+
 Of records with equal payloads of at least `min_bytes`, that with the largest page_id is the response and the others are
 `revisit` records that refer to it; rows that tie for the largest are all responses. A null page_id is never the largest:
 payloads that only such rows have are responses. A null html is an empty payload, a null url becomes urn:page:<id>. Each
 record is a gzip member of its own. An archive is written under a name of its own by each task attempt and only the
 archives that the manifest names are read. An empty table makes no archive.
+
+A response is named by page_id and digest; one whose (page_id, payload) repeats, and every revisit, has a name of its own, so
+that a group of segments is one record however often a row repeats. What a revisit stands for is found by its digest.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ from . import common
 
 CRLF = b"\r\n"
 CHUNK_BYTES = 4096
-SEGMENT_BYTES = 1 << 15
+SEGMENT_BYTES = 1 << 10
 ARCHIVE_BYTES = 1 << 26
+#: Compressed bytes that a member is fed at a time: what it leaves over is copied.
+FED_BYTES = 1 << 12
 _SPACE = uuid.UUID("6f9d1c52-7a77-4f0e-9d35-4f7a6d0f5a10")
 
 
@@ -82,10 +89,11 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return pack.compress(head.encode() + block + CRLF + CRLF) + pack.flush()
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, keeper: int | None, segment: int) -> Iterator[bytes]:
-    """The records of a page. keeper: the page_id that holds the payload if this one only refers to it."""
+def page_records(page_id: int | None, url: str | None, payload: bytes, keeper: int | None, segment: int, own: str | None = None) -> Iterator[bytes]:
+    """The records of a page. keeper: the page_id that holds the payload if this one only refers to it. own: the record's
+    name, made of page_id and digest if none is given."""
     digest = base32_sha1(payload)
-    own = record_id(page_id, digest)
+    own = own or record_id(page_id, digest)
     shared = [
         ("WARC-Target-URI", url or f"urn:page:{page_id}"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
@@ -109,36 +117,47 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, keeper: i
 
 def read_records(file) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields (names in lower case) and block of each record of an archive, one member in memory at a time."""
-    waiting = b""
+    held, at = memoryview(b""), 0
     while True:
         unpack, member = zlib.decompressobj(31), []
         while not unpack.eof:
-            if not waiting and not (waiting := file.read(1 << 20)):
-                if member or unpack.unconsumed_tail:
-                    raise ValueError("the archive ends within a record")
-                return
-            member.append(unpack.decompress(waiting))
-            waiting = unpack.unused_data
+            if at == len(held):
+                held, at = memoryview(file.read(1 << 20)), 0
+                if not len(held):
+                    if member or unpack.unconsumed_tail:
+                        raise ValueError("the archive ends within a record")
+                    return
+            fed = held[at : at + FED_BYTES]
+            member.append(unpack.decompress(fed))
+            at += len(fed) - len(unpack.unused_data)
         whole = b"".join(member)
         head, _, rest = whole.partition(CRLF + CRLF)
         fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in head.decode().split("\r\n")[1:])}
         yield fields, rest[: int(fields["content-length"])]
 
 
+def keepers_of(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """sha, keeper (largest page_id), again (whether rows of the keeper repeat), n of the payloads that several rows have:
+    counted by payload and page first, so that a payload of many rows is combined before each shuffle."""
+    each = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    found = each.groupBy("sha").agg(F.max(F.struct("page_id", "n")).alias("last"), F.sum("n").alias("n")).where("n > 1")
+    return common.materialize(found.select("sha", F.col("last.page_id").alias("keeper"), (F.col("last.n") > 1).alias("again"), "n"), "keepers")
+
+
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment: int = SEGMENT_BYTES) -> DataFrame:
     """Writes every page under path; returns the manifest: file, n_records."""
     spark = pages.sparkSession
     common.ensure_importable(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    keepers = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    keepers = common.materialize(keepers.where("n > 1").select("sha", "keeper"), "keepers")
-    marked = rows.join(keepers, "sha", "left").select("page_id", "url", "html", F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper")).alias("keeper"))
+    joined = common.join_heavy(rows, keepers_of(rows, min_bytes), ["sha"], "page_id", "left")
+    other = ~F.col("keeper").eqNullSafe(F.col("page_id"))
+    marked = joined.select("page_id", "url", "html", F.when(other, F.col("keeper")).alias("keeper"), F.coalesce(F.col("again") | F.when(other, F.col("keeper")).isNotNull(), F.lit(False)).alias("own_name"))
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(path)
         out, file, n, size, done = None, None, 0, 0, []
-        for page_id, url, html, keeper in itertools.chain.from_iterable(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True) for b in batches):
+        for page_id, url, html, keeper, own_name in itertools.chain.from_iterable(zip(*(b.column(i).to_pylist() for i in range(5)), strict=True) for b in batches):
             if out is None or size > ARCHIVE_BYTES:
                 if out is not None:
                     out.close()
@@ -147,7 +166,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment: int
                 out = fs.open_output_stream(file, compression=None)
                 info = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                 out.write(info)
-            for r in page_records(page_id, url, html.encode(), keeper, segment):
+            own = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{file}/{n}')}>" if own_name else None
+            for r in page_records(page_id, url, html.encode(), keeper, segment, own):
                 out.write(r)
                 size += len(r)
                 n += 1
@@ -164,7 +184,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment: int
 def read_archives(manifest: DataFrame, path: str) -> DataFrame:
     """record_id, record_type, page_id, refers_to_id, payload_digest, payload of every response and revisit record; a
     revisit has no payload. Segments meet by origin identifier; an unsegmented record crosses the shuffle alone too, as a
-    group of one. A group is one record's segments."""
+    group of one. A group is one record's segments. Archives are read again if a task is lost."""
     common.ensure_importable(manifest.sparkSession)
     files = manifest.select("file").repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file")
     names = ["origin", "record_type", "page_id", "refers_to_id", "payload_digest", "segment", "total", "block"]
@@ -190,7 +210,6 @@ def read_archives(manifest: DataFrame, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
     parts = files.mapInArrow(read, "origin string, record_type string, page_id long, refers_to_id string, payload_digest string, segment int, total long, block binary")
-    # a revisit and the records of one origin that repeat whole (pages that tie) stay apart from each other by their number
     grouped = parts.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "record_type", "page_id", "refers_to_id", "payload_digest", "total", "block"))).alias("parts"))
     out_names = ["record_id", "record_type", "page_id", "refers_to_id", "payload_digest", "payload"]
     out_types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
@@ -230,15 +249,20 @@ def assemble(parts: list[dict]) -> bytes:
     return whole
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of records without their payloads (payload_bytes is
+    null for a revisit): a revisit takes page_id and payload_bytes of the response that has its digest."""
+    revisits = records.where("record_type = 'revisit'")
+    meant = common.materialize(revisits.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n")), "revisited")
+    responses = records.where("record_type = 'response'")
+    target = common.join_heavy(responses, meant, ["payload_digest"], "page_id").groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("full_bytes"), F.max("n").alias("n"))
+    found = common.join_heavy(revisits, common.materialize(target, "revisit-targets"), ["payload_digest"], "page_id", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).union(found.withColumn("payload_bytes", F.col("full_bytes")).select(*columns))
+
+
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     path = common.fresh_path(spark, "archives")
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     records = read_archives(manifest, path)
-    small = common.materialize(records.select("record_id", "record_type", "page_id", "refers_to_id", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes")), "records")
-    responses = small.where("record_type = 'response'")
-    target = responses.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("full_bytes"))
-    target = common.materialize(target.join(small.select("refers_to_id").distinct(), "refers_to_id"), "targets")
-    revisits = small.where("record_type = 'revisit'").join(target, "refers_to_id", "left")
-    return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).union(
-        revisits.select("page_id", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
-    )
+    return resolved(common.materialize(records.select("page_id", "record_type", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes")), "records"))
