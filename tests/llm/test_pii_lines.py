@@ -30,4 +30,4 @@ def test_pieces_decode_like_whole_lines():
     first[begin] = True
     e = field.emissions(pii.shapes(data, starts, ends), first, np.append(first[1:], True))
     whole = field.viterbi(e, sizes)
-    assert (field.line_labels(e, begin) == whole).all() and (whole != pii.OTHER).any() and field.surely_other(e).mean() > 0.2
+    assert (field.line_labels(e, begin) == whole).all() and (whole != pii.OTHER).any()

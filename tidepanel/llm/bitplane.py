@@ -12,7 +12,8 @@ A shard:
 The corpus is dealt into ranges of doc_id with about equal numbers of rows by bounds from a scan of doc_id alone, so that
 text is tokenised once and shuffled once. A task writes its shard under a name of its own and then moves it into place: a
 task that runs twice writes the same bytes. Null doc_id sorts first; a null text is empty; repeated doc_ids stay separate
-documents, ordered by their ids; an empty table makes no shard.
+documents, ordered by their ids (by a hash of the text before that, if one doc_id fills several ranges); an empty table makes
+no shard.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, ranges
 
 MAGIC = b"TPBP0001"
 BLOCK_IDS = 1 << 16
@@ -239,22 +240,6 @@ def library_encoder(path: str) -> LibraryEncoder:
     return _ENCODERS[path]
 
 
-def _shard_bounds(docs: DataFrame, shards: int) -> list[int]:
-    """First doc_id of each shard but the first: exact up to a rank error of a hundredth of a shard."""
-    if shards < 2:
-        return []
-    cuts = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards).alias("q")).first().q or []
-    return sorted(set(cuts))
-
-
-def with_shard(docs: DataFrame, bounds: list[int], name: str = "shard") -> DataFrame:
-    """Adds the number of the range of doc_id that a row falls in; null goes to the first."""
-    if not bounds:
-        return docs.withColumn(name, F.lit(0))
-    at = F.array_size(F.filter(F.lit(bounds), lambda b: b <= F.col("doc_id")))
-    return docs.withColumn(name, F.coalesce(at, F.lit(0)).cast("int"))
-
-
 def write_token_shards(docs: DataFrame, path: str, vocab_path: str, end_id: int = 2, shards: int | None = None, kind: str = "byte", block: int = BLOCK_IDS) -> DataFrame:
     """Encodes every text, appends end_id, and writes one shard file per range of doc_id under path. Returns the manifest:
     shard, file, n_docs, n_tokens (a row per shard)."""
@@ -262,17 +247,18 @@ def write_token_shards(docs: DataFrame, path: str, vocab_path: str, end_id: int
     common.ensure_importable(spark)
     shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds = _shard_bounds(docs, shards)
+    dealt_to = ranges.ranges_of(docs, shards)
 
     def encode(batches):
         coder = library_encoder(vocab_path)
         for rows, data, offs in common.slices(batches, limit=ENCODED_BYTES):
+            place, mark = (rows.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             ids, counts = coder.encode(data, offs, end_id)
             width = 2 if ids.max() < 1 << 16 else 4  # two bytes an id through the shuffle where they suffice
             bounds = np.zeros(len(counts) + 1, np.int64)
             np.cumsum(counts * width, out=bounds[1:])
             packed = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype(f"<u{width}"))])
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([width] * len(counts), pa.int32()), packed.cast(pa.binary()), rows.column(2)], names=["doc_id", "width", "ids", "shard"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([width] * len(counts), pa.int32()), packed.cast(pa.binary()), pa.array(dealt_to.of(place, mark)), rows.column(3)], names=["doc_id", "width", "ids", "shard", "mark"])
 
     def write(batches):
         fs, base = pafs.FileSystem.from_uri(path)
@@ -301,8 +287,8 @@ def write_token_shards(docs: DataFrame, path: str, vocab_path: str, end_id: int
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [[]] * 4, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "file", "n_docs", "n_tokens"])
 
     pafs.FileSystem.from_uri(path)[0].create_dir(pafs.FileSystem.from_uri(path)[1], recursive=True)
-    coded = with_shard(docs, bounds).mapInArrow(encode, "doc_id long, width int, ids binary, shard int")
-    dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
+    coded = ranges.placed(docs, dealt_to).mapInArrow(encode, "doc_id long, width int, ids binary, shard int, mark long")
+    dealt = coded.repartitionById(len(dealt_to), F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "mark", "ids").drop("mark")
     rows = dealt.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long").collect()  # a row per shard
     return spark.createDataFrame(sorted(rows), "shard int, file string, n_docs long, n_tokens long")
 

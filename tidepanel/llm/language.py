@@ -4,20 +4,20 @@ loss is chosen, and a text whose two best codewords are close is flagged as ambi
 
 Learning: n-gram counts by language over all learning rows (combined before the shuffle; the driver holds languages times
 features numbers), from which each bit's classifier has its log-odds weights. The slope and the weight of each bit come from
-the margins of at most `calibration_rows` learning rows.
+the margins of at most `calibration_rows` learning rows, those of the least hashes.
 
-A text that is null or has no letter is `und` with score 0. Rows with null lang or null doc_id teach nothing; a null doc_id
+A text that is null or has no letter (Unicode category L) is `und` with score 0. Rows with null lang or null doc_id teach nothing; a null doc_id
 counts as held out. With no learning row, everything is `und`. Ties of loss go to the language first by name.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from . import common
 FEATURES = 1 << 16
 GRAMS = (2, 3)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _fold() -> np.ndarray:
@@ -141,9 +141,9 @@ def fit(learned: DataFrame, calibration_rows: int = 4000, smoothing: float = 0.5
     floor = share.min()
     weights = [np.log(np.maximum(one[g], floor) / np.maximum(zero[g], floor)).astype(np.float32) for g in range(len(GRAMS))]
     model = Model(languages, code, weights, np.ones(code.shape[1]), np.ones(code.shape[1]))
-    n = rows.count()
-    near = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(min(1.0, calibration_rows / max(n, 1)) * (1 << 20)) + 1)).limit(calibration_rows)
-    _calibrate(model, near)
+    hashed = rows.withColumn("_h", F.xxhash64("lang", "text"))
+    least = hashed.select("_h").orderBy("_h").limit(calibration_rows).agg(F.max("_h").alias("h")).first().h
+    _calibrate(model, hashed.where(F.col("_h") <= least).drop("_h").orderBy("lang", "text").limit(calibration_rows))
     return model
 
 

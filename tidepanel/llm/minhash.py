@@ -5,7 +5,8 @@ chance, estimates the Jaccard likeness.
 
 Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; shingles have five of them, a shorter text is one shingle. A text
 without words (null counts as empty) has an empty fingerprint: likeness 1 to another such, 0 to any other. Documents follow
-each other by doc_id, null first, ties by text; the last is followed by the first, a lone one by itself.
+each other by doc_id, null first, ties by text (by a hash of it first, if one doc_id fills several ranges); the last is
+followed by the first, a lone one by itself.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bitplane, common
+from . import common, ranges
 from .simhash import normalised, shingle_spans
 
 U = np.uint64
-FIRST = -(1 << 63)
 
 
 def shingle_hashes(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,23 +87,42 @@ def fingerprint_neighbours(docs: DataFrame, k: int = 5, bins: int = 256, bits: i
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     Rows are dealt into ranges of doc_id; the first row of each range also goes, as the follower of its last row, to the
-    range before it. Text is shuffled once; the driver holds the first doc_id of each range."""
+    range before it. Text is shuffled once; the driver holds the first row's place of each range."""
     spark = docs.sparkSession
     common.ensure_importable(spark)
     shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = bitplane._shard_bounds(rows, shards)
-    rows = bitplane.with_shard(rows, bounds).withColumn("place", F.coalesce("doc_id", F.lit(FIRST)))
-    firsts = sorted((r.shard, r.place) for r in rows.groupBy("shard").agg(F.min("place").alias("place")).collect())  # a row per shard
-    before = {place: firsts[i - 1][0] for i, (_, place) in enumerate(firsts)}
-    own = F.array(F.struct(F.col("shard").alias("to"), F.lit(0).alias("halo")))
-    if before:
-        follows = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("place")]
-        targets = F.when(F.col("place").isin(list(before)), F.concat(own, F.array(F.struct(follows.alias("to"), F.lit(1).alias("halo"))))).otherwise(own)
-    else:
-        targets = own
-    dealt = rows.select("doc_id", "text", "place", F.explode(targets).alias("t")).select("doc_id", "text", "place", "t.to", "t.halo")
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("to")).sortWithinPartitions("to", "halo", "place", "text").select("doc_id", "text", "halo")
+    dealt_to = ranges.ranges_of(rows, shards)
+    rows = ranges.placed(rows, dealt_to)
+
+    def first_rows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                place, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                order = np.lexsort([mark, place])
+                at, first = np.unique(dealt_to.of(place, mark)[order], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(place[order[first]]), pa.array(mark[order[first]])], names=["to", "place", "mark"])
+
+    firsts = rows.select("place", "mark").mapInArrow(first_rows, "to int, place long, mark long").groupBy("to").agg(F.min(F.struct("place", "mark")).alias("first"))
+    firsts = sorted((r.to, r.first.place, r.first.mark) for r in firsts.collect())  # a row per range
+    before = np.array([(place, mark, firsts[i - 1][0]) for i, (_, place, mark) in enumerate(firsts)], np.int64).reshape(-1, 3)
+
+    def deal(batches):
+        """Each row to its range, and those that may open a range also to the one before it."""
+        for batch in batches:
+            place, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            at = np.minimum(np.searchsorted(before[:, 0], place, "left"), len(before) - 1)
+            while (more := (at + 1 < len(before)) & (before[at, 0] == place) & (before[at, 1] < mark)).any():
+                at = at + more
+            opens = np.flatnonzero((before[at, 0] == place) & (before[at, 1] == mark))
+            rows = np.concatenate([np.arange(batch.num_rows), opens])
+            to = np.concatenate([dealt_to.of(place, mark), before[at[opens], 2].astype(np.int32)])
+            halo = np.repeat(np.array([0, 1], np.int32), [batch.num_rows, len(opens)])
+            taken = batch.take(pa.array(rows)) if len(opens) else batch
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(to), pa.array(halo)], names=["doc_id", "text", "place", "mark", "to", "halo"])
+
+    dealt = rows.mapInArrow(deal, "doc_id long, text string, place long, mark long, to int, halo int")
+    dealt = dealt.repartitionById(len(dealt_to), F.col("to")).sortWithinPartitions("to", "halo", "place", "mark", "text").select("doc_id", "text", "halo")
 
     def code_of(texts: list[str]) -> list[np.ndarray | None]:
         array = pa.array(texts, pa.large_string())

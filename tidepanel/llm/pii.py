@@ -1,25 +1,31 @@
-"""Operator 5: personal data. Patterns find the base spans; a linear-chain conditional random field over word-shape features
-adds spans that the patterns don't cover, decoded by Viterbi over many sequences at once in numpy.
+"""Operator 5: personal data. Patterns find the base spans, in time linear in the text; a linear-chain conditional random
+field over word-shape features adds spans that the patterns don't cover, decoded by Viterbi over many sequences at once in
+numpy: numbers of a phone without a plus, cards in groups parted by full stops or of 13 digits, addresses of mail whose host
+has letters beyond ASCII or that are spelt with [at], (dot) and the like.
 
 Words are [^\\x20\\x09-\\x0D]+. A word's shape is a number made of how many digits it has, whether it has letters, a capital
 first, `@`, full stops, hyphens, a plus, brackets or other marks. Shapes of a word and of its two neighbours are the
-features. A sequence is a line. A line of more than `MOST_WORDS` words is decoded in pieces that start at words whose label is
-`other` whatever the labels around them, so that the pieces' best labels are those of the whole line. The field is trained on a small labelled
-table of (words, labels), by default one made from rules.
+features. A sequence is a line, whatever its length: long lines are decoded as blocks side by side, which are then joined, with
+the labels of the whole line. The field is trained on a small labelled table of (words, labels), by default one made from
+rules.
 
-Found spans are trimmed of surrounding marks, must hold what their kind needs (digits, dots, an @, a
-valid check digit), and give way where they
-touch a base span. Null and empty texts have none; offsets count code points, ends are exclusive.
+Found spans are trimmed of surrounding marks, must hold what their kind needs (digits, dots, an @ or its spelling, a valid
+check digit; 512 code points at most), and give way where they touch a base span. Null and empty texts have none; offsets
+count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -28,11 +34,13 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 MOST_WORDS = 128
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def luhn(digits: str) -> bool:
@@ -43,12 +51,38 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+. A match has one @, and what precedes that can't
+    go back past the match or the @ before it: each stretch between them is read once, backwards."""
+    stop, p = 0, text.find("@")
+    while p >= 0:
+        begin = p - _LOCAL.match(text[stop:p][::-1]).end()
+        stop = p + 1
+        if begin < p and (host := _HOST.match(text, p + 1)):
+            yield begin, host.end()
+            stop = host.end()
+        p = text.find("@", stop)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+) whose parts are at most 255: each chain of numbers joined by
+    single full stops holds one for every four of them."""
+    for chain in _DOTTED.finditer(text):
+        if chain[0].count(".") < 3:
+            continue
+        parts, at = chain[0].split("."), chain.start()
+        for i in range(0, len(parts) - 3, 4):
+            some = parts[i : i + 4]
+            end = at + sum(map(len, some)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in some):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """start, kind, end by start, then kind."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)]
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
+    out += [(a, 1, b) for a, b in addresses(text)]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(digits := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(digits):
             out.append((m.start(), 2, m.end()))
@@ -69,9 +103,9 @@ SHAPES = 1 << 12
 def _byte_classes() -> np.ndarray:
     t = np.zeros(256, np.uint8)
     t[128:] = 1
-    for lo, hi, bit in ((65, 90, 1), (97, 122, 1), (64, 64, 2), (45, 45, 8), (43, 43, 16), (40, 41, 32)):
+    for lo, hi, bit in ((65, 90, 1), (97, 122, 1), (64, 64, 2), (45, 45, 8), (43, 43, 16), (40, 41, 32), (91, 91, 32), (93, 93, 32), (123, 123, 32), (125, 125, 32)):
         t[lo : hi + 1] = bit
-    for c in b"!\"#$%&'*,/:;<=>?[\\]^_`{|}~":
+    for c in b"!\"#$%&'*,/:;<=>?\\^_`|~":
         t[c] = 64
     return t
 
@@ -117,7 +151,7 @@ def _attributes() -> np.ndarray:
     return np.stack(columns, 1).astype(np.float64)
 
 
-def default_table(rows: int = 360, seed: int = 11) -> list[tuple[list[str], list[str]]]:
+def default_table(rows: int = 600, seed: int = 11) -> list[tuple[list[str], list[str]]]:
     """A small labelled table made from rules: words and the kind of each word, `other` for most."""
     rng = np.random.default_rng(seed)
     syllables = ["an", "er", "the", "on", "ti", "le", "qu", "sch", "de", "os", "né", "ü"]
@@ -133,22 +167,25 @@ def default_table(rows: int = 360, seed: int = 11) -> list[tuple[list[str], list
         return str(rng.integers(0, 256))
 
     def email():
-        return [f"{rng.choice(['jo', 'ann', 'mail', 'x.y'])}{num(int(rng.integers(0, 3)))}@{rng.choice(['mail', 'host'])}{num(1)}.example.{rng.choice(['com', 'org'])}"]
+        name, host, top = f"{rng.choice(['jo', 'ann', 'mail', 'x.y'])}{num(int(rng.integers(0, 3)))}", f"{rng.choice(['mail', 'host', 'müller'])}{num(1)}", str(rng.choice(["com", "org", "de"]))
+        at, dot = str(rng.choice(["[at]", "(at)", "{at}"])), str(rng.choice(["[dot]", "(dot)", "{dot}"]))
+        return [[f"{name}@{host}.example.{top}"], [f"{name}@{host}.{top}"], [name, at, f"{host}.{top}"], [name, at, host, dot, top]][rng.integers(4)]
 
     def phone():
         a, b, c = num(3), num(3), num(4)
-        return [[f"+1", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"+{num(2)}", a, b + c], [f"+{num(2)}{num(10)}"], [f"{a}.{b}.{c}"], ["+1", f"{a}-{b}-{c}"]][rng.integers(7)]
+        return [["+1", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"+{num(2)}", a, b + c], [f"+{num(2)}{num(10)}"], [f"{a}.{b}.{c}"], ["+1", f"{a}-{b}-{c}"], [f"0{num(3)}", num(3), num(4)]][rng.integers(8)]
 
     def card():
         parts = [num(4) for _ in range(4)]
-        return [["".join(parts)], parts, ["-".join(parts)]][rng.integers(3)]
+        return [["".join(parts)], parts, ["-".join(parts)], [".".join(parts)], [num(13)]][rng.integers(5)]
 
     def other():
         return [
             [str(rng.integers(1900, 2100))], [num(int(rng.integers(1, 4)))], [f"{num(1)}.{num(1)}"], [f"${num(2)}.{num(2)}"], [f"{num(4)}-{num(2)}-{num(2)}"], [f"{num(2)}:{num(2)}"],
             ["".join(rng.choice(list("0123456789abcdef"), 40))], [f"v{num(1)}.{num(1)}.{num(1)}"], [f"{num(1)},{num(3)}"], ["key_" + "".join(rng.choice(list("0123456789ABCdef"), 24))],
             ["|"], [f"({word()})"], [f"{num(6)}"], [f"#{num(3)}"], [f"{word()}-{word()}"], [num(24)], ["License,", "version", f"{num(1)}.{num(1)}."], [f"https://{word()}.com/{num(3)}"],
-        ][rng.integers(18)]
+            [f"[{num(1)}]"], ["(a)"], ["[sic]"], [f"{num(3)}-{num(3)}"], [f"{num(4)}-{num(4)}"], [num(4), num(4)], [f"{num(3)}.{num(3)},{num(2)}"], [f"@{word()}"],
+        ][rng.integers(26)]
 
     table = []
     for _ in range(rows):
@@ -179,37 +216,61 @@ class ShapeField:
         e += np.where(last[:, None], 0, self.table[2][after])
         return e
 
-    def surely_other(self, e: np.ndarray) -> np.ndarray:
-        """Words that no best path labels but `other`: it gains more than any neighbours' labels could make up for."""
-        into, out_of = (self.steps - self.steps[:, [OTHER]]).max(0), (self.steps - self.steps[[OTHER]]).max(1)
-        swing = (np.maximum(into, 0) + np.maximum(out_of, 0) + 1e-3)[:OTHER]
-        return (e[:, [OTHER]] - e[:, :OTHER] > swing).all(1)
-
     def line_labels(self, e: np.ndarray, line_starts: np.ndarray) -> np.ndarray:
-        """Best labels of the lines that start at the words `line_starts`. A piece that starts inside a line has `other` as
-        its first label, and the step to it is counted at the end of the piece before."""
+        """Best labels of the lines that start at the words `line_starts`. Lines of more than MOST_WORDS words are worked on as
+        blocks of that size, all blocks at once: the best score from each label before a block to each label at its end
+        first, then a walk over each line's blocks, then the labels inside."""
         if not len(e):
             return np.zeros(0, np.int8)
         sizes = np.diff(np.append(line_starts, len(e)))
-        block = common.ragged(sizes) // MOST_WORDS
-        sure = np.flatnonzero((block > 0) & self.surely_other(e))
-        line = np.repeat(np.arange(len(sizes)), sizes)
-        fresh = np.ones(len(sure), bool)
-        fresh[1:] = (line[sure][1:] != line[sure][:-1]) | (block[sure][1:] != block[sure][:-1])
-        cuts = sure[fresh]
-        if len(cuts):
-            e = e.copy()
-            e[cuts, :OTHER] = -1e9
-            e[cuts - 1] += self.steps[:, OTHER]
-        pieces = np.sort(np.concatenate([line_starts, cuts]))
-        return self.viterbi(e, np.diff(np.append(pieces, len(e))))
-
-    def viterbi(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Best labels of consecutive sequences of the given sizes. Step t is taken for all sequences longer than t at
-        once, sequences ordered by size."""
-        labels = np.zeros(len(e), np.int8)
-        if not len(e):
-            return labels
+        blocks = -(-sizes // MOST_WORDS)
+        if (blocks == 1).all():
+            return self.viterbi(e, sizes)
+        inner = common.ragged(blocks)
+        line = np.repeat(np.arange(len(sizes)), blocks)
+        begin = line_starts[line] + inner * MOST_WORDS
+        size = np.minimum(MOST_WORDS, (line_starts + sizes)[line] - begin)
+        long = blocks[line] > 1
+        at, later = np.flatnonzero(long), np.flatnonzero(inner > 0)
+        words = np.repeat(begin[at], size[at]) + common.ragged(size[at])
+        opening = np.cumsum(size[at]) - size[at]
+        goes_on = inner[at] > 0
+        reach = np.empty((len(at), len(self.steps), e.shape[1]), e.dtype)  # of each block, by label before it and at its end
+        for i, step in enumerate(self.steps):
+            part = e[words]
+            part[opening[goes_on]] += step
+            reach[:, i] = self.forward(part, size[at])[0]
+        ends = np.zeros(len(line), np.int64)
+        first = np.cumsum(blocks) - blocks  # of each line
+        place = np.cumsum(long) - 1
+        many = np.flatnonzero(blocks > 1)
+        many = many[np.argsort(-blocks[many], kind="stable")]
+        score = reach[place[first[many]], 0]
+        back, finals = [], np.zeros((len(many), e.shape[1]), e.dtype)
+        most = int(blocks[many[0]])
+        alive = [int((blocks[many] > k).sum()) for k in range(most)]
+        for k in range(1, most):
+            n = alive[k]
+            finals[n : len(score)] = score[n:]
+            cand = score[:n, :, None] + reach[place[first[many[:n]] + k]]
+            back.append(cand.argmax(1))
+            score = cand.max(1)
+        finals[: len(score)] = score
+        best = finals.argmax(1)
+        for k in range(most - 1, -1, -1):
+            n = alive[k]
+            ends[first[many[:n]] + k] = best[:n]
+            if k:
+                best[:n] = back[k - 1][np.arange(n), best[:n]]
+        held = e.copy()
+        held[begin[later]] += self.steps[ends[later - 1]]
+        shut = np.where(np.arange(e.shape[1]) == ends[at, None], 0, -1e9).astype(e.dtype)
+        held[begin[at] + size[at] - 1] += shut
+        return self.viterbi(held, size)
+
+    def forward(self, e: np.ndarray, sizes: np.ndarray):
+        """Of consecutive sequences of the given sizes: best score by last label, and what viterbi needs to go back. Step t
+        is taken for all sequences longer than t at once, sequences ordered by size."""
         begin = np.cumsum(sizes) - sizes
         order = np.argsort(-sizes, kind="stable")
         begin, sizes = begin[order], sizes[order]
@@ -224,8 +285,18 @@ class ShapeField:
             back.append(cand.argmax(1).astype(np.int8))
             score = np.take_along_axis(cand, back[-1][:, None, :].astype(np.int64), 1)[:, 0] + e[begin[:n] + t]
         finals[: len(score)] = score
+        unordered = np.empty_like(finals)
+        unordered[order] = finals
+        return unordered, finals, back, begin, alive
+
+    def viterbi(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Best labels of consecutive sequences of the given sizes."""
+        labels = np.zeros(len(e), np.int8)
+        if not len(e):
+            return labels
+        _, finals, back, begin, alive = self.forward(e, sizes)
         best = finals.argmax(1).astype(np.int8)
-        for t in range(int(sizes[0]) - 1, -1, -1):
+        for t in range(len(alive) - 1, -1, -1):
             n = alive[t]
             labels[begin[:n] + t] = best[:n]
             if t:
@@ -284,18 +355,23 @@ def default_field() -> ShapeField:
 
 
 _TRIM = re.compile(r"^[^0-9A-Za-z(+]+|[^0-9A-Za-z)]+$")
+_SPELT_AT, _SPELT_DOT = re.compile(r"\s*[\[({]at[\])}]\s*"), re.compile(r"\s*[\[({]dot[\])}]\s*")
+_MAIL = re.compile(r"[^@\s]+@[^@\s.]+(?:\.[^@\s.]+)*\.[A-Za-z]{2,}")
 
 
 def _holds(kind: int, piece: str) -> bool:
     """What a span of the kind must hold."""
+    if len(piece) > 512:
+        return False
     number = _NOT_DIGIT.sub("", piece)
     digits = len(number)
     if kind == 0:
-        return bool(re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", piece))
+        return _MAIL.fullmatch(_SPELT_DOT.sub(".", _SPELT_AT.sub("@", piece))) is not None
     if kind == 1:
-        return piece.count(".") == 3 and bool(_IP.fullmatch(piece)) and all(len(p) < 5 and int(p) <= 255 for p in piece.split("."))
-    letters = re.search(r"[^\W\d_]", piece) is not None
-    return not letters and ((kind == 2 and 13 <= digits <= 19 and luhn(number)) or (kind == 3 and 7 <= digits <= 15 and any(c in piece for c in "+-() .")))
+        return list(addresses(piece)) == [(0, len(piece))]
+    if _LETTER.search(piece):
+        return False
+    return (kind == 2 and 13 <= digits <= 19 and luhn(number)) or (kind == 3 and 7 <= digits <= 15 and any(c in piece for c in "+-() ."))
 
 
 def find(field: ShapeField, data: np.ndarray, offs: np.ndarray) -> list[tuple[str, list, list]]:
@@ -308,27 +384,34 @@ def find(field: ShapeField, data: np.ndarray, offs: np.ndarray) -> list[tuple[st
     begin = np.flatnonzero(fresh)
     last = np.append(fresh[1:], True) if len(starts) else fresh
     labels = field.line_labels(field.emissions(shapes(data, starts, ends), fresh, last), begin) if len(starts) else np.empty(0, np.int8)
-    runs: dict[int, list[tuple[int, int, int]]] = {}
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}
     hit = labels != OTHER
-    opening = np.flatnonzero(hit & (fresh | np.append(True, labels[1:] != labels[:-1])[: len(labels)])) if len(labels) else ()
-    closing = np.flatnonzero(hit & (last | np.append(labels[1:] != labels[:-1], True)[: len(labels)])) if len(labels) else ()
-    for i, j in zip(opening, closing, strict=True):
-        runs.setdefault(int(row[i]), []).append((int(starts[i]), int(labels[i]), int(ends[j])))
+    if hit.any():
+        opening = np.flatnonzero(hit & (fresh | np.append(True, labels[1:] != labels[:-1])))
+        closing = np.flatnonzero(hit & (last | np.append(labels[1:] != labels[:-1], True)))
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+        lead = points[starts[opening]] - points[offs[row[opening]]]
+        for i, j, p in zip(opening.tolist(), closing.tolist(), lead.tolist(), strict=True):
+            runs.setdefault(int(row[i]), []).append((int(starts[i]), int(labels[i]), int(ends[j]), p))
     raw = data.tobytes()
     out = []
     for r, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
         text = raw[a:b].decode()
         base = base_spans(text)
-        more = []
-        for s, kind, e in runs.get(r, ()):
+        more, reach = [], 0
+        if r in runs:
+            ordered = [x for x, _, _ in base]
+            furthest = list(itertools.accumulate((y for _, _, y in base), max))
+        for s, kind, e, first in runs.get(r, ()):
             piece = raw[s:e].decode()
-            lead = len(raw[a:s].decode())
             core = _TRIM.sub("", piece)
-            skip = piece.find(core)
             if core and _holds(kind, core):
-                lo, hi = lead + skip, lead + skip + len(core)
-                if all(hi <= x or lo >= y for x, _, y in base):
+                lo = first + piece.find(core)
+                hi = lo + len(core)
+                k = bisect.bisect_left(ordered, hi)  # base spans that start before hi
+                if (not k or furthest[k - 1] <= lo) and lo >= reach:
                     more.append((lo, kind, hi))
+                    reach = hi
         out.append((text, base, sorted(base + more) if more else base))
     return out
 
