@@ -59,8 +59,10 @@ def join_heavy(rows: DataFrame, side: DataFrame, keys: list[str], spread: str, h
     meet theirs by shuffle. rows is read once."""
     if how not in ("inner", "left"):
         raise ValueError(how)
-    total = side.agg(F.sum(count)).first()[0] or 0
-    least = max(total // HEAVY_SHARE, 1000)
+    seen = side.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    least = max((seen.total or 0) // HEAVY_SHARE, 1000)
+    if (seen.most or 0) <= least:
+        return rows.join(side, keys, how).select(*rows.columns, *[c for c in side.columns if c not in keys])
     columns = [c for c in side.columns if c not in keys]
     heavy = F.broadcast(side.where(F.col(count) > least).select(*keys, F.struct(*columns).alias("_heavy")))
     light = side.where(F.col(count) <= least).select(F.lit(0).cast("long").alias("_none"), *[F.col(k).alias(f"_{k}") for k in keys], F.struct(*columns).alias("_light"))
@@ -89,6 +91,14 @@ def text_key(df: DataFrame, text: str = "text", names: tuple[str, str] = ("k1",
     return df.withColumns({names[0]: F.xxhash64(whole), names[1]: F.xxhash64(F.lit(1), whole)})
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column has them."""
+    taken, lead = {c.lower() for c in columns}, "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2, text, copies, first_id: one row per distinct text. Copies are folded before the shuffle, so that the text
     of a group of any size crosses it once per task."""

@@ -1,16 +1,21 @@
 """Near-duplicate texts by likeness of their word shingles, for the pipeline: SimHash at two bits takes texts that are all but
 equal, while texts with 0.8 of their five-word shingles in common lie four to seventeen bits apart, too far for a trie join
-on a large corpus. Here bands of one-permutation MinHash bins name the candidates; the shingle sets themselves judge every
-candidate pair but those whose bins are many standard errors short of 0.8.
+on a large corpus. Here bands of one-permutation MinHash bins name the candidates and the shingle sets themselves judge them.
 
-A key that one text alone has is dropped by a combined aggregate. A pair is compared in the first band it shares, if its texts
-aren't joined there yet, and a key of n texts returns fewer than n links. Texts without words (null counts as empty) link to
-nothing here; equal texts and repeated rows link like any others; an empty table gives no link.
+A key that one text alone has is dropped by a combined aggregate, and of keys that the same texts share one is kept. The texts
+of a key are compared pair by pair, but for those already joined; a key of n texts returns fewer than n links. A key of more
+than `MOST` texts isn't gathered: each of its texts is compared with the key's first, in tasks of its own, which settles the
+key if all are alike to it. The texts of the other such keys get the longer bands of the next level, where keys whose texts
+are joined already are passed over. A pair at 0.8 is missed by chance in about 1 of 20,000 at each of the levels.
+
+Rows are named by 128 bits of doc_id and text, so rows that repeat both stay or go together. Texts without words (null counts
+as empty) link to nothing here; equal texts link like any others; an empty table gives no link.
 """
 
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,36 +25,36 @@ from pyspark.sql import types as T
 
 from . import common, minhash, simhash
 
-BINS = 512
-BANDS, BAND_BINS = 25, 5
-#: Standard errors that a pair's share of equal bins may lie below 0.8 and still have its shingle sets compared.
-ERRORS = 5
+#: Bins, bins of a band, bands: each level's bands are longer and more. 0.8 to the bins of a band, missed by all bands:
+#: 4.9e-5, 1.6e-5, 4.7e-5.
+LEVELS = ((512, 5, 25), (1024, 8, 60), (2048, 12, 140))
+#: Texts of a key that are gathered.
+MOST = 64
+#: Tasks that the texts of one large key are dealt to.
+SALTS = 64
 U = np.uint64
 
 
-def sketches(rows: DataFrame, k: int = 5) -> DataFrame:
-    """rows (with text) without the text, with keys (a hash of each band), bands (the same in one value) and
-    sketch (8 bits of each bin)."""
+def band_keys(rows: DataFrame, bins: int, band_bins: int, bands: int, k: int = 5) -> DataFrame:
+    """rows (with text) without the text, with keys: a hash of each band of the text's bins. Texts without words go."""
     common.ensure_importable(rows.sparkSession)
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches):
         for part, data, offs in common.slices(batches):
-            sig, some = minhash.signatures(*minhash.shingle_hashes(data, offs, k), BINS)
+            sig, some = minhash.signatures(*minhash.shingle_hashes(data, offs, k), bins)
             at = np.flatnonzero(some)
             if not len(at):
                 continue
-            sig = common.mix64(sig[at])
-            band = np.tile(np.arange(1, BANDS + 1, dtype=U) * U(0x9E3779B97F4A7C15), (len(at), 1))
-            for i in range(BAND_BINS):
-                band = common.mix64(band ^ sig[:, i : BANDS * BAND_BINS : BAND_BINS])
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, BANDS, dtype=np.int32)), pa.array(band.view(np.int64).reshape(-1)))
-            packed = pa.array([x.tobytes() for x in (sig & U(0xFF)).astype(np.uint8)], pa.binary())
-            bands = pa.array([x.tobytes() for x in band], pa.binary())
+            sig = common.mix64(sig[at, : bands * band_bins])
+            band = np.tile(np.arange(1, bands + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(bins), (len(at), 1))
+            for i in range(band_bins):
+                band = common.mix64(band ^ sig[:, i::band_bins])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, bands, dtype=np.int32)), pa.array(band.view(np.int64).reshape(-1)))
             chosen = part.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*(chosen.column(chosen.schema.get_field_index(c)) for c in kept), keys, bands, packed], names=[*kept, "keys", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(chosen.column(chosen.schema.get_field_index(c)) for c in kept), keys], names=[*kept, "keys"])
 
-    return rows.mapInArrow(run, rows.select(*kept).schema.add("keys", T.ArrayType(T.LongType())).add("bands", "binary").add("sketch", "binary"))
+    return rows.mapInArrow(run, rows.select(*kept).schema.add("keys", T.ArrayType(T.LongType())))
 
 
 def shingle_sets(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -63,71 +68,124 @@ def shingle_sets(rows: DataFrame, k: int = 5) -> DataFrame:
             sets = pa.array([np.unique(hashes[a:b]).tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), sets], names=["node", "shingles"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return rows.select("node", "text").mapInArrow(run, "node binary, shingles binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether 0.8 of the shingles of two sets, both ascending, are common."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
     same = len(np.intersect1d(a, b, assume_unique=True))
     return 5 * same >= 4 * (len(a) + len(b) - same)
 
 
-def joined_roots(key: int, bands: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Smallest index that each row of a key reaches over pairs of alike rows. Only rows not joined, whose first common
-    band is the key, are compared. Fewer shingles than bins fill fewer bins, so the standard error follows them."""
-    root = np.arange(len(sketch))
-    size = np.array([len(x) for x in sets])
-    filled = BINS * -np.expm1(-size / BINS)
-    for i in range(len(sketch) - 1):
-        other = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (5 * np.minimum(size[i + 1 :], size[i]) >= 4 * np.maximum(size[i + 1 :], size[i])))
-        for part in np.array_split(other, -(-len(other) // 4096)) if len(other) else ():
-            part = part[bands[i, (bands[part] == bands[i]).argmax(1)] == key]
-            least = 0.8 - ERRORS * np.sqrt(0.16 / np.minimum(filled[part], filled[i]))
-            for j in part[(sketch[part] == sketch[i]).mean(1) >= least].tolist():
-                if root[j] != root[i] and alike(sets[i], sets[j]):
-                    met = min(root[i], root[j]), max(root[i], root[j])
-                    root[root == met[1]] = met[0]
+def joined_roots(sets: list[np.ndarray], root: np.ndarray) -> np.ndarray:
+    """Smallest index that each text reaches over pairs of alike texts, from the roots that are known. Only texts that
+    aren't joined yet are compared."""
+    root = root.copy()
+    for i in range(len(sets) - 1):
+        for j in (i + 1 + np.flatnonzero(root[i + 1 :] != root[i])).tolist():
+            if root[j] != root[i] and alike(sets[i], sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
     return root
 
 
-def near_links(sketched: DataFrame, texts: DataFrame) -> DataFrame:
-    """src, dst (src larger): links that join all nodes whose texts are alike, from node, keys, bands and sketch, and node
-    and text."""
-    keyed = sketched.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = common.materialize(keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key"), "shared-bands")
-    met = common.materialize(keyed.join(shared, "key"), "band-members")
-    sets = common.materialize(shingle_sets(texts.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])), "shingle-sets")
-    n = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.join(sketched.select("node", "bands", "sketch").join(sets, "node"), "node").select("key", "node", "bands", "sketch", "shingles").repartition(n, "key").sortWithinPartitions("key", "node")
+def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*found, strict=True) if found else ((), ()))], names=["src", "dst"])
+
 
-    def solve(key: int, node: list[int], bands: list[bytes], sketch: list[bytes], shingles: list[bytes]) -> list[tuple[int, int]]:
-        wide = [np.frombuffer(b"".join(x), t).reshape(len(node), -1) for x, t in ((bands, np.int64), (sketch, np.uint8))]
-        root = joined_roots(key, *wide, [np.frombuffer(x, U) for x in shingles])
-        return [(node[i], node[r]) for i, r in enumerate(root.tolist()) if node[i] != node[r]]
+def group_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """src, dst (src larger): links that join all nodes of a key whose texts are alike; members: key, node, comp (nodes of
+    equal comp are joined already)."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.join(sets, "node").select("key", "node", "comp", "shingles").repartition(n, "key").sortWithinPartitions("key", "node")
 
     def run(batches):
-        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+        rows = (row for batch in batches for i in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True))
         found = []
-        for key, group in itertools.groupby(rows, lambda r: r[0]):
-            found += solve(key, *list(zip(*group, strict=True))[1:])
+        for _, group in itertools.groupby(rows, lambda r: r[0]):
+            _, node, comp, shingles = zip(*group, strict=True)
+            first = {}
+            root = np.array([first.setdefault(c, i) for i, c in enumerate(comp)])
+            found += [(node[i], node[r]) for i, r in enumerate(joined_roots([np.frombuffer(x, U) for x in shingles], root).tolist()) if node[i] != node[r]]
             if len(found) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["src", "dst"])
+                yield _links(found)
                 found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["src", "dst"])
+        yield _links(found)
+
+    return dealt.mapInArrow(run, "src binary, dst binary")
 
-    return dealt.mapInArrow(run, "src long, dst long")
+
+def lead_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """src, dst: the pairs (lead, node) whose texts are alike. A lead's texts are dealt to SALTS tasks, its own to each."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    leads = dealt.select("lead", "salt", F.col("lead").alias("node")).distinct()
+    rows = leads.union(dealt.select("lead", "salt", "node")).join(sets, "node").select("lead", "salt", "node", "shingles")
+    rows = rows.repartition(n, "lead", "salt").sortWithinPartitions("lead", "salt", F.col("node") != F.col("lead"))
+
+    def run(batches):
+        lead, own, found = None, None, []
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                for to, _, node, shingles in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True):
+                    if node == to:
+                        lead, own = node, np.frombuffer(shingles, U)
+                    elif to == lead and alike(own, np.frombuffer(shingles, U)):
+                        found.append((node, to))
+            yield _links(found)
+            found = []
+
+    return rows.mapInArrow(run, "src binary, dst binary")
+
+
+def near_links(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """src, dst (src larger): links that join all nodes whose texts are alike. texts: node and text; keys: node and the
+    keys of the first level."""
+    links, sets, comps = [], None, None
+    for level in range(len(LEVELS)):
+        last = level + 1 == len(LEVELS)
+        keyed = keys.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+        if comps is not None:
+            keyed = keyed.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        else:
+            keyed = keyed.withColumn("comp", F.col("node"))
+        h = F.xxhash64("node")
+        ends = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftrightunsigned(h, 32)).alias("x"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("y"), F.min("node").alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        # keys of the same texts are one
+        groups = common.materialize(ends.where("low <> high").groupBy("n", "x", "y", "lead").agg(F.min("key").alias("key")).select("key", "n", "lead"), "shared-bands")
+        members = common.materialize(common.join_heavy(keyed, groups, ["key"], "node"), "band-members")
+        if sets is None:
+            sets = common.materialize(shingle_sets(texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])), "shingle-sets")
+        few = members if last else members.where(F.col("n") <= MOST)
+        links.append(common.materialize(group_links(few.select("key", "node", "comp"), sets), "near-links"))
+        many = members.where(F.col("n") > MOST)
+        if last or many.isEmpty():
+            break
+        pairs = many.where("node <> lead").select("lead", "node").distinct()
+        links.append(common.materialize(lead_links(pairs, sets), "lead-links"))
+        apart = many.where("node <> lead").join(links[-1].select(F.col("src").alias("node"), F.col("dst").alias("lead")), ["node", "lead"], "left_anti").select("key").distinct()
+        left = common.materialize(many.join(common.materialize(apart, "unsettled-keys"), "key", "left_semi").select("node").distinct(), "unsettled")
+        if left.isEmpty():
+            break
+        comps = simhash.components(reduce(DataFrame.union, links)).withColumnRenamed("node", "_node").select(F.col("_node").alias("node"), "root")
+        keys = common.materialize(band_keys(texts.join(left, "node", "left_semi"), *LEVELS[level + 1]), "longer-bands")
+    return reduce(DataFrame.union, links)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of alike texts: that of the smallest doc_id (null last), ties by text. A row is
-    named by a 64-bit hash of doc_id and text, so rows that repeat both stay or go together."""
+    """docs with one row of each group of alike texts: that of the smallest doc_id (null last), ties by name. Columns of any
+    names are carried through."""
+    (name,) = common.unused(docs.columns, "node")
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.withColumns({"_node": F.xxhash64("doc_id", whole), "_place": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))})
-    sketched = common.materialize(sketches(named.select(F.col("_node").alias("node"), F.col("_place").alias("place"), whole.alias("text"))), "sketches")
-    linked = common.materialize(simhash.components(near_links(sketched.dropDuplicates(["node"]), named.select(F.col("_node").alias("node"), whole.alias("text")))), "near-text-roots")
+    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    named = docs.withColumn(name, F.unhex(F.concat(half("doc_id", whole), half(F.lit(1), "doc_id", whole))))
+    texts = named.select(F.col(name).alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), whole.alias("text"))
+    keys = common.materialize(band_keys(texts, *LEVELS[0]), "bands")
+    linked = common.materialize(simhash.components(near_links(texts.select("node", "text"), keys.select("node", "keys"))), "near-text-roots")
     members = linked.union(linked.select("root", "root").distinct())
-    placed = common.materialize(members.join(sketched.select("node", "place").distinct(), "node"), "near-text-members")
+    placed = common.materialize(members.join(keys.select("node", "place").distinct(), "node"), "near-text-members")
     first = placed.groupBy("root").agg(F.min(F.struct("place", "node")).alias("first")).select("root", F.col("first.node").alias("stays"))
-    gone = common.materialize(placed.join(first, "root").where("node <> stays").select(F.col("node").alias("_node")), "near-text-gone")
-    return named.join(gone, "_node", "left_anti").select(*docs.columns)
+    gone = common.materialize(placed.join(first, "root").where("node <> stays").select(F.col("node").alias(name)), "near-text-gone")
+    return named.join(gone, name, "left_anti").select(*docs.columns)

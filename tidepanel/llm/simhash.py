@@ -76,15 +76,18 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, text: str = "text"
     return rows.mapInArrow(run, rows.select(*kept).schema.add(out, "long"))
 
 
-def trie_pairs(values: np.ndarray, bits: int, budget: int, most: int = 1 << 18):
-    """Pairs of indices into the sorted distinct values, as arrays, that differ in at most budget bits. Node pairs descend
-    together; the frontier is worked off in pieces of at most `most` pairs, deepest first."""
+def trie_pairs(values: np.ndarray, bits: int, budget: int, bounds: np.ndarray | None = None, most: int = 1 << 18):
+    """Pairs of indices into the values, as arrays, that differ in at most budget bits. The values between two bounds are a
+    trie, sorted and distinct; all tries are joined with themselves at once. Node pairs descend together; the frontier is
+    worked off in pieces of at most `most` pairs, deepest first. A value has at most 1 + bits + bits * (bits - 1) / 2 others
+    within two bits, so the pairs grow no faster than the values, however dense they are."""
     n = len(values)
     zeros = np.zeros((bits, n + 1), np.int64)
     for level in range(bits):
         np.cumsum((values >> np.uint64(bits - 1 - level)) & np.uint64(1) == 0, out=zeros[level, 1:])
-    one = np.zeros(1, np.int64)
-    stack = [(0, one, one + n, one, one + n, one)]  # level; range of node a; range of node b; bits that differ so far
+    bounds = np.array([0, n]) if bounds is None else bounds
+    first, last = bounds[:-1][np.diff(bounds) > 1], bounds[1:][np.diff(bounds) > 1]
+    stack = [(0, first, last, first, last, np.zeros(len(first), np.int64))]  # level; range of node a; of node b; bits that differ so far
     while stack:
         level, a0, a1, b0, b1, off = stack.pop()
         if level == bits:
@@ -180,41 +183,39 @@ def near_links(distinct: DataFrame, budget: int = 2, blocks: int = 4, fp: str =
             bounds = np.concatenate([[0], edge, [len(choice)]])
             stop = bounds[-1] if batch is None else bounds[-2]  # the last bucket may go on in the next batch
             held = [(choice[stop:], bucket[stop:], value[stop:])] if stop < len(choice) else []
+            bounds = bounds[bounds <= stop]
             sizes = np.diff(bounds)
-            src, dst = [], []
-            for i in np.flatnonzero((sizes > 1) & (bounds[1:] <= stop)):
-                fps = value[bounds[i] : bounds[i + 1]].view(np.uint64)
-                mask, left = choices[choice[bounds[i]]]
-                rest = _rest(fps, mask)
-                order = np.argsort(rest)
-                rest, fps = rest[order], fps[order].view(np.int64)
-                if len(rest) == 2:
-                    if int(rest[0] ^ rest[1]).bit_count() > budget:
-                        continue
-                    root = np.zeros(2, np.int64)
-                else:
-                    root = local_roots(len(rest), trie_pairs(rest, left, budget))
-                joined = np.flatnonzero(root != np.arange(len(root)))
+            shared = np.repeat(sizes > 1, sizes)
+            sizes = sizes[sizes > 1]
+            if not len(sizes):
+                continue
+            choice, fps = choice[:stop][shared], value[:stop][shared].view(np.uint64)
+            rest = np.empty_like(fps)
+            for c, (mask, _) in enumerate(choices):
+                rest[choice == c] = _rest(fps[choice == c], mask)
+            order = np.lexsort([rest, np.repeat(np.arange(len(sizes)), sizes)])
+            rest, fps = rest[order], fps[order].view(np.int64)
+            root = local_roots(len(rest), trie_pairs(rest, choices[0][1], budget, np.concatenate([[0], np.cumsum(sizes)])))
+            joined = np.flatnonzero(root != np.arange(len(root)))
+            if len(joined):
                 a, b = fps[joined], fps[root[joined]]
-                src.append(np.maximum(a, b))
-                dst.append(np.minimum(a, b))
-            if src:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["src", "dst"])
 
     return dealt.mapInArrow(run, "src long, dst long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root: the smallest node that each linked node reaches. Rounds of large-star and small-star contraction, each
-    written out; the driver sees two numbers a round. Neighbourhood minima are aggregated, never gathered."""
+    written out; the driver sees two numbers a round. Neighbourhood minima are aggregated, never gathered; the links of a
+    node that has very many are spread. Nodes may be of any type that has an order."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select("dst", "src")) if large else edges
-        low = common.materialize(both.groupBy("src").agg(F.min("dst").alias("low")), "star-low")
+        low = common.materialize(both.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("n")), "star-low")
         if large:  # every larger neighbour of a node links to the node's smallest neighbour, or to the node itself
-            joined = both.where("dst > src").join(low, "src").select(F.col("dst").alias("src"), F.least("src", "low").alias("dst"))
+            joined = common.join_heavy(both.where("dst > src"), low, ["src"], "dst").select(F.col("dst").alias("src"), F.least("src", "low").alias("dst"))
         else:  # every smaller neighbour and the node itself link to the smallest neighbour
-            joined = edges.join(low, "src").where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
+            joined = common.join_heavy(edges, low, ["src"], "dst").where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
         return common.materialize(joined.where("src <> dst").distinct(), "star")
 
     edges, seen = common.materialize(links.distinct(), "links"), None
@@ -248,13 +249,15 @@ def near_components(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 2
 
 
 def keep_one(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (null last), the smallest text key among ties."""
-    keyed = common.text_key(docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))), names=("_k1", "_k2"))
-    marked, named = near_classes(keyed.select("_id", "_k1", "_k2", F.col("text").cast("string").alias("text")), k, seed, budget)
-    first = marked.groupBy("fp").agg(F.min(F.struct("_id", "_k1", "_k2")).alias("first"))
-    first = common.materialize(first, "first-of-fingerprint").join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = common.materialize(first.select("first.*"), "kept")
-    on = ["_id", "_k1", "_k2"]
+    """docs with one row of each component: that of the smallest doc_id (null last), the smallest text key among ties. Columns
+    of any names are carried through."""
+    on = common.unused(docs.columns, "id", "k1", "k2")
+    keyed = common.text_key(docs.withColumn(on[0], F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))), names=(on[1], on[2]))
+    named = ["_id", "_k1", "_k2"]
+    marked, classes = near_classes(keyed.select(*[F.col(c).alias(n) for c, n in zip(on, named, strict=True)], F.col("text").cast("string").alias("text")), k, seed, budget)
+    first = marked.groupBy("fp").agg(F.min(F.struct(*named)).alias("first"))
+    first = common.materialize(first, "first-of-fingerprint").join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = common.materialize(first.select(*[F.col(f"first.{n}").alias(c) for c, n in zip(on, named, strict=True)]), "kept")
     return keyed.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
 
 
