@@ -2,7 +2,8 @@
 bits of it are zero, or where it is least if no such end comes in time, so that an insertion moves the ends near it and no
 others. Chunks are compared by a 128-bit digest.
 
-A chunk occurrence repeats if the digest occurs in a document of smaller doc_id, or earlier in the same document. A run of
+A chunk occurrence repeats if the digest occurs in a document of smaller doc_id, or earlier in the same document; texts of one
+doc_id, or of none, follow each other by their 128-bit keys. A run of
 neighbouring repeated chunks is extended byte by byte as far as the bytes beside its first and last chunk of each keeper equal
 those of the keeper, `REACH` bytes at most. What then is at least `least_run` bytes long is removed; shorter repeats are
 chance and stay. The first occurrence, that of the smallest doc_id, is kept, so that a passage survives once: every removed
@@ -102,12 +103,23 @@ def _chunk_rows(texts: DataFrame, carried: list[str], bits: int, least: int, mos
     return rows.mapInArrow(run, schema)
 
 
-def _runs(chunks: list[dict], first_id: int) -> list[list[dict]]:
+#: What the size of a found chunk is marked with: that its text holds the first occurrence; that several texts have the
+#: keeper's doc_id.
+OWN, TIED = 1 << 24, 1 << 25
+
+
+def _sized(chunks: list[dict] | None) -> list[dict]:
+    """Found chunks in order of place, marks parted from sizes."""
+    out = [{**c, "size": c["size"] & (OWN - 1), "own": bool(c["size"] & OWN), "keeper": (c["h1"], c["h2"]) if c["size"] & TIED else c["keeper"], "from": c["keeper"]} for c in chunks or ()]
+    return sorted(out, key=lambda c: c["at"])
+
+
+def _runs(chunks: list[dict]) -> list[list[dict]]:
     """Runs of neighbouring repeated chunks of a text, first occurrences left out."""
     runs, seen = [], set()
-    for c in sorted(chunks or (), key=lambda c: c["at"]):
+    for c in chunks:
         digest = c["h1"], c["h2"]
-        if c["keeper"] == first_id and digest not in seen:
+        if c["own"] and digest not in seen:
             seen.add(digest)
         elif runs and runs[-1][-1]["at"] + runs[-1][-1]["size"] == c["at"]:
             runs[-1].append(c)
@@ -123,8 +135,8 @@ def _edges(found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for k1, k2, first_id, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for r in _runs(chunks, first_id):
+            for k1, k2, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for r in _runs(_sized(chunks)):
                     lo, hi = r[0]["at"], r[-1]["at"] + r[-1]["size"]
                     first, last = {c["keeper"]: c for c in reversed(r)}, {c["keeper"]: c for c in r}
                     out += [(c["h1"], c["h2"], True, k1, k2, c["at"]) for c in first.values() if c["at"] - lo < REACH]
@@ -132,14 +144,15 @@ def _edges(found: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["h1", "h2", "left", "k1", "k2", "at"])
 
-    return found.select("k1", "k2", "first_id", "found").mapInArrow(run, "h1 long, h2 long, left boolean, k1 long, k2 long, at int")
+    return found.select("k1", "k2", "found").mapInArrow(run, "h1 long, h2 long, left boolean, k1 long, k2 long, at int")
 
 
 def _besides(texts: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
-    """h1, h2, left, bytes: what stands beside the kept occurrence of each chunk of edges."""
-    wanted = edges.select("h1", "h2", "left").distinct()
-    first = found.select("k1", "k2", "first_id", F.explode("found").alias("c")).where("c.keeper = first_id").groupBy("k1", "k2", "c.h1", "c.h2").agg(F.min(F.struct("c.at", "c.size")).alias("c"))
-    held = first.join(wanted, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("h1", "h2", "left", "c.at", "c.size")).alias("wanted"))
+    """h1, h2, left, n (edges that want it), bytes: what stands beside the kept occurrence of each chunk of edges."""
+    wanted = edges.groupBy("h1", "h2", "left").agg(F.count(F.lit(1)).alias("n"))
+    own = found.select("k1", "k2", F.explode("found").alias("c")).where(F.col("c.size").bitwiseAND(F.lit(OWN)) != 0)
+    first = own.groupBy("k1", "k2", "c.h1", "c.h2").agg(F.min(F.struct("c.at", F.col("c.size").bitwiseAND(F.lit(OWN - 1)).alias("size"))).alias("c"))
+    held = first.join(wanted, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("h1", "h2", "left", "n", "c.at", "c.size")).alias("wanted"))
     rows = texts.select("k1", "k2", "text").join(held, ["k1", "k2"]).select("text", "wanted")
 
     def run(batches):
@@ -150,11 +163,11 @@ def _besides(texts: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
                     raw = text.encode()
                     for c in chunks:
                         a, b = (max(0, c["at"] - REACH), c["at"]) if c["left"] else (c["at"] + c["size"], c["at"] + c["size"] + REACH)
-                        out.append((c["h1"], c["h2"], c["left"], raw[a:b]))
+                        out.append((c["h1"], c["h2"], c["left"], c["n"], raw[a:b]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["h1", "h2", "left", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], names=["h1", "h2", "left", "n", "bytes"])
 
-    return rows.mapInArrow(run, "h1 long, h2 long, left boolean, bytes binary")
+    return rows.mapInArrow(run, "h1 long, h2 long, left boolean, n long, bytes binary")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -181,33 +194,42 @@ def extended(raw: bytes, lo: int, hi: int, beside: list[dict]) -> tuple[int, int
 
 
 def removed_chunks(docs: DataFrame, bits: int = 5, least: int = 16, most: int = 128, least_run: int = 120, with_text: bool = False) -> DataFrame:
-    """k1, k2, first_id of each distinct text with n_bytes, n_chunks, n_removed, n_spans, kept_sha256, found_in (the
+    """k1, k2, first_id, copies of each distinct text with n_bytes, n_chunks, n_removed, n_spans, kept_sha256, found_in (the
     doc_ids, ascending, that hold the first occurrence of what was removed), and with with_text the kept text."""
     common.ensure_importable(docs.sparkSession)
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = common.materialize(common.distinct_texts(rows).select("k1", "k2", "first_id", "text"), "texts")
+    texts = common.materialize(common.distinct_texts(rows).select("k1", "k2", "first_id", "text", "copies"), "texts")
     counted = _chunk_rows(texts, ["first_id"], bits, least, most).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("keeper"))
-    several = common.materialize(counted.where("n > 1").select("h1", "h2", "keeper"), "repeated-chunks")
+    several = common.materialize(counted.where("n > 1"), "repeated-chunks")
+    chunks = _chunk_rows(texts, ["k1", "k2", "first_id"], bits, least, most)
+    own = F.col("keeper") == F.col("first_id")
+    marks = F.when(own, OWN).otherwise(0)
+    tied = common.materialize(texts.groupBy("first_id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "tied-ids")
+    if not tied.isEmpty():  # of several texts with the keeper's doc_id the one of the least key keeps the chunk
+        among = _chunk_rows(common.join_heavy(texts.select("k1", "k2", "first_id", "text"), tied, ["first_id"], "k1", count="texts"), ["k1", "k2", "first_id"], bits, least, most)
+        among = common.join_heavy(among, several, ["h1", "h2"], "k1").where(own).groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2")).alias("first"))
+        several = common.materialize(several.join(among, ["h1", "h2"], "left"), "repeated-chunks-of-texts")
+        is_first = F.col("first").isNull() | (F.col("first") == F.struct("k1", "k2"))
+        marks = F.when(own & is_first, OWN).otherwise(0) + F.when(F.col("first").isNotNull(), TIED).otherwise(0)
     found = common.materialize(
-        _chunk_rows(texts, ["k1", "k2", "first_id"], bits, least, most)
-        .join(several, ["h1", "h2"])
+        common.join_heavy(chunks, several, ["h1", "h2"], "k1")
         .groupBy("k1", "k2")
-        .agg(F.first("first_id").alias("first_id"), F.collect_list(F.struct("at", "size", "h1", "h2", "keeper")).alias("found")),
+        .agg(F.collect_list(F.struct("at", (F.col("size") + marks).alias("size"), "h1", "h2", "keeper")).alias("found")),
         "found-chunks",
     )
     edges = common.materialize(_edges(found), "run-edges")
     besides = common.materialize(_besides(texts, found, edges), "beside-chunks")
-    beside = edges.join(besides, ["h1", "h2", "left"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("left", "at", "bytes")).alias("beside"))
-    joined = texts.join(found.select("k1", "k2", "found"), ["k1", "k2"], "left").join(beside, ["k1", "k2"], "left").select("k1", "k2", "first_id", "text", "found", "beside")
+    beside = common.join_heavy(edges, besides, ["h1", "h2", "left"], "k1").groupBy("k1", "k2").agg(F.collect_list(F.struct("left", "at", "bytes")).alias("beside"))
+    joined = texts.join(found.select("k1", "k2", "found"), ["k1", "k2"], "left").join(beside, ["k1", "k2"], "left").select("k1", "k2", "first_id", "text", "found", "beside", "copies")
 
     def cut(batches):
         table = gear_table()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part, out = batch.slice(i, 256), []
-                for first_id, text, chunks, beside in zip(*(part.column(j).to_pylist() for j in (2, 3, 4, 5)), strict=True):
+                for text, chunks, beside in zip(*(part.column(j).to_pylist() for j in (3, 4, 5)), strict=True):
                     raw = text.encode()
-                    runs = _runs(chunks, first_id)
+                    runs = _runs(_sized(chunks))
                     spread = []
                     for r in runs:
                         lo, hi = r[0]["at"], r[-1]["at"] + r[-1]["size"]
@@ -219,14 +241,14 @@ def removed_chunks(docs: DataFrame, bits: int = 5, least: int = 16, most: int =
                     for r, (a, _) in zip(runs, spread, strict=True):
                         j = int(np.searchsorted(s, a, "right")) - 1
                         if j >= 0 and a < e[j]:
-                            whose.update(c["keeper"] for c in r)
+                            whose.update(c["from"] for c in r)
                     n_chunks = len(chunk_ends(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), bits, least, most, table)[0])
                     n_bytes, n_removed, n_spans, sha = spans.digest_row(raw, s, e)
                     out.append((n_bytes, n_chunks, n_removed, n_spans, sha, sorted(whose - {LAST_ID}), spans.without(raw, s, e).decode() if with_text else None))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=["k1", "k2", "first_id", "n_bytes", "n_chunks", "n_removed", "n_spans", "kept_sha256", "found_in", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(6), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=["k1", "k2", "first_id", "copies", "n_bytes", "n_chunks", "n_removed", "n_spans", "kept_sha256", "found_in", "kept"])
 
-    made = joined.mapInArrow(cut, "k1 long, k2 long, first_id long, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_sha256 string, found_in array<long>, kept string")
+    made = joined.mapInArrow(cut, "k1 long, k2 long, first_id long, copies long, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_sha256 string, found_in array<long>, kept string")
     return made if with_text else made.drop("kept")
 
 
@@ -235,12 +257,13 @@ EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855
 
 def chunk_dedup(docs: DataFrame, bits: int = 5, least: int = 16, most: int = 128, least_run: int = 120) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_removed, n_spans, kept_sha256, found_in of every row."""
-    results = common.materialize(removed_chunks(docs, bits, least, most, least_run), "kept-chunks")
     rows = common.text_key(docs.select("doc_id", "text"))
     held = F.coalesce("doc_id", F.lit(LAST_ID))
+    with common.scratch(docs.sparkSession):
+        results = common.materialize(removed_chunks(docs, bits, least, most, least_run), "kept-chunks", keep=True)
     # a row of the text's first doc_id stands for the text, one row if that doc_id repeats
     same = rows.groupBy("k1", "k2", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    joined = same.join(results, ["k1", "k2"])
+    joined = common.join_heavy(same, results, ["k1", "k2"], "doc_id", count="copies")
     first = F.col("first_id") == held
     copy = (F.col("n_bytes") > 0) & ~first
     whole = [

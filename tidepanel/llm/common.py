@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_OPEN: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path of its own in the shared folder. Inside a scratch block it goes with the block; keep: with the one around it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What materialize() and fresh_path() make inside is deleted when the block ends, but for what they are told to keep."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written once in the shared folder and read back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = fresh_path(spark, name, keep)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # its shuffle files go when the write is done, not when the driver collects garbage
     try:

@@ -182,10 +182,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
     named = docs.withColumn(name, F.unhex(F.concat(half("doc_id", whole), half(F.lit(1), "doc_id", whole))))
     texts = named.select(F.col(name).alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), whole.alias("text"))
-    keys = common.materialize(band_keys(texts, *LEVELS[0]), "bands")
-    linked = common.materialize(simhash.components(near_links(texts.select("node", "text"), keys.select("node", "keys"))), "near-text-roots")
-    members = linked.union(linked.select("root", "root").distinct())
-    placed = common.materialize(members.join(keys.select("node", "place").distinct(), "node"), "near-text-members")
-    first = placed.groupBy("root").agg(F.min(F.struct("place", "node")).alias("first")).select("root", F.col("first.node").alias("stays"))
-    gone = common.materialize(placed.join(first, "root").where("node <> stays").select(F.col("node").alias(name)), "near-text-gone")
+    with common.scratch(docs.sparkSession):
+        keys = common.materialize(band_keys(texts, *LEVELS[0]), "bands")
+        linked = simhash.components(near_links(texts.select("node", "text"), keys.select("node", "keys")))
+        members = linked.union(linked.select("root", "root").distinct())
+        placed = common.materialize(members.join(keys.select("node", "place").distinct(), "node"), "near-text-members")
+        first = placed.groupBy("root").agg(F.min(F.struct("place", "node")).alias("first"), F.count(F.lit(1)).alias("n"))
+        first = common.materialize(first.select("root", F.col("first.node").alias("stays"), "n"), "near-text-first")
+        gone = common.join_heavy(placed, first, ["root"], "node").where("node <> stays").select(F.col("node").alias(name))
+        gone = common.materialize(gone, "near-text-gone", keep=True)
     return named.join(gone, name, "left_anti").select(*docs.columns)

@@ -218,34 +218,38 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             joined = common.join_heavy(edges, low, ["src"], "dst").where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
         return common.materialize(joined.where("src <> dst").distinct(), "star")
 
-    edges, seen = common.materialize(links.distinct(), "links"), None
-    for _ in range(most_rounds):
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
-        if now == seen or not now.n:
-            return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-        seen = now
-        edges = star(star(edges, True), False)
+    with common.scratch(links.sparkSession):
+        edges, seen = common.materialize(links.distinct(), "links"), None
+        for _ in range(most_rounds):
+            now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
+            if now == seen or not now.n:
+                return common.materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("root")), "components", keep=True)
+            seen = now
+            edges = star(star(edges, True), False)
     raise RuntimeError("components did not settle")
 
 
 def near_classes(rows: DataFrame, k: int = 3, seed: int = 42, budget: int = 2) -> tuple[DataFrame, DataFrame]:
     """rows (with text) without their text but with fp, and fp, root: a name for the component of each fingerprint."""
-    marked = common.materialize(fingerprints(rows, k, seed), "fingerprints")
-    distinct = common.materialize(marked.select("fp").distinct(), "distinct-fingerprints")
-    roots = components(near_links(distinct, budget))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return marked, common.materialize(named, "roots")
+    with common.scratch(rows.sparkSession):
+        marked = common.materialize(fingerprints(rows, k, seed), "fingerprints", keep=True)
+        distinct = common.materialize(marked.select("fp").distinct(), "distinct-fingerprints")
+        roots = components(near_links(distinct, budget))
+        named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+        return marked, common.materialize(named, "roots", keep=True)
 
 
 def near_components(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
     marked, named = near_classes(rows, k, seed, budget)
-    least = common.materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
-    with_root = common.materialize(least.join(named, "fp"), "least-by-root")
-    ids = common.materialize(with_root.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    classes = common.materialize(with_root.select("fp", "root").join(ids, "root").select("fp", "component_id"), "classes")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    with common.scratch(docs.sparkSession):
+        least = common.materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+        with_root = common.materialize(least.join(named, "fp"), "least-by-root")
+        ids = common.materialize(with_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("f")), "component-ids")
+        classes = common.join_heavy(with_root.select("fp", "root", "n"), ids, ["root"], "fp", count="f").select("fp", "component_id", "n")
+        classes = common.materialize(classes, "classes", keep=True)
+    return common.join_heavy(marked, classes, ["fp"], "doc_id").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:
@@ -254,10 +258,11 @@ def keep_one(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 2) -> Da
     on = common.unused(docs.columns, "id", "k1", "k2")
     keyed = common.text_key(docs.withColumn(on[0], F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))), names=(on[1], on[2]))
     named = ["_id", "_k1", "_k2"]
-    marked, classes = near_classes(keyed.select(*[F.col(c).alias(n) for c, n in zip(on, named, strict=True)], F.col("text").cast("string").alias("text")), k, seed, budget)
-    first = marked.groupBy("fp").agg(F.min(F.struct(*named)).alias("first"))
-    first = common.materialize(first, "first-of-fingerprint").join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = common.materialize(first.select(*[F.col(f"first.{n}").alias(c) for c, n in zip(on, named, strict=True)]), "kept")
+    with common.scratch(docs.sparkSession):
+        marked, classes = near_classes(keyed.select(*[F.col(c).alias(n) for c, n in zip(on, named, strict=True)], F.col("text").cast("string").alias("text")), k, seed, budget)
+        first = marked.groupBy("fp").agg(F.min(F.struct(*named)).alias("first"))
+        first = common.materialize(first, "first-of-fingerprint").join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
+        kept = common.materialize(first.select(*[F.col(f"first.{n}").alias(c) for c, n in zip(on, named, strict=True)]), "kept", keep=True)
     return keyed.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
 
 

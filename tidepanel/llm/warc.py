@@ -262,7 +262,9 @@ def resolved(records: DataFrame) -> DataFrame:
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    path = common.fresh_path(spark, "archives")
-    manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    records = read_archives(manifest, path)
-    return resolved(common.materialize(records.select("page_id", "record_type", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes")), "records"))
+    with common.scratch(spark):
+        path = common.fresh_path(spark, "archives")
+        records = read_archives(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path), path)
+        small = records.select("page_id", "record_type", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
+        small = common.materialize(small, "records", keep=True)
+    return resolved(small)
