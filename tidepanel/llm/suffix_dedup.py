@@ -11,8 +11,10 @@ How the corpus is cut into pieces that can be sorted apart, without losing a mat
   * A partition's contexts are suffix-sorted in batches that end where a key ends, by two-stage sorting: only suffixes
     smaller than their successors are sorted directly, the others are induced by scanning the buckets of first bytes.
     Neighbours in that order whose common prefix reaches `length` are repeats.
-  * A key with more than `most` anchors isn't gathered: its strings are hashed one by one and counted by hash, which is
-    the same decision with the key refined to the whole string.
+  * A key with more than `most` different contexts isn't gathered. Equal strings have their owner at the same offset, so its
+    strings are parted by classes of offsets: the strings of a class have a longer piece around the owner in common, which
+    becomes the key of a shorter context, folded and sorted like the others. Classes are 17 offsets wide, then one: there
+    the piece is the whole string, and a key has one context.
 
 Copies of a text are folded into one before texts are shuffled; a text with copies is removed whole if it has `length`
 bytes. Null counts as empty; shorter texts lose nothing; repeated rows are copies of each other; doc_id may be null or
@@ -35,7 +37,10 @@ from . import common, spans
 PIECE = 1 << 21
 #: Bytes of contexts that are suffix-sorted together; a key's contexts stay together.
 BATCH_BYTES = 1 << 18
+#: Offsets of a class, for keys of many contexts and for those that still have many.
+CLASSES = (17, 1)
 U = np.uint64
+_RANGES = "array<struct<from:int,to:int>>"
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -168,49 +173,19 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("k1", "k2", "text").where(F.octet_length("text") >= length).mapInArrow(run, "k1 long, k2 long, key long, place long")
 
 
-def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 1 << 14) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts (k1, k2, text, copies, first_id) and the byte ranges of each that repeat elsewhere
-    (k1, k2, ranges: array of struct from, to)."""
-    spark = docs.sparkSession
-    common.ensure_importable(spark)
-    if not 8 <= gram <= length <= gram + 255:
-        raise ValueError("gram must lie between 8 and length, and length - gram below 256")
-    rows = common.text_key(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    one = F.xxhash64("k1", "k2", "place")
-    keys = _anchor_rows(rows, length, gram).groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.count(F.lit(1)).alias("n"))
-    repeated = common.materialize(keys.where("a <> b").select("key", (F.col("n") > most).alias("hot")), "repeated-keys")
-    texts = common.distinct_texts(docs)
-    places = _anchor_rows(texts, length, gram).join(repeated, "key").groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "place", "hot")).alias("places"))
-    places = common.materialize(places, "places")
-    with_text = texts.select("k1", "k2", "text").join(places, ["k1", "k2"])
+def _folded(contexts: DataFrame) -> DataFrame:
+    """key, name, n, own, context: equal contexts of a key are one; n is how many there were. A name is 64 bits of what the
+    context holds, beside the 64 of the key."""
+    return common.materialize(contexts.groupBy("key", "name").agg(F.sum("n").alias("n"), F.first("own").alias("own"), F.first("context").alias("context")), "contexts")
 
-    def contexts(batches, with_bytes):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                out = []
-                for k1, k2, text, found in zip(*(part.column(j).to_pylist() for j in range(4)), strict=True):
-                    raw = text.encode()
-                    for p in found:
-                        place = p["place"]
-                        at, own, more = place >> 16, place >> 8 & 255, place & 255
-                        context = raw[at : at + more + length]
-                        name = np.int64(hash_context(context, own))
-                        out.append((p["key"], name, own, p["hot"], context) if with_bytes else (k1, k2, at, p["key"], name))
-                for j in range(0, len(out), 4096):
-                    if with_bytes:
-                        yield _rows(zip(*out[j : j + 4096], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), ["key", "name", "own", "hot", "context"])
-                    else:
-                        yield _rows(zip(*out[j : j + 4096], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), ["k1", "k2", "at", "key", "name"])
 
-    uses = with_text.mapInArrow(lambda b: contexts(b, False), "k1 long, k2 long, at long, key long, name long")
-    folded = (
-        with_text.mapInArrow(lambda b: contexts(b, True), "key long, name long, own int, hot boolean, context binary")
-        .groupBy("key", "name")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("own").alias("own"), F.first("hot").alias("hot"), F.first("context").alias("context"))
-    )
-    folded = common.materialize(folded, "contexts")
-    range_type = "array<struct<from:int,to:int>>"
+def _batched(columns: tuple, names: list[str], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for j in range(0, len(rows), 4096):
+        yield _rows(zip(*rows[j : j + 4096], strict=True), columns, names)
+
+
+def _sorted_ranges(folded: DataFrame, length: int) -> DataFrame:
+    """key, name, n, ranges of the contexts that hold repeats: the contexts of each key are suffix-sorted together."""
 
     def sort_keys(batches):
         """Rows come ordered by key."""
@@ -228,41 +203,99 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 64, most: in
             yield solve(held)
 
     def solve(rows):
-        alone = [k for k, g in itertools.groupby(rows, lambda r: r[0]) if len(list(g)) == 1]
-        alone = set(alone)
+        alone = {k for k, g in itertools.groupby(rows, lambda r: r[0]) if len(list(g)) == 1}
         sorted_rows = [r for r in rows if r[0] not in alone]
         found = dict(zip([(r[0], r[1]) for r in sorted_rows], repeated_starts([r[3] for r in sorted_rows], length), strict=True)) if sorted_rows else {}
         out = []
         for key, name, n, context in rows:
-            whole = n > 1
-            ranges = [(0, len(context))] if whole else _ranges(found[key, name], length) if (key, name) in found else []
+            ranges = [(0, len(context))] if n > 1 else _ranges(found[key, name], length) if (key, name) in found else []
             if ranges:
-                out.append((key, name, [{"from": a, "to": b} for a, b in ranges]))
-        return _rows(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))), ["key", "name", "ranges"])
+                out.append((key, name, n, [{"from": a, "to": b} for a, b in ranges]))
+        return _rows(zip(*out, strict=True) if out else ([], [], [], []), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))), ["key", "name", "n", "ranges"])
 
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    usual = folded.where("not hot").select("key", "name", "n", "context").repartition(n_parts, "key").sortWithinPartitions("key", "name").mapInArrow(sort_keys, f"key long, name long, ranges {range_type}")
+    n_parts = int(folded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = folded.select("key", "name", "n", "context").repartition(n_parts, "key").sortWithinPartitions("key", "name")
+    return dealt.mapInArrow(sort_keys, f"key long, name long, n long, ranges {_RANGES}")
 
-    def windows(batches):
+
+def _classes(hot: DataFrame, length: int, width: int, with_bytes: bool) -> DataFrame:
+    """The parts of contexts by class of offsets: key, name, n, own, context of the parts, or where they lie in the whole:
+    whole_key, whole_name, at, key, name."""
+
+    def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 out = []
-                for key, name, own, context in zip(*(batch.slice(i, 256).column(j).to_pylist() for j in range(4)), strict=True):
-                    data = np.frombuffer(context, np.uint8)
-                    at = np.arange(len(data) - length + 1)
-                    hashed = common.span_hashes(data, at, at + length) ^ common.mix64(np.full(len(at), key & (1 << 64) - 1, U) + (own - at).astype(U))
-                    out.append((np.full(len(at), key), np.full(len(at), name), at.astype(np.int32), hashed.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["key", "name", "at", "window"])
-
-    hot = folded.where("hot")
-    each = hot.where("n = 1").select("key", "name", "own", "context").union(hot.where("n > 1").select("key", "name", "own", "context")).mapInArrow(windows, "key long, name long, at int, window long")
-    twice = common.materialize(each.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"), "repeated-windows")
-    single = each.join(twice, "window").groupBy("key", "name").agg(F.collect_list("at").alias("ats"))
-    single = single.select("key", "name", F.transform("ats", lambda a: F.struct(a.alias("from"), (a + length).cast("int").alias("to"))).alias("ranges"))
-    several = hot.where("n > 1").select("key", "name", F.array(F.struct(F.lit(0).alias("from"), F.octet_length("context").alias("to"))).alias("ranges"))
-    covered = common.materialize(usual.union(single).union(several), "covered")
+                for key, name, n, own, context in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True):
+                    last = len(context) - length
+                    for c in range((own - last) // width, own // width + 1):
+                        low, high = own - c * width - width + 1, own - c * width  # starts of the class, the piece lies in all of their strings
+                        first, end = max(0, low), min(last, high) + length
+                        if end - first < length:
+                            continue
+                        piece, part = context[max(0, high) : low + length], context[first:end]
+                        part_key, part_name = hash_context(piece, (key ^ c) & (1 << 64) - 1), hash_context(part, own - first)
+                        out.append((part_key, part_name, n, own - first, part) if with_bytes else (key, name, first, part_key, part_name))
+                if with_bytes:
+                    yield from _batched((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), ["key", "name", "n", "own", "context"], out)
+                else:
+                    yield from _batched((pa.int64(),) * 5, ["whole_key", "whole_name", "at", "key", "name"], out)
+
+    return hot.select("key", "name", "n", "own", "context").mapInArrow(run, "key long, name long, n long, own int, context binary" if with_bytes else "whole_key long, whole_name long, at long, key long, name long")
+
+
+def _covered(folded: DataFrame, length: int, most: int, widths: tuple[int, ...]) -> DataFrame:
+    """key, name, n, ranges of the contexts that hold repeats."""
+    sizes = common.materialize(folded.groupBy("key").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > most), "many-contexts") if widths else None
+    if sizes is None or sizes.isEmpty():
+        return common.materialize(_sorted_ranges(folded, length), "covered")
+    marked = common.join_heavy(folded, sizes, ["key"], "name", "left", "contexts")
+    usual, hot = marked.where("contexts is null"), common.materialize(marked.where("contexts is not null").drop("contexts"), "hot-contexts")
+    usual = common.materialize(_sorted_ranges(usual, length), "covered")
+    parts = _covered(_folded(_classes(hot, length, widths[0], True)), length, most, widths[1:])
+    met = common.join_heavy(_classes(hot, length, widths[0], False), parts, ["key", "name"], "whole_name")
+    shifted = F.transform("ranges", lambda r: F.struct((r["from"] + F.col("at")).cast("int").alias("from"), (r["to"] + F.col("at")).cast("int").alias("to")))
+    whole = met.select(F.col("whole_key").alias("key"), F.col("whole_name").alias("name"), shifted.alias("ranges")).groupBy("key", "name").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return common.materialize(usual.union(whole.join(hot.select("key", "name", "n"), ["key", "name"]).select("key", "name", "n", "ranges")), "covered-with-hot")
+
+
+def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts (k1, k2, text, copies, first_id) and the byte ranges of each that repeat elsewhere
+    (k1, k2, ranges: array of struct from, to)."""
+    common.ensure_importable(docs.sparkSession)
+    if not 8 <= gram <= length <= gram + 255:
+        raise ValueError("gram must lie between 8 and length, and length - gram below 256")
+    rows = common.text_key(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    one = F.xxhash64("k1", "k2", "place")
+    keys = _anchor_rows(rows, length, gram).groupBy("key").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.count(F.lit(1)).alias("n"))
+    repeated = common.materialize(keys.where("a <> b").select("key", "n"), "repeated-keys")
+    texts = common.distinct_texts(docs)
+    places = common.join_heavy(_anchor_rows(texts, length, gram), repeated, ["key"], "k1").groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "place")).alias("places"))
+    places = common.materialize(places, "places")
+    with_text = texts.select("k1", "k2", "text").join(places, ["k1", "k2"])
+
+    def contexts(batches, with_bytes):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                out = []
+                for k1, k2, text, found in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True):
+                    raw = text.encode()
+                    for p in found:
+                        place = p["place"]
+                        at, own, more = place >> 16, place >> 8 & 255, place & 255
+                        context = raw[at : at + more + length]
+                        name = hash_context(context, own)
+                        out.append((p["key"], name, 1, own, context) if with_bytes else (k1, k2, at, p["key"], name))
+                if with_bytes:
+                    yield from _batched((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), ["key", "name", "n", "own", "context"], out)
+                else:
+                    yield from _batched((pa.int64(),) * 5, ["k1", "k2", "at", "key", "name"], out)
+
+    folded = _folded(with_text.mapInArrow(lambda b: contexts(b, True), "key long, name long, n long, own int, context binary"))
+    covered = _covered(folded, length, most, CLASSES)
+    uses = with_text.mapInArrow(lambda b: contexts(b, False), "k1 long, k2 long, at long, key long, name long")
     ranges = (
-        uses.join(covered, ["key", "name"])
+        common.join_heavy(uses, covered, ["key", "name"], "k1")
         .select("k1", "k2", F.transform("ranges", lambda r: F.struct((r["from"] + F.col("at")).cast("long").alias("from"), (r["to"] + F.col("at")).cast("long").alias("to"))).alias("ranges"))
         .groupBy("k1", "k2")
         .agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
@@ -277,8 +310,8 @@ def hash_context(context: bytes, own: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def removed_texts(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 1 << 14, with_text: bool = False) -> DataFrame:
-    """k1, k2 of each distinct text with n_bytes, n_removed, n_spans, kept_sha256, and with with_text the kept bytes."""
+def removed_texts(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 256, with_text: bool = False) -> DataFrame:
+    """k1, k2, copies of each distinct text with n_bytes, n_removed, n_spans, kept_sha256, and with with_text the kept bytes."""
     texts, ranges = repeated_ranges(docs, length, gram, most)
     joined = texts.select("k1", "k2", "text", "copies").join(ranges, ["k1", "k2"], "left")
 
@@ -295,17 +328,18 @@ def removed_texts(docs: DataFrame, length: int = 200, gram: int = 64, most: int
                         s, e = spans.merge_spans(np.array([r["from"] for r in found or ()], np.int64), np.array([r["to"] for r in found or ()], np.int64))
                     out.append((*spans.digest_row(raw, s, e), spans.without(raw, s, e) if with_text else b""))
                 columns = list(zip(*out, strict=True))[: 5 if with_text else 4]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=False))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=False))], names=names)
 
-    names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
-    return joined.mapInArrow(cut, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    names = ["k1", "k2", "copies", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+    return joined.mapInArrow(cut, "k1 long, k2 long, copies long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 1 << 14) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 64, most: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    results = common.materialize(removed_texts(docs, length, gram, most), "removed")
+    with common.scratch(docs.sparkSession):
+        results = common.materialize(removed_texts(docs, length, gram, most), "removed", keep=True)
     rows = common.text_key(docs.select("doc_id", "text")).select("doc_id", "k1", "k2")
-    return rows.join(results, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return common.join_heavy(rows, results, ["k1", "k2"], "doc_id", count="copies").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
