@@ -2,7 +2,8 @@
 data, token ids. Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as
 the docs of the next. All but the last return the columns of documents.
 
-Empty stages pass empty tables on. Extra columns of documents are carried through; the stages use doc_id, text and lang.
+Empty stages pass empty tables on. Extra columns of documents are carried through, whatever their names; the stages use
+doc_id, text and lang.
 """
 
 from __future__ import annotations
@@ -14,17 +15,21 @@ from tidepanel.llm import bpe, common, decontaminate, language, near_text, pii,
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter, or null, go."""
+    """Documents in a language, lang set to the one that was found. Those without a letter, or null, go, and those whose two
+    best codewords are too close to tell."""
     model = language.fit(language.learning(docs).where("not held_out"))
-    apart = [f"_own_{c}" if c in ("lang_pred", "score", "ambiguous") else c for c in docs.columns]  # columns of these names stay
-    named = language.identify(docs.toDF(*apart), model)
-    return named.where(F.col("lang_pred") != language.UNKNOWN).select(*apart).toDF(*docs.columns)
+    apart = common.unused(docs.columns, *docs.columns)  # columns of any names stay
+    named = language.identify(docs.toDF(*apart), model, text=apart[docs.columns.index("text")])
+    kept = named.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous"))
+    return kept.select(*[F.col("lang_pred" if c == "lang" else own).alias(c) for c, own in zip(docs.columns, apart, strict=True)])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id: first of SimHash's groups, then of the
     texts left that have 0.8 of their five-word shingles in common."""
-    return near_text.keep_one(common.materialize(simhash.keep_one(docs), "simhash-kept"))
+    with common.scratch(spark):
+        few = common.materialize(simhash.keep_one(docs), "simhash-kept", keep=True)
+    return near_text.keep_one(few)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scratch(spark):  # what a stage leaves behind goes when its result is written
+            docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return docs
