@@ -18,9 +18,16 @@ DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm
 # Noise of article pages.
 NOISE = (r"xem thêm.{0,50}", r"đọc thêm.{0,50}", r"cùng chuyên mục.{0,50}", r"theo dõi.{0,30}cafef", r"nguồn:.{0,80}", r"tags?:.{0,200}", r"\[.*?\]", r"<[^>]+>")
 MIN_ARTICLE_CHARS = 500
+# Tags that are dropped, selectors of the content in the order in which they are tried, selectors dropped inside it.
 SKIPPED_TAGS = ("script", "style", "aside", "nav", "footer", "header")
-CONTENT_CLASSES = ("knc-content", "detail-content", "article-body", "nd_detail")
-ADVERT_CLASSES = ("social-share", "ads", "related-news")
+CONTENT = (".knc-content", ".detail-content", ".article-body", "div.nd_detail")
+ADVERTS = (".social-share", ".ads", ".related-news", "figure")
+# Selectors of the items of a list page, of an item's link and of its time.
+ITEMS = ("div.tlitem", "div.item-news", "div.tinmoi li", "div.firstitem", "div.big")
+ITEM_LINKS = ("h3 a", "h2 a", ".title a")
+ITEM_TIMES = ("span.time", "span.date", "time", "p.time")
+# Fixed value: the point of a summary that has none.
+NO_SUMMARY = "Không có thông tin tóm tắt."
 
 
 def col(c: Column | str) -> Column:
@@ -58,10 +65,26 @@ def has_keyword(folded: Column, keywords) -> Column:
     return folded.rlike(keyword_pattern(keywords))
 
 
+def keywords_in(folded: Column, tables: dict[str, tuple[str, ...]]) -> Column:
+    """Names of the tables that have a keyword in the folded text, in the order of the dictionary, after one scan: at each start
+    of a word the longest keyword is taken, which stands for the names of those that it begins with too."""
+    names: dict[str, set[str]] = {}
+    for name, words in tables.items():
+        for w in words:
+            names.setdefault(fold_text(w), set()).add(name)
+    words = sorted(names, key=lambda w: (-len(w), w))
+    whole = lambda w: re.compile(r"(?<!\w)" + re.escape(w) + r"(?!\w)")
+    meant = {w: sorted(set().union(*(names[v] for v in words if (m := whole(v).match(w)) and m.start() == 0))) for w in words}
+    pattern = r"(?U)(?<!\w)(?=(" + "|".join(re.escape(w) for w in words) + r")(?!\w))"
+    met = F.array_distinct(F.regexp_extract_all(folded, F.lit(pattern), F.lit(1)))
+    table = F.create_map(*[x for w in words for x in (F.lit(w), F.array(*map(F.lit, meant[w])))])
+    found = F.flatten(F.transform(met, lambda w: table[w]))
+    return F.when(F.size(met) == 0, F.array().cast("array<string>")).otherwise(F.filter(F.array(*map(F.lit, tables)), lambda name: F.array_contains(found, name)))
+
+
 def sectors_in(folded: Column, keywords: dict | None = None) -> Column:
     """Sectors with a keyword in the folded text, in dictionary order."""
-    table = keywords or schemas.SECTOR_KEYWORDS
-    return F.filter(F.array(*[F.when(has_keyword(folded, words), F.lit(name)) for name, words in table.items()]), lambda x: x.isNotNull())
+    return keywords_in(folded, keywords or schemas.SECTOR_KEYWORDS)
 
 
 def parse_datetime(c: Column | str) -> Column:
@@ -131,7 +154,7 @@ def valid_summary(record: Column) -> Column:
     points = F.filter(F.transform(record["summary"], lambda x: F.trim(x)), lambda x: x != "")
     score = F.coalesce(clip_score(record["sentiment_score"]), F.when(record["impact"] == "Positive", 0.5).when(record["impact"] == "Negative", -0.5).otherwise(0.0))
     return F.struct(
-        F.when(F.size(points) > 0, F.slice(points, 1, 5)).otherwise(F.array(F.lit("Không có thông tin tóm tắt."))).alias("summary"),
+        F.when(F.size(points) > 0, F.slice(points, 1, 5)).otherwise(F.array(F.lit(NO_SUMMARY))).alias("summary"),
         F.filter(F.transform(record["tickers"], lambda t: F.upper(F.trim(t))), lambda t: t != "").alias("tickers"),
         record["impact"].alias("impact"),
         score.alias("sentiment_score"),
@@ -141,11 +164,11 @@ def valid_summary(record: Column) -> Column:
 
 
 def clean_text(c: Column | str) -> Column:
-    """Noise removed, runs of white space to line ends."""
+    """Noise removed, runs of white space to line ends. A full stop of the patterns stops at a line feed alone."""
     out = col(c)
     for pattern in NOISE:
-        out = F.regexp_replace(out, f"(?iu){pattern}", " ")
-    return F.regexp_replace(F.regexp_replace(out, r"(?U)\s{2,}", "\n"), r"(?U)^\s+|\s+$", "")
+        out = F.regexp_replace(out, f"(?iud){pattern}", " ")
+    return F.regexp_replace(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f]{2,}", "\n"), r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def absolute_url(c: Column | str, base: str) -> Column:
@@ -172,55 +195,130 @@ def first_json_object(raw: str | None) -> str | None:
     return text
 
 
-class _Article(HTMLParser):
-    """Paragraphs inside the content element and, apart, all text outside skipped elements."""
+class _Element:
+    """An element: tag, attributes, the element around it, and texts and elements inside."""
+
+    __slots__ = ("attrs", "inside", "parent", "tag")
+
+    def __init__(self, tag: str, attrs: dict, parent):
+        self.tag, self.attrs, self.parent, self.inside = tag, attrs, parent, []
+
+    def fits(self, simple: str) -> bool:
+        tag, _, wanted = simple.partition(".")
+        return (not tag or tag == self.tag) and (not wanted or wanted in (self.attrs.get("class") or "").split())
+
+    def matches(self, selector: str) -> bool:
+        """A chain of `tag.class` parts, the last of this element, the others of elements around it, from the outside in."""
+        *around, own = selector.split()
+        if not self.fits(own):
+            return False
+        at = self.parent
+        while around and at is not None:
+            if at.fits(around[-1]):
+                around.pop()
+            at = at.parent
+        return not around
+
+    def elements(self):
+        """All elements inside, in the order of the page."""
+        waiting = [x for x in reversed(self.inside) if isinstance(x, _Element)]
+        while waiting:
+            e = waiting.pop()
+            yield e
+            waiting += [x for x in reversed(e.inside) if isinstance(x, _Element)]
+
+    def select(self, *selectors: str):
+        return (e for e in self.elements() if any(e.matches(s) for s in selectors))
+
+    def strings(self) -> list[str]:
+        """Trimmed texts inside, empty ones left out."""
+        out, waiting = [], [self]
+        while waiting:
+            x = waiting.pop()
+            if isinstance(x, _Element):
+                waiting += reversed(x.inside)
+            elif x.strip():
+                out.append(x.strip())
+        return out
+
+    def drop(self) -> None:
+        self.parent.inside.remove(self)
+
+
+class _Page(HTMLParser):
+    """The tree of a page; an end tag without its start is passed over, a start without its end goes on to the end around it."""
 
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__()
-        self.open: list[tuple[str, bool, bool]] = []  # tag, skipped, content
-        self.paragraphs: list[list[str]] = []
-        self.everything: list[str] = []
-        self.in_p = 0
+        self.root = self.at = _Element("", {}, None)
+        self.feed(html)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.VOID:
-            return
-        classes = (dict(attrs).get("class") or "").split()
-        skipped = tag in SKIPPED_TAGS or tag == "figure" or bool(set(classes) & set(ADVERT_CLASSES))
-        self.open.append((tag, skipped, bool(set(classes) & set(CONTENT_CLASSES))))
-        if tag == "p":
-            self.in_p += 1
-            if any(c for _, _, c in self.open):
-                self.paragraphs.append([])
+        e = _Element(tag, dict(attrs), self.at)
+        self.at.inside.append(e)
+        if tag not in self.VOID:
+            self.at = e
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.in_p -= sum(t == "p" for t, _, _ in self.open[i:])
-                del self.open[i:]
-                break
+        e = self.at
+        while e is not None and e.tag != tag:
+            e = e.parent
+        if e is not None and e.parent is not None:
+            self.at = e.parent
 
     def handle_data(self, data):
-        if any(s for _, s, _ in self.open) or not data.strip():
-            return
-        self.everything.append(data.strip())
-        if self.in_p and any(c for _, _, c in self.open) and self.paragraphs:
-            self.paragraphs[-1].append(data.strip())
+        self.at.inside.append(data)
 
 
 def article_text(html: str | None) -> str | None:
-    """Text of the content element; all text where that has fewer than 500 characters; null where that has fewer too."""
+    """Paragraphs of the first element of the first selector that has one; all visible text where that has fewer than 500
+    characters; null where that has fewer too."""
     if not html:
         return None
-    parser = _Article()
-    parser.feed(html)
-    parser.close()
-    for text in ("\n".join(" ".join(p) for p in parser.paragraphs), "\n".join(parser.everything)):
+    page = _Page(html).root
+    for e in list(page.select(*SKIPPED_TAGS)):
+        e.drop()
+    content = next((found for s in CONTENT if (found := next(page.select(s), None)) is not None), None)
+    if content is not None:
+        for e in list(content.select(*ADVERTS)):
+            e.drop()
+        text = "\n".join(" ".join(p.strings()) for p in content.select("p"))
         if len(text) >= MIN_ARTICLE_CHARS:
             return text
-    return None
+    text = "\n".join(page.strings())
+    return text if len(text) >= MIN_ARTICLE_CHARS else None
+
+
+def list_items(html: str | None, base: str, items=ITEMS, links=ITEM_LINKS, times=ITEM_TIMES) -> list[dict]:
+    """url, title, published_at, source_box of the items of a list page: each item's first link by the selectors, or its first
+    link at all; items without one go."""
+    out = []
+    for e in _Page(html or "").root.select(*items):
+        a = next(e.select(*links), None) or next(e.select("a"), None)
+        if a is None:
+            continue
+        url = a.attrs.get("href") or ""
+        time = next(e.select(*times), None)
+        classes = (e.attrs.get("class") or "").split()
+        box = f"{e.tag} class: {' '.join(classes)}" if classes else e.tag
+        out.append({"url": url if url.startswith("http") else base.rstrip("/") + url, "title": "".join(a.strings()), "published_at": "".join(time.strings()) if time is not None else "", "source_box": box})
+    return out
+
+
+ITEM = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("url", "title", "published_at", "source_box")]))
+
+
+def extract_items(html: Column | str, base: str, items=ITEMS, links=ITEM_LINKS, times=ITEM_TIMES) -> Column:
+    """list_items of each page. Parsing a page is Python's work, one page at a time within an Arrow batch."""
+
+    @F.pandas_udf(ITEM)
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: list_items(h, base, items, links, times))
+
+    return run(col(html))
 
 
 @F.pandas_udf(T.StringType())

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..session import cut
+from . import stats
 
 
 def edge_table(results: DataFrame, flag: str, p: str, kind: str) -> DataFrame:
     """Edges whose flag is set (text flags count), weighing -log10 of p."""
-    on = F.lower(F.trim(F.col(flag).cast("string"))).isin("true", "1", "yes", "y")
+    on = flag_of(flag)
     own = F.col("source") == F.col("target")
     weight = -F.log10(F.greatest(F.least(F.col(p), F.lit(1.0)), F.lit(schemas.P_FLOOR)))
     return results.where(on).withColumns({"edge_weight": weight, "edge_type": F.when(own, "self").otherwise("cross"), "is_self_edge": own, "significance_type": F.lit(kind)})
@@ -48,10 +49,10 @@ def network_summary(edges: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     d = node_degrees(edges, nodes).join(nodes, "node")
     top = lambda c: F.max_by(F.when(F.col(c) > 0, F.col("node")), F.struct(F.col(c), -F.col("ord")))
     tops = d.agg(F.coalesce(top("weighted_out_degree"), F.lit("")).alias("top_sender_by_weight"), F.coalesce(top("weighted_in_degree"), F.lit("")).alias("top_receiver_by_weight"))
-    o = nodes.select(F.col("node").alias("source"), F.col("ord").alias("so")).hint("broadcast")
-    o2 = nodes.select(F.col("node").alias("target"), F.col("ord").alias("to")).hint("broadcast")
+    o = nodes.select(F.col("node").alias("source"), F.col("ord").alias("so"))
+    o2 = nodes.select(F.col("node").alias("target"), F.col("ord").alias("to"))
     key = F.struct("edge_weight", -F.col("so"), -F.col("to"))
-    best = cross.join(o, "source").join(o2, "target").agg(F.max_by("source", key).alias("strongest_edge_source"), F.max_by("target", key).alias("strongest_edge_target"), F.max("edge_weight").alias("strongest_edge_weight"))
+    best = cross.join(o, "source").join(o2, "target").agg(F.max_by("source", key).alias("strongest_edge_source"), F.max_by("target", key).alias("strongest_edge_target"), F.max("edge_weight").alias("strongest_edge_weight"), *([F.max_by("p_value", key).alias("strongest_edge_p_value")] if "p_value" in cross.columns else []))
     out = counts.crossJoin(n).crossJoin(tops).crossJoin(best)  # rows of one
     nn = F.col("number_of_nodes")
     return out.select(F.lit(kind).alias("network_type"), "*", F.try_divide(F.col("cross_edges"), nn * (nn - 1)).alias("density_cross"))
@@ -120,11 +121,30 @@ def betweenness_scores(a: np.ndarray) -> np.ndarray:
     return score / ((n - 1) * (n - 2)) if n > 2 else score
 
 
+def node_metrics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Degrees, PageRank, betweenness, hub and authority scores of every node; all zero where there is no cross edge."""
+    ranks, scores = pagerank(edges, nodes), central_scores(edges, nodes)
+    some = edges.agg((F.count_if(F.col("source") != F.col("target")) > 0).alias("_some"))
+    out = node_degrees(edges, nodes).join(ranks, "node").join(scores, "node").crossJoin(some)  # some: one row
+    return out.withColumn("pagerank", F.when(F.col("_some"), F.col("pagerank")).otherwise(0.0)).drop("_some")
+
+
+#: Nodes that a whole graph may have in one task: its matrix is 128 MB, its decomposition and its paths minutes.
+MOST_NODES = 4000
+
+
+def small_graph(nodes: DataFrame) -> DataFrame:
+    """nodes; an error if there are more than MOST_NODES."""
+    if (n := nodes.count()) > MOST_NODES:
+        raise ValueError(f"{n} nodes: whole-graph measures take {MOST_NODES} at most")
+    return nodes
+
+
 def central_scores(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, betweenness_centrality, hub_score, authority_score."""
-    order = nodes.select("node", F.row_number().over(_by("node")).alias("at"))
+    """node, betweenness_centrality, hub_score, authority_score of at most MOST_NODES nodes."""
+    nodes = small_graph(nodes)
     e = edges.where("source <> target").select("source", "target", F.col("edge_weight").alias("w"))
-    rows = order.select(F.lit(0).alias("g"), "node", F.lit(None).cast("string").alias("to"), F.lit(None).cast("double").alias("w")).union(e.select(F.lit(0), "source", "target", "w"))
+    rows = nodes.select(F.lit(0).alias("g"), "node", F.lit(None).cast("string").alias("to"), F.lit(None).cast("double").alias("w")).union(e.select(F.lit(0), "source", "target", "w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(pdf.loc[pdf["to"].isna(), "node"])
@@ -138,20 +158,17 @@ def central_scores(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("g").applyInPandas(run, "node string, betweenness_centrality double, hub_score double, authority_score double")
 
 
-def _by(c: str):
-    from pyspark.sql import Window as W
-
-    return W.orderBy(c)
-
-
-def threshold_edges(matrix: DataFrame, threshold: DataFrame) -> DataFrame:
-    """Unordered pairs (a < b) whose |corr| is strictly above the one-row threshold."""
-    return matrix.where("a < b").crossJoin(F.broadcast(threshold)).where(F.abs("corr") > F.col("threshold")).select(F.col("a").alias("source"), F.col("b").alias("target"), "corr", F.abs("corr").alias("abs_corr"))
+def threshold_edges(matrix: DataFrame, threshold: DataFrame, entities=None) -> DataFrame:
+    """Unordered pairs whose |corr| is strictly above the threshold, a table of one row; the source is that which comes first
+    by name, or among the entities if they are given."""
+    place = (lambda c: F.array_position(F.array(*map(F.lit, entities)), F.col(c))) if entities else F.col
+    found = matrix.where(place("a") < place("b")).crossJoin(threshold).where(F.abs("corr") > F.col("threshold"))
+    return found.select(F.col("a").alias("source"), F.col("b").alias("target"), "corr", F.abs("corr").alias("abs_corr"))
 
 
 def corr_nodes(matrix: DataFrame, threshold: DataFrame) -> DataFrame:
     """Degree and sum of |corr| over neighbours, mean |corr| to all others."""
-    rows = matrix.where("a <> b").crossJoin(F.broadcast(threshold))
+    rows = matrix.where("a <> b").crossJoin(threshold)
     near = F.abs("corr") > F.col("threshold")
     return rows.groupBy(F.col("a").alias("node")).agg(F.count_if(near).alias("degree"), F.coalesce(F.sum(F.when(near, F.abs("corr"))), F.lit(0.0)).alias("weighted_degree"), F.avg(F.abs("corr")).alias("avg_abs_corr"))
 
@@ -163,22 +180,24 @@ def symmetrize(edges: DataFrame) -> DataFrame:
 
 def similarity(first: DataFrame, second: DataFrame, nodes: DataFrame) -> DataFrame:
     """metric, value of two symmetric networks over all ordered pairs of different nodes; on 0/1 cells the rank correlation
-    equals the other."""
+    equals the other. The p of a correlation counts every cell, mirrored ones too."""
     a = symmetrize(first).withColumn("x", F.lit(1))
     b = symmetrize(second).withColumn("y", F.lit(1))
-    n = nodes.agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1)).cast("double").alias("cells"))
+    n = nodes.agg(F.count(F.lit(1)).cast("double").alias("nodes")).withColumn("cells", F.col("nodes") * (F.col("nodes") - 1))
     c = a.join(b, ["source", "target"], "full").agg(F.coalesce(F.sum("x"), F.lit(0)).cast("double").alias("x"), F.coalesce(F.sum("y"), F.lit(0)).cast("double").alias("y"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).cast("double").alias("xy")).crossJoin(n)
     x, y, xy, m = (F.col(k) for k in ("x", "y", "xy", "cells"))
     var = F.sqrt(x * (m - x)) * F.sqrt(y * (m - y))
     r = F.try_divide(m * xy - x * y, var)
-    return c.select(x.alias("first_edges"), y.alias("second_edges"), xy.alias("shared_edges"), F.try_divide(xy, x + y - xy).alias("jaccard"), F.sqrt(x + y - 2 * xy).alias("frobenius"), r.alias("pearson"), r.alias("spearman")).unpivot([], ["first_edges", "second_edges", "shared_edges", "jaccard", "frobenius", "pearson", "spearman"], "metric", "value")
+    distance = F.sqrt(x + y - 2 * xy)
+    values = {"nodes": F.col("nodes"), "first_edges": x, "second_edges": y, "shared_edges": xy, "frobenius": distance, "frobenius_similarity": 1 - F.try_divide(distance, F.sqrt(m)), "jaccard": F.try_divide(xy, x + y - xy), "pearson": r, "pearson_pvalue": stats.t_pvalue(r, m), "spearman": r, "spearman_pvalue": stats.t_pvalue(r, m)}
+    return c.select(*[v.alias(k) for k, v in values.items()]).unpivot([], list(values), "metric", "value")
 
 
 def qap(first: DataFrame, second: DataFrame, nodes: DataFrame, permutations: int = schemas.QAP_PERMUTATIONS, seed: int = schemas.QAP_SEED) -> DataFrame:
     """observed, p_value: share of node relabellings of the first network that overlap the second at least as much. With
     fixed margins the correlation grows with the overlap, so integers decide. Permutations run as rows of a range."""
     spark = first.sparkSession
-    names = sorted(r.node for r in nodes.select("node").collect())  # nodes of an entity network
+    names = sorted(r.node for r in small_graph(nodes).select("node").collect())  # MOST_NODES at most
     at = {x: i for i, x in enumerate(names)}
     a, b = (np.zeros((len(names), len(names)), np.int32) for _ in range(2))
     for m, e in ((a, first), (b, second)):
@@ -194,3 +213,64 @@ def qap(first: DataFrame, second: DataFrame, nodes: DataFrame, permutations: int
     n = len(names) * (len(names) - 1)
     flat = a.sum() in (0, n) or b.sum() in (0, n)
     return spark.range(permutations).mapInPandas(run, "hit boolean").agg(F.lit(seen).cast("long").alias("observed"), F.when(F.lit(not flat), (F.count_if("hit") + 1) / F.lit(permutations + 1)).alias("p_value"))
+
+
+def fdr_edges(results: DataFrame) -> DataFrame:
+    """Pairs that stay significant after the correction, the heaviest first, a typed empty table where there is none."""
+    found = results.where(F.coalesce(F.col("significant_fdr_05"), F.lit(False)))
+    return found.select("source", "target", "best_lag", "p_value", "p_value_fdr_bh", "edge_weight", "n_obs", "f_stat").orderBy(F.desc_nulls_last("edge_weight"), "source", "target")
+
+
+def plot_edges(edges: DataFrame, self_loops: bool = False, least_weight: float = 0.0) -> DataFrame:
+    """Edges to draw: self loops only on demand, a missing weight counts as 0."""
+    kept = edges if self_loops else edges.where("source <> target")
+    return kept.where(F.coalesce(F.col("edge_weight"), F.lit(0.0)) >= least_weight)
+
+
+def matrix(results: DataFrame, value: str, entities, default=None, source: str = "source", target: str = "target") -> DataFrame:
+    """A row for each entity as source, a column for each as target, in their order; pairs that aren't there have `default`."""
+    cell = lambda e: F.max(F.when(F.col(target) == e, F.col(value)))
+    rows = results.sparkSession.createDataFrame([(e, i) for i, e in enumerate(entities)], "source string, _order int")
+    got = results.groupBy(F.col(source).alias("source")).agg(*[cell(e).alias(e) for e in entities])
+    out = rows.join(got, "source", "left").orderBy("_order")
+    return out.select("source", *[F.coalesce(F.col(f"`{e}`"), F.lit(default)).alias(e) if default is not None else F.col(f"`{e}`") for e in entities])
+
+
+def flag_of(c: str):
+    """Whether a flag, text or not, is set."""
+    return F.lower(F.trim(F.col(c).cast("string"))).isin("true", "1", "yes", "y")
+
+
+def adjacency(results: DataFrame, flag: str, entities) -> DataFrame:
+    """The 0/1 matrix of flagged pairs of different entities."""
+    on = (flag_of(flag) & (F.col("source") != F.col("target"))).cast("int")
+    return matrix(results.withColumn("_on", F.coalesce(on, F.lit(0))), "_on", entities, 0)
+
+
+def matrix_edges(wide: DataFrame, entities, source: str = "source") -> DataFrame:
+    """source, target of the cells of a matrix that are neither null nor 0; rows and columns of others are passed over."""
+    cells = wide.where(F.col(source).isin(*entities)).select(F.col(source).alias("source"), *[F.col(f"`{e}`").try_cast("double").alias(e) for e in entities]).unpivot(["source"], list(entities), "target", "value")
+    return cells.where((F.col("value") != 0) & ~F.isnan("value")).select("source", "target")
+
+
+def normalized_matrix(wide: DataFrame, entities, source: str = "source") -> DataFrame:
+    """The matrix with rows and columns of the entities in their order, cells as numbers; an error where one is missing."""
+    if missing := [c for c in (source, *entities) if c not in wide.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    order = F.array_position(F.array(*map(F.lit, entities)), F.col(source).cast("string"))
+    out = wide.where(order > 0).orderBy(order).select(F.col(source).cast("string").alias("source"), *[F.col(f"`{e}`").try_cast("double").alias(e) for e in entities])
+    if missing := sorted(set(entities) - {r.source for r in out.select("source").collect()}):  # a row per entity
+        raise ValueError(f"missing rows: {missing}")
+    return out
+
+
+def top_nodes(scores: DataFrame, by: str, k: int = 10) -> DataFrame:
+    """The k nodes of the largest measure, those with none left out; ties by name."""
+    return scores.where(F.col(by) > 0).orderBy(F.desc(by), "node").limit(k)
+
+
+def circle(nodes: DataFrame) -> DataFrame:
+    """node, x, y: places on the unit circle in the order of `ord`, the first on the right, counterclockwise."""
+    n = nodes.agg(F.count(F.lit(1)).alias("_n"), F.min("ord").alias("_first"))
+    turn = 2 * np.pi * (F.col("ord") - F.col("_first")) / F.col("_n")
+    return nodes.crossJoin(n).select("node", F.cos(turn).alias("x"), F.sin(turn).alias("y"))  # n: one row

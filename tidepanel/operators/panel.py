@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as X
-from ..session import ratio
+from ..session import number, ratio
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -24,18 +26,81 @@ def keep_last(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame
 
 
 def rename_aliases(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Columns renamed by alias: names are compared lower case, letters and digits alone."""
+    """Columns renamed by alias: names are compared lower case, letters and digits alone. Of several columns of one target
+    that which already has its name is taken, else the first; the others keep their names."""
     plain = {a: target for target, names in aliases.items() for a in names}
-    out = []
-    for c in df.columns:
-        target = plain.get("".join(ch for ch in c.lower() if ch.isalnum()), c)
-        out.append(F.col(f"`{c}`").alias(target))
-    return df.select(*out)
+    wanted = {c: plain.get("".join(ch for ch in c.lower() if ch.isalnum())) for c in df.columns}
+    chosen = {}
+    for c, target in wanted.items():
+        if target and (target not in chosen or c == target):
+            chosen[target] = c
+    return df.select(*[F.col(f"`{c}`").alias(wanted[c] if chosen.get(wanted[c]) == c else c) for c in df.columns if chosen.get(wanted[c]) == c or c not in chosen])
+
+
+def drop_nulls(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows where none of the columns (all, if none is named) is null."""
+    return df.dropna("any", subset=list(columns) or None)
+
+
+def conform(df: DataFrame, dates: tuple[str, ...] = (), numbers: tuple[str, ...] = (), texts: tuple[str, ...] = (), keys: tuple[str, ...] = (), last: Column | str | None = None, only: dict[str, list[str]] | None = None) -> DataFrame:
+    """The named columns alone: dates cut to the day, numbers read where they can be. Rows without a date go, and those whose
+    column isn't among its allowed values (`only`); of rows of equal keys the last by `last` stays, any one if none is given."""
+    require(df, *dates, *numbers, *texts)
+    order = [] if last is None else [(F.col(last) if isinstance(last, str) else last).alias("_last")]
+    day = lambda c: X.parse_datetime(c).cast("date") if df.schema[c].dataType.simpleString() == "string" else F.col(c).try_cast("date")
+    out = df.select(*[day(c).alias(c) for c in dates], *[F.col(c) for c in texts], *[number(F.col(c)).alias(c) for c in numbers], *order)
+    out = drop_nulls(out, *dates) if dates else out
+    for c, allowed in (only or {}).items():
+        out = out.where(F.col(c).isin(*allowed))
+    if keys:
+        out = keep_last(out, list(keys), "_last") if order else out.dropDuplicates(list(keys))
+    return out.drop("_last")
+
+
+def normalize_ohlcv(df: DataFrame, ticker: str | None = None, last: Column | str | None = None) -> DataFrame:
+    """Prices with the columns of schemas.OHLCV: aliases resolved, absent columns but date and close null, rows without date or
+    close dropped, the last of each ticker and day kept. Without a date or a close column there is no row."""
+    spark, df = df.sparkSession, rename_aliases(df, schemas.OHLCV_ALIASES)
+    if not {"trade_date", "close"} <= set(df.columns) or not (ticker or "ticker" in df.columns):
+        return spark.createDataFrame([], schemas.OHLCV)
+    numbers = ("open", "high", "low", "close", "volume")
+    absent = {c: F.lit(None).cast("double") for c in numbers if c not in df.columns}
+    df = df.withColumns(absent | ({"ticker": F.lit(ticker)} if ticker else {}) | {"_order": F.lit(0) if last is None else F.col(last) if isinstance(last, str) else last})
+    out = drop_nulls(conform(df, ("trade_date",), numbers, ("ticker", "_order")), "close")
+    return keep_last(out, ["ticker", "trade_date"], "_order").select("trade_date", "ticker", *numbers)
+
+
+def fill_missing(df: DataFrame, columns: list[str], value: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """df with nulls of the columns filled, and one row: how many cells were."""
+    filled = df.agg(sum((F.count_if(F.col(c).isNull()) for c in columns), F.lit(0)).cast("long").alias("filled_cells"))
+    return df.fillna(value, subset=columns), filled
+
+
+def standard_only(df: DataFrame, entity: str, entities) -> tuple[DataFrame, DataFrame]:
+    """Rows of the entities, and one row: how many others there were."""
+    known = F.coalesce(F.col(entity).isin(*entities), F.lit(False))
+    return df.where(known), df.agg(F.count_if(~known).alias("dropped_rows"))
+
+
+def parse_bound(value, name: str = "date"):
+    """A date from a user's text: blank is none, what can't be read is an error."""
+    if value is None or isinstance(value, dt.date) and not isinstance(value, dt.datetime):
+        return value
+    text = str(value).strip()
+    if not text:
+        return None
+    for form in ("%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y"):
+        try:
+            return dt.datetime.strptime(text, form).date()
+        except ValueError:
+            continue
+    raise ValueError(f"{name}: {value!r} isn't a date")
 
 
 def between_dates(df: DataFrame, c: str, start=None, end=None) -> DataFrame:
-    """Inclusive on both ends; None is open."""
-    if start is not None and end is not None and str(start) > str(end):
+    """Inclusive on both ends; None or blank is open."""
+    start, end = parse_bound(start, "start"), parse_bound(end, "end")
+    if start is not None and end is not None and start > end:
         raise ValueError("start lies after end")
     if start is not None:
         df = df.where(F.col(c) >= F.lit(start).cast("date"))
@@ -45,12 +110,19 @@ def between_dates(df: DataFrame, c: str, start=None, end=None) -> DataFrame:
 # --- calendar ------------------------------------------------------------------------------------------------------
 
 
-def calendar_map(days: DataFrame, spans: DataFrame, day: str = "trade_date", date: str = "date") -> DataFrame:
-    """For every calendar date within both inputs: whether it's a trading day, the trading day on or after it, and the one
-    strictly after it (null past the last). A row per date: decades are a few thousand rows, so joins to it broadcast."""
+#: Days that a trading calendar may span: two and a half centuries.
+MOST_DAYS = 100_000
+
+
+def calendar_map(days: DataFrame, day: str = "trade_date") -> tuple[DataFrame, dt.date | None]:
+    """For every date from the first trading day to the last: whether it's a trading day, the trading day on or after it, and
+    the one strictly after it (null past the last); and the first trading day. The map's size is that of the calendar,
+    whatever dates the data have, and checked, so that it can be broadcast."""
     days = days.select(F.col(day).cast("date").alias("d")).dropna().distinct()
-    both = days.select(F.min("d").alias("lo"), F.max("d").alias("hi")).union(spans.select(F.min(F.col(date).cast("date")), F.max(F.col(date).cast("date"))))
-    every = both.select(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("date"))
+    ends = days.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).first()
+    if ends.lo is not None and (ends.hi - ends.lo).days > MOST_DAYS:
+        raise ValueError(f"the calendar runs from {ends.lo} to {ends.hi}")
+    every = days.sparkSession.range(1).select(F.explode(F.sequence(F.lit(ends.lo).cast("date"), F.lit(ends.hi).cast("date"))).alias("date"))
     w = W.orderBy("date")
     marked = every.join(days, every.date == days.d, "left")
     return marked.select(
@@ -58,17 +130,25 @@ def calendar_map(days: DataFrame, spans: DataFrame, day: str = "trade_date", dat
         F.col("d").isNotNull().alias("is_trading"),
         F.first("d", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)).alias("on_or_after"),
         F.first("d", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("after"),
-    )
+    ), ends.lo
+
+
+def as_of(df: DataFrame, days: DataFrame, date: str, day: str = "trade_date") -> DataFrame:
+    """df with is_trading, on_or_after and after of each date: an equi-join with the calendar's map. Dates before the first
+    trading day go to it, dates past the last have none."""
+    cal, first = calendar_map(days, day)
+    early = F.col(date) < F.lit(first).cast("date")
+    out = df.join(F.broadcast(cal.withColumnRenamed("date", "_date")), F.col(date) == F.col("_date"), "left")
+    lead = lambda c: F.when(early, F.lit(first).cast("date")).otherwise(F.col(c))
+    return out.select(*df.columns, F.coalesce("is_trading", F.lit(False)).alias("is_trading"), lead("on_or_after").alias("on_or_after"), lead("after").alias("after"))
 
 
 def map_sessions(df: DataFrame, days: DataFrame, at: str = "published_at_vn") -> DataFrame:
     """Session bucket, trade date, reason and flag for a market wall time."""
-    spans = df.select(F.to_date(at).alias("date"))
-    cal = calendar_map(days, spans)
-    joined = df.withColumn("_d", F.to_date(at)).join(F.broadcast(cal), F.col("_d") == F.col("date"), "left")
+    joined = as_of(df.withColumn("_d", F.to_date(at)), days, "_d")
     clock = F.date_format(at, "HH:mm:ss")
     opens, noon, closes = schemas.SESSION_CUTS
-    bad, off = F.col(at).isNull(), ~F.coalesce("is_trading", F.lit(False))
+    bad, off = F.col(at).isNull(), ~F.col("is_trading")
     early, morning, day = clock < opens, clock < noon, clock < closes
     bucket = F.when(bad, "UNKNOWN").when(off, "NEXT_MORNING").when(early, "PRE_MARKET").when(morning, "MORNING").when(day, "AFTERNOON").otherwise("NEXT_MORNING")
     date = F.when(bad, None).when(off, F.col("on_or_after")).when(day, F.col("_d")).otherwise(F.col("after"))
@@ -104,6 +184,7 @@ def label_articles(df: DataFrame) -> DataFrame:
     score = X.clip_score(F.coalesce(pick("summary_json.sentiment_score", "summary_sentiment_score"), F.col("_rec.sentiment_score").cast("string")))
     sector_raw = F.coalesce(pick("summary_json.sector", "summary_sector"), F.col("_rec.sector"))
     ticker_raw = F.coalesce(pick(*schemas.TICKER_COLUMNS), F.to_json("_rec.tickers"))
+    tables = schemas.SECTOR_KEYWORDS | {schemas.MACRO: schemas.MACRO_KEYWORDS}
     table = F.create_map(*[F.lit(x) for s, ts in schemas.SECTOR_TICKERS.items() for t in ts for x in (t, s)])
     df = df.withColumns(
         {
@@ -121,11 +202,13 @@ def label_articles(df: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
             "_by_ticker": F.array_distinct(F.filter(F.transform("ticker_list", lambda t: F.try_element_at(table, t)), lambda s: s.isNotNull())),
-            "_by_field": X.sectors_in(F.col("_sector")),
-            "_by_text": X.sectors_in(F.col("_text")),
+            "_in_field": X.keywords_in(F.col("_sector"), tables),
+            "_in_text": X.keywords_in(F.col("_text"), tables),
         }
     )
-    macro_field, macro_text = X.has_keyword(F.col("_sector"), schemas.MACRO_KEYWORDS), X.has_keyword(F.col("_text"), schemas.MACRO_KEYWORDS)
+    sectors = lambda c: F.array_remove(c, schemas.MACRO)
+    df = df.withColumns({"_by_field": sectors("_in_field"), "_by_text": sectors("_in_text")})
+    macro_field, macro_text = F.array_contains("_in_field", schemas.MACRO), F.array_contains("_in_text", schemas.MACRO)
     empty = F.array().cast("array<string>")
 
     def verdict(labels: Column, method: Column | str, confidence: Column | float) -> Column:
@@ -158,7 +241,7 @@ def label_articles(df: DataFrame) -> DataFrame:
             "is_macro": macro,
         }
     )
-    return out.drop("_rec", "_score", "_sector", "_text", "_by_ticker", "_by_field", "_by_text", "_v")
+    return out.drop("_rec", "_score", "_sector", "_text", "_by_ticker", "_in_field", "_in_text", "_by_field", "_by_text", "_v")
 
 
 def explode_sectors(labelled: DataFrame) -> DataFrame:
@@ -206,7 +289,7 @@ def group_returns(df: DataFrame, members: DataFrame, ticker: str = "ticker", gro
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     known = df.join(members, ticker).groupBy(date, group).agg(F.avg("ret").alias("sector_return"), F.count("ret").alias("ticker_count"))
     dates = known.groupBy(date).agg(F.max(F.col("ticker_count")).alias("_any")).where("_any > 0").select(date)
-    grid = dates.join(F.broadcast(sizes))
+    grid = dates.crossJoin(sizes)  # a row of each group for each date is what comes out
     out = grid.join(known, [date, group], "left")
     return out.select(date, group, "sector_return", F.coalesce("ticker_count", F.lit(0)).cast("long").alias("ticker_count"), (F.col("_size") - F.coalesce("ticker_count", F.lit(0))).cast("long").alias("missing_count"))
 
@@ -270,10 +353,27 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
     return df.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
 
 
-def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """new replaces current by key."""
-    return current.join(new.select(*keys), keys, "left_anti").unionByName(new)
+def upsert(current: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """new replaces current by key; of new rows of one key the last by `order` stays, any one if none is given."""
+    once = keep_last(new, keys, order) if order else new.dropDuplicates(keys)
+    return current.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(once)
+
+
+def upsert_counts(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: keys of new that are inserted and that are updated, and rows of new without a key, which can't be saved."""
+    given = F.lit(True)
+    for k in keys:
+        given = given & F.col(k).isNotNull()
+    old = current.select(*keys).distinct().withColumn("_old", F.lit(True))
+    found = new.where(given).select(*keys).distinct().join(old, keys, "left")
+    failed = new.agg(F.count_if(~given).alias("failed"))
+    return found.agg(F.count_if(F.col("_old").isNull()).alias("inserted"), F.count_if("_old").alias("updated")).crossJoin(failed)  # rows of one
 
 
 def insert_absent(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return current.unionByName(new.join(current.select(*keys), keys, "left_anti").dropDuplicates(keys))
+
+
+def at_sink(df: DataFrame, *order: str) -> DataFrame:
+    """df sorted for a sink: the only place where order is kept."""
+    return df.orderBy(*order)

@@ -3,6 +3,8 @@ run in numpy once for each series or pair, in parallel over the pairs."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import special
 from ..session import pearson, ratio
+from . import panel
 
 
 def _is_constant(x: np.ndarray) -> bool:
@@ -91,11 +94,23 @@ def stationarity(long: DataFrame, series: str = "series", time: str = "t", value
     return rows.groupBy("series").applyInPandas(run, STATIONARITY)
 
 
+#: Blocks of series that a day's rows are dealt to when every series meets every other.
+BLOCKS = 4
+
+
+def meet(a: DataFrame, b: DataFrame, series: str, blocks: int = BLOCKS) -> DataFrame:
+    """Rows of a and b of equal t. All series of a day would meet in one task: those of a are dealt to blocks by their name,
+    and each block has its own copy of b's rows."""
+    a = a.withColumn("_block", F.pmod(F.xxhash64(series), F.lit(blocks)))
+    b = b.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return a.join(b, ["_block", "t"]).drop("_block")
+
+
 def pairs(long: DataFrame, series: str, time: str, value: str, targets: DataFrame | None = None, include_self: bool = False) -> DataFrame:
     """source, target, t, x, y: an equi-join of the panel with itself on time."""
     a = long.select(F.col(series).alias("source"), F.col(time).alias("t"), F.col(value).cast("double").alias("x"))
     b = (targets if targets is not None else long).select(F.col(series).alias("target"), F.col(time).alias("t"), F.col(value).cast("double").alias("y"))
-    out = a.join(b, "t")
+    out = meet(a, b, "source").select("source", "target", "t", "x", "y")
     return out if include_self else out.where("source <> target")
 
 
@@ -143,7 +158,7 @@ def granger(paired: DataFrame, max_lag: int = schemas.MAX_LAG, least: int = sche
         clean = pdf.sort_values("t")[["y", "x"]].dropna()
         y, x = clean["y"].to_numpy(float), clean["x"].to_numpy(float)
         n = len(y)
-        row = {"source": pdf["source"].iloc[0], "target": pdf["target"].iloc[0], "n_obs": n, "lag_selection_method": "aic", "status": "ok"}
+        row = {"source": pdf["source"].iloc[0], "target": pdf["target"].iloc[0], "n_obs": n, "lag_selection_method": "var_aic", "status": "ok"}
         lags = min(max_lag, max(0, (n - 3) // 3))
         if n < least or lags < 1:
             row["status"] = "insufficient_observations"
@@ -170,20 +185,39 @@ def granger(paired: DataFrame, max_lag: int = schemas.MAX_LAG, least: int = sche
     return paired.groupBy("source", "target").applyInPandas(run, GRANGER)
 
 
-def multiplicity(df: DataFrame, p: str = "p_value", alpha: float = schemas.ALPHA, run: list[str] | None = None, tie: list[str] | None = None) -> DataFrame:
+#: Ranges of p that are ranked apart.
+P_RANGES = 64
+
+
+def adjusted(df: DataFrame, p: str, run: list[str]) -> DataFrame:
+    """run, p, q: the Benjamini-Hochberg value of each different p of each run. Equal p share a value, so p are counted first;
+    they are then ranked within ranges of p, and the ranges, few, are put after one another: no task has all p of a run."""
+    tests = df.where(F.col(p).isNotNull()).groupBy(*run, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = tests.agg(F.percentile_approx("_p", [i / P_RANGES for i in range(1, P_RANGES)], 10_000).alias("_cuts"))
+    tests = tests.crossJoin(cuts).withColumn("_range", F.array_size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_p")))).drop("_cuts")  # cuts: one row
+    within, whole = W.partitionBy(*run, "_range"), W.partitionBy(*run) if run else W.partitionBy(F.lit(0))
+    ranges = tests.groupBy(*run, "_range").agg(F.sum("_n").alias("_size"))
+    ranges = ranges.withColumns({"_before": F.sum("_size").over(whole.orderBy("_range")) - F.col("_size"), "_m": F.sum("_size").over(whole)})
+    on = lambda other: reduce(lambda x, y: x & y, [tests[c].eqNullSafe(other[c]) for c in [*run, "_range"]])
+    ranked = tests.join(ranges, on(ranges)).select(*[tests[c] for c in [*run, "_range"]], "_p", "_before", "_m", F.sum("_n").over(W.partitionBy(*[tests[c] for c in [*run, "_range"]]).orderBy("_p")).alias("_upto"))
+    ranked = ranked.withColumn("_v", F.col("_p") * F.col("_m") / (F.col("_before") + F.col("_upto")))
+    lows = ranked.groupBy(*run, "_range").agg(F.min("_v").alias("_low"))
+    lows = lows.select(*[F.col(c).alias(f"_r_{c}") for c in [*run, "_range"]], F.min("_low").over((W.partitionBy(*run) if run else W.partitionBy(F.lit(0))).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
+    ranked = ranked.withColumn("_own", F.min("_v").over(within.orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, 0)))
+    met = ranked.join(lows, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*run, "_range"]]))
+    return met.select(*run, "_p", "_m", F.least(F.coalesce(F.least("_own", "_later"), F.col("_own")), F.lit(1.0)).alias("_q"))
+
+
+def multiplicity(df: DataFrame, p: str = "p_value", alpha: float = schemas.ALPHA, run: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg and Bonferroni over the rows that have a p value, within each run; flags and edge weight."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
-    part = [*(run or []), F.col(p).isNotNull()]
-    order = W.partitionBy(*part).orderBy(p, *(tie or []))
-    m = F.count(p).over(W.partitionBy(*part))
-    df = df.withColumns({"_m": m, "_rank": F.row_number().over(order)})
-    down = W.partitionBy(*part).orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, 0)
-    q = F.least(F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down), F.lit(1.0))
-    bonferroni = F.least(F.col(p) * F.col("_m"), F.lit(1.0))
+    run = run or []
+    q = adjusted(df, p, run).select(*[F.col(c).alias(f"_run_{c}") for c in run], F.col("_p").alias("_of"), "_m", "_q")
+    same = reduce(lambda x, y: x & y, [F.col(p) == F.col("_of"), *(F.col(c).eqNullSafe(F.col(f"_run_{c}")) for c in run)])
     known = F.col(p).isNotNull()
-    df = df.withColumns({"p_value_fdr_bh": F.when(known, q), "p_value_bonferroni": F.when(known, bonferroni)}).drop("_m", "_rank")
-    return df.withColumns(
+    out = df.join(q, same, "left").withColumns({"p_value_fdr_bh": F.when(known, F.col("_q")), "p_value_bonferroni": F.when(known, F.least(F.col(p) * F.col("_m"), F.lit(1.0)))})
+    return out.drop("_of", "_m", "_q", *[f"_run_{c}" for c in run]).withColumns(
         {
             "significant_raw_05": F.coalesce(F.col(p) < alpha, F.lit(False)),
             "significant_fdr_05": F.coalesce(F.col("p_value_fdr_bh") <= alpha, F.lit(False)),
@@ -199,13 +233,15 @@ def edge_weight(p: str):
 
 @F.pandas_udf(T.DoubleType())
 def t_pvalue(r: pd.Series, n: pd.Series) -> pd.Series:
-    def one(r, n):
-        if pd.isna(r) or n < 3:
-            return None
-        df = n - 2
-        return 0.0 if abs(r) >= 1 else special.t_sf2(r * np.sqrt(df / ((1 - r) * (1 + r))), df)
-
-    return pd.Series([one(a, b) for a, b in zip(r, n, strict=True)], dtype="float64")
+    """Two-sided p of a correlation of n pairs, whole columns at a time; null where either is null or n is below 3."""
+    r, n = r.to_numpy(float, na_value=np.nan), n.to_numpy(float, na_value=np.nan)
+    ok = ~np.isnan(r) & (n >= 3)
+    out = np.full(len(r), np.nan)
+    near = ok & (np.abs(r) < 1)
+    out[ok & ~near] = 0.0
+    df = n[near] - 2
+    out[near] = special.t_sf2_many(r[near] * np.sqrt(df / ((1 - r[near]) * (1 + r[near]))), df)
+    return pd.Series(out).astype("Float64").mask(~ok)
 
 
 def lead_lag(sentiment: DataFrame, returns: DataFrame, series: str, time: str, value: str, max_lag: int = schemas.MAX_LAG, least: int = schemas.LEAD_LAG_MIN_OBSERVATIONS) -> DataFrame:
@@ -217,7 +253,7 @@ def lead_lag(sentiment: DataFrame, returns: DataFrame, series: str, time: str, v
     leads = ahead.select("r", "t", F.posexplode("ahead").alias("lag", "y"))
     s = sentiment.select(F.col(series).alias("s"), F.col(time).alias("t"), F.col(value).cast("double").alias("x"))
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    got = s.join(leads, "t").groupBy("s", "r", "lag").agg(pearson("x", "y").alias("corr"), F.count_if(both).alias("n_obs"))
+    got = meet(s, leads, "s").groupBy("s", "r", "lag").agg(pearson("x", "y").alias("corr"), F.count_if(both).alias("n_obs"))
     return got.withColumn("corr", F.when(F.col("n_obs") >= least, F.col("corr")))
 
 
@@ -227,15 +263,57 @@ def best_lag(tested: DataFrame) -> DataFrame:
     return tested.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumnRenamed("lag", "best_lag")
 
 
+def significant(tested: DataFrame, alpha: float = schemas.ALPHA) -> DataFrame:
+    """tested with pvalue and significant."""
+    return tested.withColumn("pvalue", t_pvalue("corr", "n_obs")).withColumn("significant", F.coalesce(F.col("pvalue") < alpha, F.lit(False)))
+
+
+def lead_relations(tested: DataFrame, k: int = 10) -> DataFrame:
+    """The k significant relations at lag 1 or more of the largest |corr|; ties by names and lag."""
+    return tested.where("lag >= 1 AND significant AND corr IS NOT NULL").orderBy(F.abs("corr").desc(), "s", "r", "lag").limit(k)
+
+
 def correlation_matrix(long: DataFrame, series: str, time: str, value: str, listwise: bool = True) -> DataFrame:
-    """a, b, corr for all ordered pairs; listwise keeps only times at which every series has a value."""
+    """a, b, corr for all ordered pairs; listwise keeps only times at which every series has a value. Each pair is computed
+    once and mirrored."""
     rows = long.select(F.col(series).alias("series"), F.col(time).alias("t"), F.col(value).cast("double").alias("v"))
     if listwise:
         n = rows.select("series").distinct().agg(F.count(F.lit(1)).alias("n"))
-        full = rows.groupBy("t").agg(F.count("v").alias("have")).join(F.broadcast(n), F.col("have") == F.col("n")).select("t")
+        full = rows.groupBy("t").agg(F.count("v").alias("have")).crossJoin(n).where("have = n").select("t")  # n: one row
         rows = rows.join(full, "t")
-    b = rows.select(F.col("series").alias("b"), "t", F.col("v").alias("y"))
-    return rows.select(F.col("series").alias("a"), "t", F.col("v").alias("x")).join(b, "t").groupBy("a", "b").agg(pearson("x", "y").alias("corr"))
+    left, right = rows.select(F.col("series").alias("a"), "t", F.col("v").alias("x")), rows.select(F.col("series").alias("b"), "t", F.col("v").alias("y"))
+    half = meet(left, right, "a").where("a <= b").groupBy("a", "b").agg(pearson("x", "y").alias("corr"))
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select(F.explode(both).alias("p"), "corr").select("p.a", "p.b", "corr")
+
+
+def top_pairs(matrix: DataFrame, k: int = 10) -> DataFrame:
+    """The k unordered pairs of the largest |corr|; ties by names."""
+    return matrix.where("a < b AND corr IS NOT NULL").orderBy(F.abs("corr").desc(), "a", "b").limit(k)
+
+
+def series_of(wide: DataFrame, prefix: str, time: str = "trade_date") -> DataFrame:
+    """variable, series, t, value: the columns of a wide panel that begin with the prefix, one row each."""
+    columns = [c for c in wide.columns if c.startswith(prefix)]
+    long = wide.select(time, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([time], columns, "variable", "value")
+    return long.select("variable", F.substring("variable", len(prefix) + 1, 1 << 30).alias("series"), F.col(time).alias("t"), "value")
+
+
+MODES = {"sent2sent": ("sent_", "sent_"), "sent2ret": ("sent_", "ret_")}
+
+
+def causality(wide: DataFrame, mode: str = "sent2sent", include_self: bool = False, fill: bool = True, start=None, end=None, max_lag: int = schemas.MAX_LAG, least: int = schemas.MIN_OBSERVATIONS, alpha: float = schemas.ALPHA) -> DataFrame:
+    """Granger tests of all pairs of a merged wide panel (trade_date, ret_*, sent_*), corrected for their number. Missing
+    sentiment counts as 0 unless fill is off. The mode chooses what stands for targets and is a column of the result."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {sorted(MODES)}")
+    rows = panel.drop_nulls(panel.between_dates(wide, "trade_date", start, end), "trade_date")
+    if fill:
+        rows, _ = panel.fill_missing(rows, [c for c in rows.columns if c.startswith("sent_")])
+    sources, targets = (series_of(rows, prefix) for prefix in MODES[mode])
+    tested = granger(pairs(sources, "series", "t", "value", targets, include_self), max_lag, least)
+    named = tested.withColumns({"mode": F.lit(mode), "source_variable": F.concat(F.lit(MODES[mode][0]), "source"), "target_variable": F.concat(F.lit(MODES[mode][1]), "target"), "alpha": F.lit(alpha)})
+    return multiplicity(named, alpha=alpha)
 
 
 def corr_threshold(matrix: DataFrame, fixed: float | None = None, q: float = 0.75) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import text as X
 from ..operators import graph, panel, quality, stats
 from ..streaming import ingest
+from . import statistics_sql
 
 KEYWORDS = {"Legal": ("license", "released under"), "Insult": ("idiot", "pathetic"), "Iberian": ("que", "ñ", "de la"), "German": ("und", "der")}
 MACRO = ("that", "avec", "con")
@@ -71,8 +73,7 @@ _SESSION = f"""WITH c AS ({_WEEKDAYS.format(c="ts", t="events")}), u AS (SELECT
 def _asof(which: str):
     def query(s, d):
         o = _t(s, d, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
-        cal = panel.calendar_map(_weekdays(o), o.withColumnRenamed("d", "date"))
-        return o.join(F.broadcast(cal), F.col("d") == F.col("date"), "left").select("d", F.col(which).alias("trading_day"))
+        return panel.as_of(o, _weekdays(o), "d").select("d", F.col(which).alias("trading_day"))
 
     return query
 
@@ -184,7 +185,8 @@ def unpivot_panel(s, d):
 
 def _labelled(s, d):
     docs = _t(s, d, "documents").select("doc_id", X.fold("text").alias("folded"))
-    return docs.select("doc_id", X.sectors_in(F.col("folded"), KEYWORDS).alias("sector_labels"), X.has_keyword(F.col("folded"), MACRO).alias("is_macro")).withColumn("is_sector_mapped", F.size("sector_labels") > 0)
+    found = docs.select("doc_id", X.keywords_in(F.col("folded"), KEYWORDS | {"": MACRO}).alias("found"))
+    return found.select("doc_id", F.array_remove("found", "").alias("sector_labels"), F.array_contains("found", "").alias("is_macro")).withColumn("is_sector_mapped", F.size("sector_labels") > 0)
 
 
 def _kw_sql(words) -> str:
@@ -239,8 +241,8 @@ def lead_lag_best(s, d):
 
 def lead_lag_pvalues(s, d):
     seg = _segments(s, d)
-    best = stats.best_lag(stats.lead_lag(seg, seg, "segment", "trade_date", "v"))
-    return best.withColumn("pvalue", stats.t_pvalue("corr", "n_obs")).withColumn("significant", F.coalesce(F.col("pvalue") < 0.05, F.lit(False)))
+    best = stats.significant(stats.best_lag(stats.lead_lag(seg, seg, "segment", "trade_date", "v")))
+    return _rounded(best, "corr", "pvalue")
 
 
 def _matrix(s, d):
@@ -277,12 +279,39 @@ _GRANGER = f"""WITH g AS ({_SEGMENTS}), p AS (SELECT a.segment AS source, b.segm
  c AS (SELECT source, target, corr(y, y1) a, corr(y, x1) b, corr(y1, x1) r, count(*) + 1 n FROM l WHERE y1 IS NOT NULL GROUP BY 1, 2), u AS (SELECT *, (a * a + b * b - 2 * a * b * r) / (1 - r * r) f FROM c) SELECT source, target, n::BIGINT n_obs, round((f - a * a) / (1 - f) * (n - 4), 5) f_stat FROM u"""
 
 
+def _tested(s, d):
+    return stats.multiplicity(stats.granger(_paired(s, d)))
+
+
+_FLAGS = ["significant_raw_05", "significant_fdr_05", "significant_bonferroni_05", "ljungbox_white_noise"]
+
+
 def granger_full(s, d):
-    return stats.multiplicity(stats.granger(_paired(s, d)), tie=["source", "target"])
+    out = _rounded(_tested(s, d), "f_stat", "p_value", "p_value_fdr_bh", "p_value_bonferroni", "ljungbox_pvalue", n=5)
+    return out.select("source", "target", "best_lag", "n_obs", "f_stat", "p_value", "p_value_fdr_bh", "p_value_bonferroni", "ljungbox_pvalue", *_FLAGS, "lag_selection_method", "status")
+
+
+_PAIRS = f"SELECT a.segment AS source, b.segment AS target, trade_date t, a.v x, b.v y FROM ({_SEGMENTS}) a JOIN ({_SEGMENTS}) b USING (trade_date) WHERE a.segment <> b.segment"
+
+
+def granger_sql(pairs: str, more: str = "") -> str:
+    return f"""WITH g AS ({statistics_sql.granger(pairs)}), p AS (SELECT * FROM g WHERE lag = best), r AS (SELECT *, row_number() OVER (ORDER BY p, source, target) k, count(*) OVER () m FROM p), q AS (SELECT *, least(min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1.0) q, least(p * m, 1.0) b FROM r)
+ SELECT source, target, best best_lag, n::BIGINT n_obs, round(f, 5) f_stat, round(p, 5) p_value, round(q, 5) p_value_fdr_bh, round(b, 5) p_value_bonferroni, round(white, 5) ljungbox_pvalue, p < 0.05 significant_raw_05, q <= 0.05 significant_fdr_05, b <= 0.05 significant_bonferroni_05, white > 0.05 ljungbox_white_noise, 'var_aic' lag_selection_method, 'ok' status{more} FROM q"""
+
+
+def granger_all_lags(s, d):
+    lags = stats.granger(_paired(s, d)).select("source", "target", F.explode("all_lags").alias("l")).select("source", "target", "l.lag", "l.f_stat", "l.p_value")
+    return _rounded(lags, "f_stat", "p_value", n=5)
 
 
 def stationarity(s, d):
-    return stats.stationarity(_segments(s, d), "segment", "trade_date", "v")
+    out = stats.stationarity(_segments(s, d), "segment", "trade_date", "v")
+    return _rounded(out, "adf_statistic", "adf_pvalue", "kpss_statistic", "kpss_pvalue", "missing_ratio", n=5)
+
+
+_SERIES = f"SELECT segment s, trade_date t, v FROM ({_SEGMENTS})"
+_STATIONARITY = f"""SELECT u.s AS variable, n::BIGINT n_obs, 0::BIGINT missing_count, 0.0::DOUBLE missing_ratio, round(u.statistic, 5) adf_statistic, round(u.p, 5) adf_pvalue, lags adf_used_lag, used::INT adf_nobs, round(l.statistic, 5) kpss_statistic, round(l.p, 5) kpss_pvalue, l.p > 0.05 kpss_stationary_5pct, u.p < 0.05 is_stationary_5pct, 'ok' status
+ FROM ({statistics_sql.unit_root(_SERIES)}) u JOIN ({statistics_sql.level(_SERIES)}) l ON u.s = l.s"""
 
 
 def _pvalues(s, d):
@@ -292,7 +321,7 @@ def _pvalues(s, d):
 
 
 def bh_fdr(s, d):
-    out = stats.multiplicity(_pvalues(s, d), run=["event_type"], tie=["event_id"])
+    out = stats.multiplicity(_pvalues(s, d), run=["event_type"])
     return _rounded(out.select("event_id", "p_value_fdr_bh", "p_value_bonferroni", "significant_raw_05", "significant_bonferroni_05"), "p_value_fdr_bh", "p_value_bonferroni")
 
 
@@ -337,7 +366,13 @@ _DEGREES = f"""WITH e AS ({_EDGES}) SELECT n_name node, i.c::BIGINT in_degree, o
 
 
 def graph_summary(s, d):
-    return _rounded(graph.network_summary(_edges(s, d), _nodes(s, d), "raw"), "strongest_edge_weight", "density_cross")
+    return _rounded(graph.network_summary(_edges(s, d), _nodes(s, d), "raw"), "strongest_edge_weight", "strongest_edge_p_value", "density_cross")
+
+
+_SUMMARY_SQL = f"""WITH e AS (SELECT *, source = target own FROM ({_EDGES})), x AS (SELECT * FROM e WHERE NOT own), o AS (SELECT source, sum(edge_weight) w FROM x GROUP BY 1), i AS (SELECT target, sum(edge_weight) w FROM x GROUP BY 1), c AS (SELECT count(*) c FROM nation),
+ b AS (SELECT x.*, a.n_nationkey ao, z.n_nationkey zo FROM x JOIN nation a ON a.n_name = source JOIN nation z ON z.n_name = target ORDER BY edge_weight DESC, ao, zo LIMIT 1)
+ SELECT 'raw' network_type, (SELECT count(*) FROM e)::BIGINT total_edges, (SELECT count(*) FROM x)::BIGINT cross_edges, (SELECT count(*) FROM e WHERE own)::BIGINT self_edges, (SELECT count(DISTINCT source) FROM x)::BIGINT number_of_active_source_nodes, (SELECT count(DISTINCT target) FROM x)::BIGINT number_of_active_target_nodes, c::BIGINT number_of_nodes,
+ coalesce((SELECT source FROM o JOIN nation ON n_name = source WHERE w > 0 ORDER BY w DESC, n_nationkey LIMIT 1), '') top_sender_by_weight, coalesce((SELECT target FROM i JOIN nation ON n_name = target WHERE w > 0 ORDER BY w DESC, n_nationkey LIMIT 1), '') top_receiver_by_weight, (SELECT source FROM b) strongest_edge_source, (SELECT target FROM b) strongest_edge_target, round((SELECT edge_weight FROM b), 6) strongest_edge_weight, round((SELECT 10 ** -edge_weight FROM b), 6) strongest_edge_p_value, round((SELECT count(*) FROM x) / (c * (c - 1))::DOUBLE, 6) density_cross FROM c"""
 
 
 def topk_edges(s, d):
@@ -360,11 +395,27 @@ def _pagerank_sql() -> str:
 
 
 def pagerank_converged(s, d):
-    return graph.pagerank(_edges(s, d), _nodes(s, d))
+    return _rounded(graph.pagerank(_edges(s, d), _nodes(s, d)), "pagerank")
+
+
+#: All rounds up to the first whose change is below a millionth for each node.
+_CONVERGED = f"""WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) WHERE source <> target), t AS (SELECT source, sum(edge_weight) w FROM e GROUP BY 1), c AS (SELECT count(*)::DOUBLE c FROM nation), share AS (SELECT source, target, edge_weight / w s FROM e JOIN t USING (source)),
+ r AS (SELECT 0 k, list(struct_pack(node := n_name, r := 1.0::DOUBLE / c) ORDER BY n_name) v FROM nation, c UNION ALL SELECT k + 1, (SELECT list(struct_pack(node := x.node, r := 0.15::DOUBLE / c + 0.85::DOUBLE * (coalesce(g, 0) + loose / c)) ORDER BY x.node) FROM (SELECT unnest(v, recursive := true)) x LEFT JOIN (SELECT target, sum(s * y.r) g FROM share JOIN (SELECT unnest(v, recursive := true)) y ON source = y.node GROUP BY 1) f ON x.node = f.target, c, (SELECT coalesce(sum(z.r), 0) loose FROM (SELECT unnest(v, recursive := true)) z WHERE z.node NOT IN (SELECT source FROM t)) o) FROM r WHERE k < 100),
+ u AS (SELECT k, unnest(v, recursive := true) FROM r), moved AS (SELECT a.k, sum(abs(a.r - b.r)) d FROM u a JOIN u b ON a.node = b.node AND b.k = a.k - 1 GROUP BY 1), stop AS (SELECT coalesce(min(k), 100) k FROM moved, c WHERE d < c * 1e-6) SELECT node, round(r, 6) pagerank FROM u JOIN stop USING (k)"""
 
 
 def hits_betweenness(s, d):
-    return graph.central_scores(_edges(s, d), _nodes(s, d))
+    return _rounded(graph.central_scores(_edges(s, d), _nodes(s, d)), "betweenness_centrality", "hub_score", "authority_score")
+
+
+#: Numbers of walks by length give shortest paths; the scores of hubs and authorities come from rounds of the power method.
+_CENTRAL = f"""WITH RECURSIVE e AS (SELECT * FROM ({_EDGES}) WHERE source <> target), n AS (SELECT n_name node, (SELECT count(*) FROM nation) c FROM nation),
+ walks AS (SELECT 0 d, list(struct_pack(s := node, v := node, w := 1.0::DOUBLE)) x FROM n UNION ALL SELECT d + 1, (SELECT list(struct_pack(s := y.s, v := e.target, w := y.w)) FROM (SELECT s, v, sum(w) w FROM (SELECT unnest(x, recursive := true)) GROUP BY 1, 2) y JOIN e ON y.v = e.source) FROM walks WHERE d < 7),
+ flat AS (SELECT d, unnest(x, recursive := true) FROM walks), counted AS (SELECT d, s, v, sum(w) w FROM flat GROUP BY 1, 2, 3), near AS (SELECT s, v, min(d) d, arg_min(w, d) w FROM counted GROUP BY 1, 2),
+ between AS (SELECT a.v node, sum(a.w * b.w / t.w) b FROM near a JOIN near b ON a.v = b.s JOIN near t ON t.s = a.s AND t.v = b.v AND t.d = a.d + b.d WHERE a.s <> a.v AND b.v <> a.v AND a.s <> b.v GROUP BY 1),
+ hub AS (SELECT 0 k, list(struct_pack(node := node, h := 1.0::DOUBLE)) x FROM n UNION ALL SELECT k + 1, (WITH h AS (SELECT unnest(x, recursive := true)), a AS (SELECT target, sum(edge_weight * h) a FROM e JOIN h ON source = node GROUP BY 1), g AS (SELECT source node, sum(edge_weight * a) h FROM e JOIN a USING (target) GROUP BY 1) SELECT list(struct_pack(node := node, h := h / (SELECT sum(h) FROM g))) FROM g) FROM hub WHERE k < 400),
+ h AS (SELECT unnest(x, recursive := true) FROM hub WHERE k = 400), a AS (SELECT target node, sum(edge_weight * h) a FROM e JOIN h ON source = node GROUP BY 1)
+ SELECT node, round(coalesce(b, 0) / ((c - 1) * (c - 2)), 6) betweenness_centrality, round(coalesce(h / (SELECT sum(h) FROM h), 0), 6) hub_score, round(coalesce(a / (SELECT sum(a) FROM a), 0), 6) authority_score FROM n LEFT JOIN between USING (node) LEFT JOIN h USING (node) LEFT JOIN a USING (node)"""
 
 
 def _second(s, d):
@@ -381,7 +432,7 @@ def network_similarity(s, d):
 
 _SIMILARITY = f"""WITH t AS ({_TRADE}), a AS (SELECT source, target FROM t WHERE flag AND source <> target UNION SELECT target, source FROM t WHERE flag AND source <> target), b0 AS (SELECT source, target FROM t WHERE round(1 / p_value)::INT % 2 = 0 AND source <> target), b AS (SELECT * FROM b0 UNION SELECT target, source FROM b0),
  c AS (SELECT (SELECT count(*) FROM a)::DOUBLE x, (SELECT count(*) FROM b)::DOUBLE y, (SELECT count(*) FROM a JOIN b USING (source, target))::DOUBLE xy, (SELECT count(*) * (count(*) - 1) FROM nation)::DOUBLE m), r AS (SELECT *, (m * xy - x * y) / nullif(sqrt(x * (m - x)) * sqrt(y * (m - y)), 0) q FROM c)
- SELECT 'first_edges' metric, x AS value FROM r UNION ALL SELECT 'second_edges', y FROM r UNION ALL SELECT 'shared_edges', xy FROM r UNION ALL SELECT 'jaccard', round(xy / nullif(x + y - xy, 0), 6) FROM r UNION ALL SELECT 'frobenius', round(sqrt(x + y - 2 * xy), 6) FROM r UNION ALL SELECT 'pearson', round(q, 6) FROM r UNION ALL SELECT 'spearman', round(q, 6) FROM r"""
+ SELECT 'nodes' metric, (SELECT count(*) FROM nation)::DOUBLE AS value UNION ALL SELECT 'frobenius_similarity', round(1 - sqrt(x + y - 2 * xy) / sqrt(m), 6) FROM r UNION ALL SELECT 'pearson_pvalue', round({statistics_sql.t_tail('q', 'm')}, 6) FROM r UNION ALL SELECT 'spearman_pvalue', round({statistics_sql.t_tail('q', 'm')}, 6) FROM r UNION ALL SELECT 'first_edges', x FROM r UNION ALL SELECT 'second_edges', y FROM r UNION ALL SELECT 'shared_edges', xy FROM r UNION ALL SELECT 'jaccard', round(xy / nullif(x + y - xy, 0), 6) FROM r UNION ALL SELECT 'frobenius', round(sqrt(x + y - 2 * xy), 6) FROM r UNION ALL SELECT 'pearson', round(q, 6) FROM r UNION ALL SELECT 'spearman', round(q, 6) FROM r"""
 
 
 def qap(s, d):
@@ -428,17 +479,25 @@ def clean_text(s, d):
 
 def json_object(s, d):
     c = _t(s, d, "conversations")
-    return c.select("conv_id", "turn", X.extract_json(F.concat(F.lit("```json "), F.to_json(F.struct("role", "text")), F.lit(" ``` tail }"))).alias("obj"))
+    obj = X.extract_json(F.concat(F.lit("```json "), F.to_json(F.struct("role", "text")), F.lit(" ``` tail }")))
+    return c.select("conv_id", "turn", F.from_json(obj, "role string, text string").alias("o")).select("conv_id", "turn", "o.role", "o.text")
 
 
 def article_labels(s, d):
     docs = _t(s, d, "documents").select(F.col("doc_id").cast("string").alias("article_id"), F.col("text").alias("title"), F.lit("Tích cực").alias("summary_impact"), F.element_at(F.array(*[F.lit(x) for x in ("ngân hàng", "lãi suất", "thép", "khác")]), (F.col("doc_id") % 4 + 1).cast("int")).alias("summary_sector"))
-    return panel.label_articles(docs).select("article_id", "sector_label", "sector_mapping_method", "sector_mapping_confidence", "sentiment_label", "sentiment_score", "is_macro")
+    out = panel.label_articles(docs).select("article_id", "sector_label", F.array_join("sector_labels", "|").alias("sectors"), "sector_mapping_method", "sector_mapping_confidence", "sentiment_label", "sentiment_score", "is_macro")
+    return out.withColumn("sector_mapping_confidence", F.col("sector_mapping_confidence").cast("double"))
+
+
+_WORDS = schemas.SECTOR_KEYWORDS
+_LABELLED = f"""WITH d AS (SELECT doc_id, doc_id % 4 k, {_FOLDED} f FROM documents), w AS (SELECT doc_id, k, list_filter([{', '.join(f"CASE WHEN regexp_matches(f, '{_kw_sql(v)}') THEN '{name}' END" for name, v in _WORDS.items())}], lambda x: x IS NOT NULL) s, regexp_matches(f, '{_kw_sql(schemas.MACRO_KEYWORDS)}') m FROM d)
+ SELECT doc_id::VARCHAR article_id, CASE k WHEN 0 THEN 'Banking' WHEN 1 THEN 'MarketMacro' WHEN 2 THEN 'SteelMaterials' ELSE CASE WHEN len(s) > 0 THEN s[1] WHEN m THEN 'MarketMacro' ELSE 'Unmapped' END END sector_label, CASE k WHEN 0 THEN 'Banking' WHEN 1 THEN '' WHEN 2 THEN 'SteelMaterials' ELSE array_to_string(s, '|') END sectors,
+ CASE k WHEN 0 THEN 'keyword' WHEN 1 THEN 'macro' WHEN 2 THEN 'keyword' ELSE CASE WHEN len(s) > 0 THEN 'keyword_fallback' WHEN m THEN 'macro' ELSE 'unmapped' END END sector_mapping_method, (CASE WHEN k < 3 THEN 0.8 WHEN len(s) > 0 OR m THEN 0.6 ELSE 0.0 END)::DOUBLE sector_mapping_confidence, 'Positive' sentiment_label, 1.0::DOUBLE sentiment_score, k = 1 OR (k = 3 AND len(s) = 0 AND m) is_macro FROM w"""
 
 
 def quality_report(s, d):
     daily = daily_entity_sentiment(s, d)
-    return quality.daily_checks(daily, entities=("click", "view", "purchase", "signup", "error"))
+    return quality.daily_checks(daily, entities=("click", "view", "purchase", "signup"))
 
 
 def flagship(s, d):
@@ -450,21 +509,44 @@ def flagship(s, d):
     daily = panel.daily_sentiment(e.join(mapped, "event_id").drop("trade_date").withColumnRenamed("day", "trade_date"))
     returns = panel.simple_returns(daily.select(F.col("sector_label").alias("ticker"), "trade_date", F.col("weighted_article_count").alias("close")))
     joined = panel.merge_long(returns.select("trade_date", F.col("ticker").alias("sector_label"), F.col("ret").alias("sector_return")), daily, ["trade_date", "sector_label"])
-    return panel.coverage(joined)
+    ratios = ["return_missing_ratio", "sentiment_missing_ratio", "both_non_null_ratio", "total_article_count"]
+    return _rounded(panel.coverage(joined), *ratios)
+
+
+_FLAGSHIP = f"""WITH m AS ({_SESSION}), e AS (SELECT s.* EXCLUDE (trade_date), m.trade_date FROM ({_SCORED}) s JOIN m USING (event_id)), d AS ({_DAILY.replace(f'({_SCORED})', 'e')}), x AS (SELECT * FROM d WHERE trade_date IS NOT NULL),
+ r AS (SELECT *, weighted_article_count / nullif(lag(weighted_article_count) OVER (PARTITION BY sector_label ORDER BY trade_date), 0) - 1 ret FROM x)
+ SELECT sector_label, count(*)::BIGINT n_trading_days, count(ret)::BIGINT return_non_null_count, (count(*) - count(ret))::BIGINT return_missing_count, round((count(*) - count(ret)) / count(*)::DOUBLE, 6) return_missing_ratio, count(sentiment_weighted_mean)::BIGINT sentiment_non_null_count, (count(*) - count(sentiment_weighted_mean))::BIGINT sentiment_missing_count, round((count(*) - count(sentiment_weighted_mean)) / count(*)::DOUBLE, 6) sentiment_missing_ratio,
+ count(*) FILTER (ret IS NOT NULL AND sentiment_weighted_mean IS NOT NULL)::BIGINT both_non_null_count, round(count(*) FILTER (ret IS NOT NULL AND sentiment_weighted_mean IS NOT NULL) / count(*)::DOUBLE, 6) both_non_null_ratio, count(*) FILTER (article_count > 0)::BIGINT article_days_count, round(sum(article_count)::DOUBLE, 6) total_article_count FROM r GROUP BY 1"""
 
 
 def queries() -> dict:
     named = (
         daily_entity_sentiment, distinct_article_count, session_bucket, ticker_returns, sector_returns, sector_returns_wide, merge_long, merge_wide, coverage_report, overlap_window, dedup_keep_last, unpivot_panel, keyword_label, explode_weighted,
-        ticker_parse, json_extract, parse_dates, lead_lag_all, lead_lag_best, lead_lag_pvalues, corr_matrix, corr_threshold_edges, corr_node_metrics, granger_f_lag1, granger_full, stationarity, bh_fdr, graph_edges, degree_metrics, graph_summary, topk_edges,
+        ticker_parse, json_extract, parse_dates, lead_lag_all, lead_lag_best, lead_lag_pvalues, corr_matrix, corr_threshold_edges, corr_node_metrics, granger_f_lag1, granger_full, granger_all_lags, stationarity, bh_fdr, graph_edges, degree_metrics, graph_summary, topk_edges,
         pagerank_k_iters, pagerank_converged, hits_betweenness, symmetrize, network_similarity, qap, missing_profile, value_counts, describe_by_group, upsert_latest, anti_new_urls, sha_dedup, html_extract, clean_text, json_object, article_labels, quality_report, flagship,
     )
-    return {f.__name__: f for f in named} | {"asof_next_day_inclusive": _asof("on_or_after"), "asof_next_day_strict": _asof("after")}
+    from . import catalog_rules, catalog_sources
+
+    found = {f.__name__: f for f in named} | {"asof_next_day_inclusive": _asof("on_or_after"), "asof_next_day_strict": _asof("after")}
+    return found | catalog_rules.query.queries | catalog_sources.query.queries
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_rules, catalog_sources
+
     seg = list(_SEG_TO_G)
     return {
+        "lead_lag_pvalues": f"SELECT s, r, best_lag, round(corr, 6) corr, n_obs, CASE WHEN abs(corr) >= 1 THEN 0.0 ELSE round({statistics_sql.t_tail('corr', 'n_obs')}, 6) END pvalue, coalesce(CASE WHEN abs(corr) >= 1 THEN true ELSE {statistics_sql.t_tail('corr', 'n_obs')} < 0.05 END, false) significant FROM (SELECT s, r, lag best_lag, CASE WHEN s = r AND lag = 0 THEN 1.0 ELSE corr END corr, n_obs FROM ({_LEADS}) QUALIFY row_number() OVER (PARTITION BY s, r ORDER BY (corr IS NULL), abs(corr) DESC, lag) = 1)",
+        "granger_full": granger_sql(_PAIRS),
+        "granger_all_lags": f"SELECT source, target, lag::INT lag, round(f, 5) f_stat, round(p, 5) p_value FROM ({statistics_sql.granger(_PAIRS)})",
+        "stationarity": _STATIONARITY,
+        "pagerank_converged": _CONVERGED,
+        "hits_betweenness": _CENTRAL,
+        "graph_summary": _SUMMARY_SQL,
+        "json_object": "SELECT conv_id, turn, role, text FROM conversations",
+        "article_labels": _LABELLED,
+        "quality_report": f"SELECT 'unique trade_date, sector_label' AS \"check\", 0::BIGINT failures UNION ALL SELECT 'known entity', count(*)::BIGINT FROM (SELECT DISTINCT trade_date, sector_label FROM ({_SCORED})) WHERE sector_label NOT IN ('click', 'view', 'purchase', 'signup') UNION ALL SELECT 'date', 0",
+        "flagship": _FLAGSHIP,
         "daily_entity_sentiment": _DAILY,
         "distinct_article_count": f"SELECT trade_date, count(DISTINCT article_id)::BIGINT articles FROM ({_SCORED}) GROUP BY 1",
         "session_bucket": _SESSION,
@@ -503,4 +585,4 @@ def oracle_sql() -> dict[str, str]:
         "upsert_latest": "WITH n AS (SELECT * FROM events WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1), o AS (SELECT * FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) SELECT user_id, event_id, event_type FROM n UNION ALL SELECT user_id, event_id, event_type FROM o WHERE user_id NOT IN (SELECT user_id FROM n)",
         "anti_new_urls": "SELECT DISTINCT sha256(url) url_hash FROM pages WHERE sha256(url) NOT IN (SELECT sha256(url) FROM pages WHERE page_id % 3 = 0)",
         "sha_dedup": "SELECT sha256(coalesce(text, '')) digest, min(doc_id)::BIGINT doc_id, count(*)::BIGINT copies FROM documents GROUP BY 1",
-    }
+    } | catalog_rules.query.sql | catalog_sources.query.sql

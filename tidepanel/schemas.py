@@ -32,20 +32,22 @@ SECTOR_KEYWORDS = {
 }
 MACRO_KEYWORDS = ("vĩ mô", "kinh tế vĩ mô", "lãi suất", "tỷ giá", "cpi", "gdp", "thuế", "chính sách", "thị trường chung", "chứng khoán", "tài chính")
 MACRO, UNMAPPED = "MarketMacro", "Unmapped"
-TICKER_COLUMNS = ("summary_json.tickers", "tickers", "ticker", "summary_json.ticker", "symbols")
+# Columns that may name the tickers of an article, in the order in which they are tried.
+TICKER_COLUMNS = ("summary_json.tickers", "summary_tickers", "tickers", "ticker", "ticker_raw")
+# Words of the three sentiments, folded.
 SENTIMENT_LABELS = {
     "Positive": ("positive", "tich cuc"),
-    "Neutral": ("neutral", "trung tinh", "trung lap"),
+    "Neutral": ("neutral", "trung lap", "trung tinh"),
     "Negative": ("negative", "tieu cuc"),
 }
+# Names of price columns, lower case, letters and digits alone.
 OHLCV_ALIASES = {
-    "trade_date": ("time", "date", "tradingdate", "tradedate", "datetime"),
-    "ticker": ("ticker", "symbol", "code"),
+    "trade_date": ("time", "date", "tradingdate", "tradedate"),
     "open": ("open", "openprice"),
     "high": ("high", "highprice"),
     "low": ("low", "lowprice"),
-    "close": ("close", "closeprice", "adjclose"),
-    "volume": ("volume", "totalvolume", "dealvolume", "matchvolume"),
+    "close": ("close", "closeprice"),
+    "volume": ("volume", "vol", "totalvolume"),
 }
 MARKET_ZONE = "Asia/Ho_Chi_Minh"
 SESSION_CUTS = ("09:00:00", "11:30:00", "14:45:00")
@@ -55,6 +57,10 @@ LEAD_LAG_MIN_OBSERVATIONS = 30
 QAP_PERMUTATIONS, QAP_SEED = 2000, 42
 P_FLOOR = 1e-12
 CONSTANT_SIGMA = 1e-12
+# Columns of the prices.
+OHLCV = "trade_date date, ticker string, open double, high double, low double, close double, volume double"
+# Columns of the daily sentiment of an entity.
+SENTIMENT_METRICS = ("article_count", "row_count", "weighted_article_count", "sentiment_mean", "sentiment_sum", "weighted_sentiment_sum", "sentiment_weighted_mean", "positive_count", "neutral_count", "negative_count", "positive_weighted_count", "neutral_weighted_count", "negative_weighted_count")
 
 SUMMARY = T.StructType(
     [
