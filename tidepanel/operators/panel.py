@@ -27,14 +27,14 @@ def keep_last(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame
 
 def rename_aliases(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
     """Columns renamed by alias: names are compared lower case, letters and digits alone. Of several columns of one target
-    that which already has its name is taken, else the first; the others keep their names."""
+    that which already has its name is taken, else the first; the others go."""
     plain = {a: target for target, names in aliases.items() for a in names}
     wanted = {c: plain.get("".join(ch for ch in c.lower() if ch.isalnum())) for c in df.columns}
     chosen = {}
     for c, target in wanted.items():
         if target and (target not in chosen or c == target):
             chosen[target] = c
-    return df.select(*[F.col(f"`{c}`").alias(wanted[c] if chosen.get(wanted[c]) == c else c) for c in df.columns if chosen.get(wanted[c]) == c or c not in chosen])
+    return df.select(*[F.col(f"`{c}`").alias(target or c) for c, target in wanted.items() if not target or chosen[target] == c])
 
 
 def drop_nulls(df: DataFrame, *columns: str) -> DataFrame:

@@ -473,6 +473,20 @@ def html_extract(s, d):
     return _t(s, d, "pages").select("page_id", X.extract_article("html").alias("text"))
 
 
+def _visible() -> str:
+    out = "html"
+    for tag in X.SKIPPED_TAGS:
+        out = f"regexp_replace({out}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', chr(1), 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?s)<!--.*?-->', chr(1), 'g'), '<[/!a-zA-Z][^>]*>', chr(1), 'g')"
+    for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{ch}')"
+    return out
+
+
+#: The pages of the test tables have none of the content selectors: all visible text, if there is enough of it.
+_EXTRACTED = f"SELECT page_id, CASE WHEN length(t) >= 500 THEN t END AS text FROM (SELECT page_id, array_to_string(list_filter(list_transform(string_split({_visible()}, chr(1)), lambda x: trim(x, ' \n\t\r')), lambda x: x <> ''), chr(10)) t FROM pages)"
+
+
 def clean_text(s, d):
     return _t(s, d, "documents").select("doc_id", X.clean_text("text").alias("text"))
 
@@ -543,6 +557,8 @@ def oracle_sql() -> dict[str, str]:
         "pagerank_converged": _CONVERGED,
         "hits_betweenness": _CENTRAL,
         "graph_summary": _SUMMARY_SQL,
+        "clean_text": f"SELECT doc_id, {catalog_rules._cleaned('text')} AS text FROM documents",
+        "html_extract": _EXTRACTED,
         "json_object": "SELECT conv_id, turn, role, text FROM conversations",
         "article_labels": _LABELLED,
         "quality_report": f"SELECT 'unique trade_date, sector_label' AS \"check\", 0::BIGINT failures UNION ALL SELECT 'known entity', count(*)::BIGINT FROM (SELECT DISTINCT trade_date, sector_label FROM ({_SCORED})) WHERE sector_label NOT IN ('click', 'view', 'purchase', 'signup') UNION ALL SELECT 'date', 0",
