@@ -43,3 +43,48 @@ def test_columns_that_clash(spark):
         assert [(r.doc_id, r.k1) for r in kept.collect()] == [(1, "x")] and kept.columns == docs.columns
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("doc_id > 9"), SF).count() == 0, name
+
+
+def test_columns_named_like_those_of_the_stages(spark):
+    """Columns of any names come back as they were, null doc_ids and repeated rows included."""
+    import corpus_pipeline
+
+    names = ["_id", "_k1", "_k2", "_node", "_place", "node", "h", "key", "keys", "root", "fp", "lang_pred", "ambiguous", "_own_lang_pred", "__id"]
+    words = [f"w{i}" for i in range(120)]
+    near = [*words[:60], "other", *words[61:]]
+    made = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words)), (4, " ".join(f"v{i}" for i in range(90))), (None, " ".join(f"u{i}" for i in range(90))), (4, " ".join(f"v{i}" for i in range(90)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(made)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    kept = docs
+    for stage in (corpus_pipeline.language_stage, corpus_pipeline.near_dedup_stage, corpus_pipeline.decontamination_stage, corpus_pipeline.pii_stage):
+        kept = stage(spark, kept, SF)
+        assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted((r.doc_id or 0) for r in rows) == [0, 1, 4]
+    for r in rows:
+        (k,) = {int(str(r[n])[len(n) :]) for n in names}
+        assert made[k] == (r.doc_id, r.text)
+
+
+def test_stages_leave_no_folders(spark, tmp_path, monkeypatch):
+    import os
+
+    import corpus_pipeline
+
+    from tidepanel.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len([x for x in os.listdir(tmp_path) if not x.startswith(".")]) == 1
+    assert not common._OPEN
+
+
+def test_languages_take_effect(spark):
+    """A wrong or missing lang is put right; texts without a letter go."""
+    import corpus_pipeline
+
+    en, fr = "the thing that wheels shown slowly with", "eau chaque étoile oiseau que château"
+    rows = [(i, " ".join([en, en.upper()][i % 2 : i % 2 + 1] * (1 + i % 3)), "en") for i in range(0, 60)] + [(i, " ".join([fr] * (1 + i % 3)), "fr") for i in range(60, 120)]
+    rows += [(500, en, "fr"), (501, fr, None), (502, "½ 12 !!", "en"), (503, None, "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_stage(spark, docs, SF).collect()}
+    assert kept[500] == "en" and kept[501] == "fr" and 502 not in kept and 503 not in kept and len(kept) == 122

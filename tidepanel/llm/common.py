@@ -28,15 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file:///tmp/checkpoints/{context.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 _OPEN: list[list[str]] = []
 
 
-def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A path of its own in the shared folder. Inside a scratch block it goes with the block; keep: with the one around it."""
+def fresh_path(spark: SparkSession, name: str, keep: int = 0) -> str:
+    """A path of its own in the shared folder. Inside a scratch block it goes with the block; keep: with that so many further
+    out, if there is one."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if len(_OPEN) > keep:
         _OPEN[-1 - keep].append(path)
@@ -57,7 +57,7 @@ def scratch(spark: SparkSession):
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: int = 0) -> DataFrame:
     """df written once in the shared folder and read back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, name, keep)
@@ -74,22 +74,22 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 HEAVY_SHARE = 2000
 
 
-def join_heavy(rows: DataFrame, side: DataFrame, keys: list[str], spread: str, how: str = "inner", count: str = "n") -> DataFrame:
+def join_heavy(rows: DataFrame, side: DataFrame, keys: list[str], spread: str, how: str = "inner", count: str = "n", merge: bool = False) -> DataFrame:
     """rows joined with side, which has each key once and in `count` about how many rows have it (a written table, as it is
     read more than once). Fewer than HEAVY_SHARE keys have more than one in HEAVY_SHARE of the rows that side counts: those
     are broadcast, and their rows are spread by the column `spread` instead of meeting in one task; rows of the other keys
-    meet theirs by shuffle. rows is read once."""
+    meet theirs by shuffle, or as Spark chooses; by shuffle whatever the size with `merge`. rows is read once."""
     if how not in ("inner", "left"):
         raise ValueError(how)
     seen = side.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
     least = max((seen.total or 0) // HEAVY_SHARE, 1000)
     if (seen.most or 0) <= least:
-        return rows.join(side, keys, how).select(*rows.columns, *[c for c in side.columns if c not in keys])
+        return rows.join(side.hint("merge") if merge else side, keys, how).select(*rows.columns, *[c for c in side.columns if c not in keys])
     columns = [c for c in side.columns if c not in keys]
     heavy = F.broadcast(side.where(F.col(count) > least).select(*keys, F.struct(*columns).alias("_heavy")))
     light = side.where(F.col(count) <= least).select(F.lit(0).cast("long").alias("_none"), *[F.col(k).alias(f"_{k}") for k in keys], F.struct(*columns).alias("_light"))
     met = rows.join(heavy, keys, "left").withColumn("_spread", F.when(F.col("_heavy").isNotNull(), F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
-    joined = met.join(light, [F.col("_spread") == F.col("_none"), *[F.col(k) == F.col(f"_{k}") for k in keys]], "left")
+    joined = met.join(light.hint("merge") if merge else light, [F.col("_spread") == F.col("_none"), *[F.col(k) == F.col(f"_{k}") for k in keys]], "left")
     out = joined.select(*rows.columns, F.coalesce("_heavy", "_light").alias("_side"))
     if how == "inner":
         out = out.where("_side is not null")
