@@ -63,7 +63,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        with common.scratch(spark):  # what a stage leaves behind goes when its result is written
-            docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+    with common.scratch(spark):  # the results of all stages but the last go at the end
+        for name, stage in STAGES:
+            with common.scratch(spark):  # what a stage leaves behind goes when its result is written
+                docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=1 + (name == STAGES[-1][0]))
     return docs
