@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import cut
+from ..session import cut, discard
 from . import stats
 
 
@@ -60,12 +60,13 @@ def network_summary(edges: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
 
 def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100, every: int = 4) -> DataFrame:
     """node, pagerank over weighted cross edges; mass of nodes without edges out is shared alike. A fixed number of rounds,
-    or until the change is below n * tolerance; lineage is cut by checkpoint every few rounds, or each where the change is read."""
+    or until the change is below n * tolerance; lineage is cut by a written table every few rounds, or each where the change is
+    read, and tables of earlier rounds go."""
     cross = edges.where("source <> target").groupBy("source", "target").agg(F.sum("edge_weight").alias("w"))
     out = cross.groupBy("source").agg(F.sum("w").alias("total"))
     step = cross.join(out, "source").select("source", "target", (F.col("w") / F.col("total")).alias("share"))
     step = cut(step)
-    n = nodes.count()
+    n, made = nodes.count(), []
     rank = nodes.select("node", F.lit(1.0 / max(n, 1)).alias("pagerank"))
     senders = out.select(F.col("source").alias("node"), F.lit(True).alias("sends"))
     for r in range(rounds or most):
@@ -74,12 +75,13 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int | None = None, damp
         new = nodes.select("node").join(flow, F.col("node") == F.col("target"), "left").crossJoin(loose)  # a row of one
         new = new.select("node", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("pagerank"))
         if rounds is None:
-            new = cut(new)
+            new = cut(new, made)
+            discard(nodes.sparkSession, made[:-2])
             moved = new.join(rank.withColumnRenamed("pagerank", "old"), "node").agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0] or 0.0
             if moved < n * tolerance:
                 return new
         elif r % every == every - 1 and r + 1 < rounds:
-            new = cut(new)
+            new = cut(new, made)
         rank = new
     return rank
 

@@ -286,12 +286,14 @@ def simple_returns(df: DataFrame, ticker: str = "ticker", date: str = "trade_dat
 def group_returns(df: DataFrame, members: DataFrame, ticker: str = "ticker", group: str = "sector", date: str = "trade_date") -> DataFrame:
     """Equal-weight mean, non-null count and missing count of each date and group; dates without any return go.
     members: (ticker, group)."""
+    members = members.where(F.col(group).isNotNull())
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    known = df.join(members, ticker).groupBy(date, group).agg(F.avg("ret").alias("sector_return"), F.count("ret").alias("ticker_count"))
-    dates = known.groupBy(date).agg(F.max(F.col("ticker_count")).alias("_any")).where("_any > 0").select(date)
-    grid = dates.crossJoin(sizes)  # a row of each group for each date is what comes out
-    out = grid.join(known, [date, group], "left")
-    return out.select(date, group, "sector_return", F.coalesce("ticker_count", F.lit(0)).cast("long").alias("ticker_count"), (F.col("_size") - F.coalesce("ticker_count", F.lit(0))).cast("long").alias("missing_count"))
+    known = df.join(members, ticker).groupBy(date, group).agg(F.avg("ret").alias("r"), F.count("ret").alias("n"))
+    # a day's groups, as many as there are names, in one map: no second join against the grid of days and groups
+    days = known.groupBy(date).agg(F.map_from_entries(F.collect_list(F.struct(F.col(group), F.struct("r", "n")))).alias("_of"), F.max("n").alias("_any")).where("_any > 0")
+    n = F.coalesce(F.col("_found.n"), F.lit(0)).cast("long")
+    grid = days.crossJoin(sizes).withColumn("_found", F.try_element_at("_of", F.col(group)))
+    return grid.select(date, group, F.col("_found.r").alias("sector_return"), n.alias("ticker_count"), (F.col("_size") - n).cast("long").alias("missing_count"))
 
 
 # --- joins, reshaping, coverage --------------------------------------------------------------------------------------

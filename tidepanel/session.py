@@ -34,12 +34,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df):
-    """df with its lineage ended by a checkpoint in the session's shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def cut(df, made: list[str] | None = None):
+    """df written in the shared folder and read back: its lineage ends here, after one computation. The folder's name is added
+    to `made`, for a caller who knows when it may go."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    if made is not None:
+        made.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def number(c: Column | str) -> Column:
