@@ -121,6 +121,27 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return [lead + n for n in names]
 
 
+def named_rows(docs: DataFrame) -> tuple[DataFrame, str, DataFrame]:
+    """docs with a column that names each row by 128 bits of its doc_id and text, that column's own name, and the rows as node
+    (the name), h (64 bits of it), place (doc_id, null last) and text (null empty). Rows that repeat have one name."""
+    (name,) = unused(docs.columns, "node")
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    named = docs.withColumn(name, F.unhex(F.concat(half("doc_id", whole), half(F.lit(1), "doc_id", whole))))
+    rows = named.select(F.col(name).alias("node"), F.xxhash64(name).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("place"), whole.alias("text"))
+    return named, name, rows
+
+
+def without_rows(named: DataFrame, name: str, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """named without the rows of gone (node), and one row of each of again (node, rows that repeat); written tables both. The
+    text is shuffled once, whatever their size: rows that go are met by name."""
+    rest = named.join(gone.select(F.col("node").alias(name)).hint("merge"), name, "left_anti")
+    if again.isEmpty():
+        return rest
+    some = again.select(F.col("node").alias(name))
+    return rest.join(some, name, "left_anti").unionByName(rest.join(some, name, "left_semi").dropDuplicates([name]))
+
+
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2, text, copies, first_id: one row per distinct text. Copies are folded before the shuffle, so that the text
     of a group of any size crosses it once per task."""

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS = 64
+#: Links that fit one task, should a node have all of them: 64 MB.
+FEW_LINKS = 2_000_000
 
 
 def shingle_spans(starts: np.ndarray, ends: np.ndarray, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,13 +211,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     written out; the driver sees two numbers a round. Neighbourhood minima are aggregated, never gathered; the links of a
     node that has very many are spread. Nodes may be of any type that has an order."""
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
         both = edges.union(edges.select("dst", "src")) if large else edges
         low = common.materialize(both.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("n")), "star-low")
+        meet = lambda rows: common.join_heavy(rows, low, ["src"], "dst") if many else rows.join(low, "src")
         if large:  # every larger neighbour of a node links to the node's smallest neighbour, or to the node itself
-            joined = common.join_heavy(both.where("dst > src"), low, ["src"], "dst").select(F.col("dst").alias("src"), F.least("src", "low").alias("dst"))
+            joined = meet(both.where("dst > src")).select(F.col("dst").alias("src"), F.least("src", "low").alias("dst"))
         else:  # every smaller neighbour and the node itself link to the smallest neighbour
-            joined = common.join_heavy(edges, low, ["src"], "dst").where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
+            joined = meet(edges).where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(low.select("src", F.col("low").alias("dst")))
         return common.materialize(joined.where("src <> dst").distinct(), "star")
 
     with common.scratch(links.sparkSession):
@@ -224,8 +227,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
             if now == seen or not now.n:
                 return common.materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("root")), "components", keep=True)
-            seen = now
-            edges = star(star(edges, True), False)
+            seen, many = now, now.n > FEW_LINKS
+            edges = star(star(edges, True, many), False, many)
     raise RuntimeError("components did not settle")
 
 
@@ -252,18 +255,27 @@ def near_components(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 2
     return common.join_heavy(marked, classes, ["fp"], "doc_id").select("doc_id", "fp", "component_id")
 
 
+def duplicates(rows: DataFrame, k: int = 3, seed: int = 42, budget: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Of rows (node, place, text): the nodes that go, all of a component but that of the least place and node; and the nodes
+    that several rows have."""
+    with common.scratch(rows.sparkSession):
+        marked, classes = near_classes(rows.select("node", "place", "text"), k, seed, budget)
+        each = common.materialize(marked.groupBy("fp", "node", "place").agg(F.count(F.lit(1)).alias("rows")), "rows-of-fingerprint")
+        size = each.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "node")).alias("first"))
+        rooted = common.materialize(size.join(classes, "fp"), "first-of-fingerprint")
+        first = common.materialize(rooted.groupBy("root").agg(F.min("first").alias("stays"), F.count(F.lit(1)).alias("f")), "first-of-root")
+        stays = common.join_heavy(rooted.select("fp", "root", "n"), first, ["root"], "fp", count="f").select("fp", "n", F.col("stays.node").alias("stays"))
+        every = common.join_heavy(each, common.materialize(stays, "stays"), ["fp"], "node")
+        gone = common.materialize(every.where("node <> stays").select("node"), "gone", keep=1)
+        again = common.materialize(each.where("rows > 1").select("node"), "repeated", keep=1)
+    return gone, again
+
+
 def keep_one(docs: DataFrame, k: int = 3, seed: int = 42, budget: int = 2) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (null last), the smallest text key among ties. Columns
-    of any names are carried through."""
-    on = common.unused(docs.columns, "id", "k1", "k2")
-    keyed = common.text_key(docs.withColumn(on[0], F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))), names=(on[1], on[2]))
-    named = ["_id", "_k1", "_k2"]
-    with common.scratch(docs.sparkSession):
-        marked, classes = near_classes(keyed.select(*[F.col(c).alias(n) for c, n in zip(on, named, strict=True)], F.col("text").cast("string").alias("text")), k, seed, budget)
-        first = marked.groupBy("fp").agg(F.min(F.struct(*named)).alias("first"))
-        first = common.materialize(first, "first-of-fingerprint").join(classes, "fp").groupBy("root").agg(F.min("first").alias("first"))
-        kept = common.materialize(first.select(*[F.col(f"first.{n}").alias(c) for c, n in zip(on, named, strict=True)]), "kept", keep=True)
-    return keyed.join(kept, on, "left_semi").dropDuplicates(on).select(*docs.columns)
+    """docs with one row of each component: that of the smallest doc_id (null last), the smallest name among ties, one of rows
+    that repeat. Columns of any names are carried through."""
+    named, name, rows = common.named_rows(docs)
+    return common.without_rows(named, name, *duplicates(rows, k, seed, budget)).select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
