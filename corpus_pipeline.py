@@ -27,9 +27,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id: first of SimHash's groups, then of the
     texts left that have 0.8 of their five-word shingles in common."""
+    named, name, rows = common.named_rows(docs)
     with common.scratch(spark):
-        few = common.materialize(simhash.keep_one(docs), "simhash-kept", keep=True)
-    return near_text.keep_one(few)
+        gone, again = simhash.duplicates(rows)
+        more, _ = near_text.duplicates(rows, gone)
+        every, again = common.materialize(gone.union(more), "all-gone", keep=1), common.materialize(again, "all-repeated", keep=1)
+    return common.without_rows(named, name, every, again).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
