@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import cut, discard
+from ..session import cut, discard, importable
 from . import stats
 
 
@@ -145,6 +145,7 @@ def small_graph(nodes: DataFrame) -> DataFrame:
 def central_scores(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, betweenness_centrality, hub_score, authority_score of at most MOST_NODES nodes."""
     nodes = small_graph(nodes)
+    importable(nodes.sparkSession)
     e = edges.where("source <> target").select("source", "target", F.col("edge_weight").alias("w"))
     rows = nodes.select(F.lit(0).alias("g"), "node", F.lit(None).cast("string").alias("to"), F.lit(None).cast("double").alias("w")).union(e.select(F.lit(0), "source", "target", "w"))
 
@@ -199,6 +200,7 @@ def qap(first: DataFrame, second: DataFrame, nodes: DataFrame, permutations: int
     """observed, p_value: share of node relabellings of the first network that overlap the second at least as much. With
     fixed margins the correlation grows with the overlap, so integers decide. Permutations run as rows of a range."""
     spark = first.sparkSession
+    importable(spark)
     names = sorted(r.node for r in small_graph(nodes).select("node").collect())  # MOST_NODES at most
     at = {x: i for i, x in enumerate(names)}
     a, b = (np.zeros((len(names), len(names)), np.int32) for _ in range(2))

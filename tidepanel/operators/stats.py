@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import special
-from ..session import pearson, ratio
+from ..session import importable, pearson, ratio
 from . import panel
 
 
@@ -90,6 +90,7 @@ def stationarity(long: DataFrame, series: str = "series", time: str = "t", value
         names = [f.split()[0] for f in STATIONARITY.split(", ")]
         return pd.DataFrame([[row.get(k) for k in names]], columns=names)
 
+    importable(long.sparkSession)
     rows = long.select(F.col(series).alias("series"), F.col(time).alias("t"), F.col(value).cast("double").alias("value"))
     return rows.groupBy("series").applyInPandas(run, STATIONARITY)
 
@@ -182,6 +183,7 @@ def granger(paired: DataFrame, max_lag: int = schemas.MAX_LAG, least: int = sche
         names = ["source", "target", "best_lag", "n_obs", "f_stat", "p_value", "lag_selection_method", "ljungbox_pvalue", "ljungbox_white_noise", "status", "error_message", "all_lags"]
         return pd.DataFrame([[row.get(k) for k in names]], columns=names)
 
+    importable(paired.sparkSession)
     return paired.groupBy("source", "target").applyInPandas(run, GRANGER)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as X
 from ..operators import graph, panel, quality, stats
+from ..session import importable
 from ..streaming import ingest
 from . import statistics_sql
 
@@ -542,7 +545,19 @@ def queries() -> dict:
     from . import catalog_rules, catalog_sources
 
     found = {f.__name__: f for f in named} | {"asof_next_day_inclusive": _asof("on_or_after"), "asof_next_day_strict": _asof("after")}
-    return found | catalog_rules.query.queries | catalog_sources.query.queries
+    found |= catalog_rules.query.queries | catalog_sources.query.queries
+    return {name: _runnable(f) for name, f in found.items()}
+
+
+def _runnable(f):
+    """The query in a session whose Python workers can import this package."""
+
+    @wraps(f)
+    def run(s, d):
+        importable(s)
+        return f(s, d)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:

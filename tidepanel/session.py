@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, SparkSession
@@ -16,7 +17,17 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    importable(spark)
+    return spark
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it runs from its folder and isn't installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
 def shared_folder(spark: SparkSession) -> str:

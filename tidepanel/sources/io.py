@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..functions import text as X
 from ..operators import panel
+from ..session import importable
 
 BOM = "﻿"
 
@@ -123,6 +124,7 @@ def enrich(df: DataFrame, client: Callable[[str], str], text: str = "raw_text",
     """df with summary_json, from a client that maps a text to a JSON text, and summary_error, null where it answered. The
     client is called on executors, a batch at a time; the text is cut at the backend's limit or the one given."""
     size = TEXT_LIMITS[backend] if limit is None else limit
+    importable(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,6 +144,7 @@ def enrich(df: DataFrame, client: Callable[[str], str], text: str = "raw_text",
 
 def fetch_pages(urls: DataFrame, client: Callable[[str], str], tries: int = 3, pause: Callable[[int], float] = lambda k: 2.0**k, url: str = "url") -> DataFrame:
     """urls with html and fetch_error: each page is asked for up to `tries` times, the pause doubling."""
+    importable(urls.sparkSession)
 
     def run(batches):
         for pdf in batches:
@@ -169,6 +172,7 @@ def fetch_prices(spark: SparkSession, tickers: list[str], clients: list[Callable
     the budget is one client's, so more tasks need as many budgets."""
     if start > end:
         raise ValueError("start lies after end")
+    importable(spark)
     once = list(dict.fromkeys(tickers))
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(once)], "place int, ticker string").repartitionByRange(tasks, "place")
     wanted = [f.name for f in T.StructType.fromDDL(schemas.OHLCV).fields]
