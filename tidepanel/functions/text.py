@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -66,20 +67,14 @@ def has_keyword(folded: Column, keywords) -> Column:
 
 
 def keywords_in(folded: Column, tables: dict[str, tuple[str, ...]]) -> Column:
-    """Names of the tables that have a keyword in the folded text, in the order of the dictionary, after one scan: at each start
-    of a word the longest keyword is taken, which stands for the names of those that it begins with too."""
-    names: dict[str, set[str]] = {}
-    for name, words in tables.items():
-        for w in words:
-            names.setdefault(fold_text(w), set()).add(name)
-    words = sorted(names, key=lambda w: (-len(w), w))
-    whole = lambda w: re.compile(r"(?<!\w)" + re.escape(w) + r"(?!\w)")
-    meant = {w: sorted(set().union(*(names[v] for v in words if (m := whole(v).match(w)) and m.start() == 0))) for w in words}
-    pattern = r"(?U)(?<!\w)(?=(" + "|".join(re.escape(w) for w in words) + r")(?!\w))"
-    met = F.array_distinct(F.regexp_extract_all(folded, F.lit(pattern), F.lit(1)))
-    table = F.create_map(*[x for w in words for x in (F.lit(w), F.array(*map(F.lit, meant[w])))])
-    found = F.flatten(F.transform(met, lambda w: table[w]))
-    return F.when(F.size(met) == 0, F.array().cast("array<string>")).otherwise(F.filter(F.array(*map(F.lit, tables)), lambda name: F.array_contains(found, name)))
+    """Names of the tables that have a keyword in the folded text, in the order of the dictionary. A keyword is sought as plain
+    text first; only where it is there at all does its pattern say whether it stands between word bounds."""
+
+    def has(words) -> Column:
+        plain = sorted({fold_text(w) for w in words})
+        return reduce(lambda x, y: x | y, [folded.contains(w) & folded.rlike(keyword_pattern([w])) for w in plain])
+
+    return F.filter(F.array(*[F.when(has(words), F.lit(name)) for name, words in tables.items()]), lambda x: x.isNotNull())
 
 
 def sectors_in(folded: Column, keywords: dict | None = None) -> Column:

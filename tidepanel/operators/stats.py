@@ -3,8 +3,6 @@ run in numpy once for each series or pair, in parallel over the pairs."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +12,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import special
-from ..session import importable, pearson, ratio
+from ..session import cut, importable, pearson, ratio
 from . import panel
 
 
@@ -191,35 +189,46 @@ def granger(paired: DataFrame, max_lag: int = schemas.MAX_LAG, least: int = sche
 P_RANGES = 64
 
 
-def adjusted(df: DataFrame, p: str, run: list[str]) -> DataFrame:
-    """run, p, q: the Benjamini-Hochberg value of each different p of each run. Equal p share a value, so p are counted first;
-    they are then ranked within ranges of p, and the ranges, few, are put after one another: no task has all p of a run."""
-    tests = df.where(F.col(p).isNotNull()).groupBy(*run, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = tests.agg(F.percentile_approx("_p", [i / P_RANGES for i in range(1, P_RANGES)], 10_000).alias("_cuts"))
-    tests = tests.crossJoin(cuts).withColumn("_range", F.array_size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_p")))).drop("_cuts")  # cuts: one row
-    within, whole = W.partitionBy(*run, "_range"), W.partitionBy(*run) if run else W.partitionBy(F.lit(0))
-    ranges = tests.groupBy(*run, "_range").agg(F.sum("_n").alias("_size"))
-    ranges = ranges.withColumns({"_before": F.sum("_size").over(whole.orderBy("_range")) - F.col("_size"), "_m": F.sum("_size").over(whole)})
-    on = lambda other: reduce(lambda x, y: x & y, [tests[c].eqNullSafe(other[c]) for c in [*run, "_range"]])
-    ranked = tests.join(ranges, on(ranges)).select(*[tests[c] for c in [*run, "_range"]], "_p", "_before", "_m", F.sum("_n").over(W.partitionBy(*[tests[c] for c in [*run, "_range"]]).orderBy("_p")).alias("_upto"))
-    ranked = ranked.withColumn("_v", F.col("_p") * F.col("_m") / (F.col("_before") + F.col("_upto")))
-    lows = ranked.groupBy(*run, "_range").agg(F.min("_v").alias("_low"))
-    lows = lows.select(*[F.col(c).alias(f"_r_{c}") for c in [*run, "_range"]], F.min("_low").over((W.partitionBy(*run) if run else W.partitionBy(F.lit(0))).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)).alias("_later"))
-    ranked = ranked.withColumn("_own", F.min("_v").over(within.orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, 0)))
-    met = ranked.join(lows, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*run, "_range"]]))
-    return met.select(*run, "_p", "_m", F.least(F.coalesce(F.least("_own", "_later"), F.col("_own")), F.lit(1.0)).alias("_q"))
+def adjusted(df: DataFrame, p: str) -> DataFrame:
+    """_p, _m, _q: the Benjamini-Hochberg value of each different p of all rows. Equal p share a value, so p are counted first, and
+    the counts written; they are then ranked within ranges of p, of which the driver holds sizes and least values, so that
+    no task has all p."""
+    tests = cut(df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n")))
+    cuts = tests.agg(F.percentile_approx("_p", [i / P_RANGES for i in range(1, P_RANGES)], 10_000).alias("q")).first().q or []
+    cuts = sorted(set(cuts))
+    inside = F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("_p"))) if cuts else F.lit(0)
+    tests = tests.withColumn("_range", inside)
+    sizes = {r["_range"]: r.n for r in tests.groupBy("_range").agg(F.sum("_n").alias("n")).collect()}  # P_RANGES rows at most
+    m, before = sum(sizes.values()), {}
+    for k in sorted(sizes):
+        before[k] = sum(n for j, n in sizes.items() if j < k)
+    known = lambda of: F.create_map(*[F.lit(x) for pair in of.items() for x in pair])[F.col("_range")]
+    within = W.partitionBy("_range").orderBy("_p")
+    upto = F.sum("_n").over(within) + (known(before) if before else F.lit(0))
+    ranked = tests.withColumn("_v", F.col("_p") * m / upto)
+    low, later = {r["_range"]: r.v for r in ranked.groupBy("_range").agg(F.min("_v").alias("v")).collect()}, {}
+    for k in low:
+        later[k] = min((v for j, v in low.items() if j > k), default=1.0)
+    own = F.min("_v").over(W.partitionBy("_range").orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, 0))
+    return ranked.select("_p", F.lit(m).alias("_m"), F.least(own, known(later) if later else F.lit(1.0), F.lit(1.0)).alias("_q"))
 
 
 def multiplicity(df: DataFrame, p: str = "p_value", alpha: float = schemas.ALPHA, run: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg and Bonferroni over the rows that have a p value, within each run; flags and edge weight."""
+    """Benjamini-Hochberg and Bonferroni over the rows that have a p value, all together or within each run; flags and edge
+    weight. A run is ranked in one task; without runs no task has all rows."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
-    run = run or []
-    q = adjusted(df, p, run).select(*[F.col(c).alias(f"_run_{c}") for c in run], F.col("_p").alias("_of"), "_m", "_q")
-    same = reduce(lambda x, y: x & y, [F.col(p) == F.col("_of"), *(F.col(c).eqNullSafe(F.col(f"_run_{c}")) for c in run)])
     known = F.col(p).isNotNull()
-    out = df.join(q, same, "left").withColumns({"p_value_fdr_bh": F.when(known, F.col("_q")), "p_value_bonferroni": F.when(known, F.least(F.col(p) * F.col("_m"), F.lit(1.0)))})
-    return out.drop("_of", "_m", "_q", *[f"_run_{c}" for c in run]).withColumns(
+    if run:
+        part = W.partitionBy(*run, known)
+        rank = F.sum(F.lit(1)).over(part.orderBy(p))  # of the last row of equal p
+        df = df.withColumns({"_m": F.count(p).over(part), "_v": F.col(p) / rank})
+        q = F.min(F.col("_v") * F.col("_m")).over(part.orderBy(F.desc(p)))
+        out = df.withColumn("_q", F.least(q, F.lit(1.0))).drop("_v")
+    else:
+        out = df.join(adjusted(df, p).withColumnRenamed("_p", "_of"), F.col(p) == F.col("_of"), "left").drop("_of")
+    out = out.withColumns({"p_value_fdr_bh": F.when(known, F.col("_q")), "p_value_bonferroni": F.when(known, F.least(F.col(p) * F.col("_m"), F.lit(1.0)))})
+    return out.drop("_m", "_q").withColumns(
         {
             "significant_raw_05": F.coalesce(F.col(p) < alpha, F.lit(False)),
             "significant_fdr_05": F.coalesce(F.col("p_value_fdr_bh") <= alpha, F.lit(False)),
