@@ -215,7 +215,8 @@ def adjusted(df: DataFrame, p: str) -> DataFrame:
 
 def multiplicity(df: DataFrame, p: str = "p_value", alpha: float = schemas.ALPHA, run: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg and Bonferroni over the rows that have a p value, all together or within each run; flags and edge
-    weight. A run is ranked in one task; without runs no task has all rows."""
+    weight. A run is ranked in one task; without runs no task has all rows, and df is written first: it is read twice, and sums
+    of doubles that are computed again in another order may differ in their last bits, so that p wouldn't be found."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
     known = F.col(p).isNotNull()
@@ -226,6 +227,7 @@ def multiplicity(df: DataFrame, p: str = "p_value", alpha: float = schemas.ALPHA
         q = F.min(F.col("_v") * F.col("_m")).over(part.orderBy(F.desc(p)))
         out = df.withColumn("_q", F.least(q, F.lit(1.0))).drop("_v")
     else:
+        df = cut(df)
         out = df.join(adjusted(df, p).withColumnRenamed("_p", "_of"), F.col(p) == F.col("_of"), "left").drop("_of")
     out = out.withColumns({"p_value_fdr_bh": F.when(known, F.col("_q")), "p_value_bonferroni": F.when(known, F.least(F.col(p) * F.col("_m"), F.lit(1.0)))})
     return out.drop("_m", "_q").withColumns(
